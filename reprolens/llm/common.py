@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space between words: \x20 and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
 
@@ -87,25 +86,24 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_POWERS: list[np.ndarray] = []
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, grown on demand."""
-    if not _POWERS or len(_POWERS[0]) < n:
+def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
+    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         made = []
-        for base in (_MULTIPLIER, _INVERSE):
+        for base in (_MULTIPLIERS[seed], pow(_MULTIPLIERS[seed], -1, 1 << 64)):
             p = np.ones(size, dtype=U64)
             done, step = 1, base
             while done < size:  # doubling: p[done:2*done] = p[:done] * base**done
-                m = min(done, size - done)
-                p[done : done + m] = p[:m] * U64(step)
+                p[done : 2 * done] = p[:done] * U64(step)
                 step = step * step & _MASK
-                done += m
+                done *= 2
             made.append(p)
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+        _POWERS[seed] = made[0], made[1]
+    return _POWERS[seed]
 
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +121,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     if not len(starts):
         return np.zeros(0, dtype=U64), offsets
     codes = _LOWER[buffer] if lower else buffer
-    power, inverse = _powers(len(buffer))
+    power, inverse = powers(len(buffer))
     terms = (codes.astype(U64) + U64(1)) * power[: len(buffer)]
     terms[space] = 0
     sums = np.add.reduceat(terms, starts) * inverse[starts]

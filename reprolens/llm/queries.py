@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprolens.llm import media, mixing, resharding
+from reprolens.llm import media, mixing, packing, quality, resharding
 from reprolens.llm.common import documents
 
 
@@ -14,6 +14,14 @@ def op2_media_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir))
+
+
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(spark, documents(spark, sf_dir))
 
@@ -23,6 +31,6 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_containers, op7_pareto_mixing, op9_flow_resharding)
+    f.__name__: f for f in (op2_media_containers, op3_mixture_packing, op4_quality_qda, op7_pareto_mixing, op9_flow_resharding)
 }
 ORACLES: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
