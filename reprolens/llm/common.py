@@ -106,20 +106,40 @@ def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[seed]
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, in order, and the offsets of each text's words.
-
-    Words are maximal runs without ASCII white space. With ``lower``, A-Z count as a-z.
-    """
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by line feeds as an array; begin and end there of all words; offsets of each text's words."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[buffer]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
+    edge = np.flatnonzero(np.diff(_SPACE[buffer], prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    offsets = np.searchsorted(starts, begins)
+    return buffer, starts, ends, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]))
+
+
+def word_hashes(texts: list[bytes], lower: bool = False, limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and the offsets of each text's words.
+
+    Words are maximal runs without ASCII white space. With ``lower``, A-Z count as a-z. Texts are
+    hashed in groups of about ``limit`` bytes (at least one text), which bounds memory.
+    """
+    found, offsets, at, words = [], [np.zeros(1, dtype=np.int64)], 0, 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= limit):
+            held += len(texts[end]) + 1
+            end += 1
+        h, o = _word_hashes(texts[at:end], lower)
+        found.append(h)
+        offsets.append(o[1:] + words)
+        words += len(h)
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, dtype=U64), np.concatenate(offsets)
+
+
+def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    buffer, starts, ends, offsets = word_spans(texts)
     if not len(starts):
         return np.zeros(0, dtype=U64), offsets
+    space = _SPACE[buffer]
     codes = _LOWER[buffer] if lower else buffer
     power, inverse = powers(len(buffer))
     terms = (codes.astype(U64) + U64(1)) * power[: len(buffer)]

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprolens.llm import media, mixing, packing, quality, resharding
+from reprolens.llm import media, mixing, packing, pii, quality, resharding
 from reprolens.llm.common import documents
 
 
+def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(spark, documents(spark, sf_dir))
+
+
 def op2_media_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
@@ -31,6 +35,6 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_containers, op3_mixture_packing, op4_quality_qda, op7_pareto_mixing, op9_flow_resharding)
+    f.__name__: f for f in (op1_crf_pii, op2_media_containers, op3_mixture_packing, op4_quality_qda, op7_pareto_mixing, op9_flow_resharding)
 }
 ORACLES: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
