@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprolens.llm import media, mixing, packing, pii, quality, resharding
+from reprolens.llm import jaccard, media, mixing, packing, pii, quality, resharding
 from reprolens.llm.common import documents
 
 
@@ -34,7 +34,11 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.digest(spark, documents(spark, sf_dir))
 
 
+def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(spark, documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_pii, op2_media_containers, op3_mixture_packing, op4_quality_qda, op7_pareto_mixing, op9_flow_resharding)
+    f.__name__: f for f in (op1_crf_pii, op2_media_containers, op3_mixture_packing, op4_quality_qda, op7_pareto_mixing, op9_flow_resharding, op10_multi_order_jaccard)
 }
-ORACLES: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE, "op10_multi_order_jaccard": jaccard.ORACLE}
