@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprolens.llm import embed_dedup, jaccard, media, mixing, packing, pii, quality, resharding, substring_dedup
+from reprolens.llm import embed_dedup, jaccard, media, mixing, packing, pii, quality, quotes, resharding, substring_dedup
 from reprolens.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(spark, documents(spark, sf_dir))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.digest(spark, documents(spark, sf_dir))
 
@@ -47,6 +51,6 @@ def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_pii, op2_media_containers, op3_mixture_packing, op4_quality_qda, op5_collision_embeddings, op6_debruijn_substrings, op7_pareto_mixing, op9_flow_resharding, op10_multi_order_jaccard)
+    f.__name__: f for f in (op1_crf_pii, op2_media_containers, op3_mixture_packing, op4_quality_qda, op5_collision_embeddings, op6_debruijn_substrings, op7_pareto_mixing, op8_quotation_linking, op9_flow_resharding, op10_multi_order_jaccard)
 }
-ORACLES: dict[str, str] = {"op5_collision_embeddings": embed_dedup.ORACLE, "op6_debruijn_substrings": substring_dedup.ORACLE, "op7_pareto_mixing": mixing.ORACLE, "op10_multi_order_jaccard": jaccard.ORACLE}
+ORACLES: dict[str, str] = {"op5_collision_embeddings": embed_dedup.ORACLE, "op6_debruijn_substrings": substring_dedup.ORACLE, "op7_pareto_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE, "op10_multi_order_jaccard": jaccard.ORACLE}
