@@ -1,9 +1,9 @@
 """N-gram Jaccard join with several global token orders.
 
 Two sets whose Jaccard similarity reaches the threshold share a token among the first few of each,
-under every order of all tokens. Two orders are used; both put frequent tokens last (by a list of
-heavy tokens whose length is bounded by mean set size / THETA, whatever the input) and differ in the
-hash that orders the rest. Pairs must pass the prefix filter, with a bound on the overlap from the
+under every order of all tokens. Two orders are used; both put frequent tokens last (by a list of the
+HEAVY heaviest tokens, a fixed length) and differ in the hash that orders the rest; any order gives
+the same result, and these give short lists. Pairs must pass the prefix filter, with a bound on the overlap from the
 number of shared prefix tokens, under each order; only then are whole sets compared.
 
 Lists of a token with few sets give pairs. Longer lists never do: they tie their sets into groups,
@@ -25,7 +25,7 @@ from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, roll
 from reprolens.llm.components import connected, roots
 
 WORDS, PERCENT = 4, 85  # of a shingle; similarity in hundredths
-THETA, LEAST = 0.0005, 16  # a token is heavy if it is in this share of the documents, and in so many at least
+HEAVY, LEAST = 1 << 19, 16  # most heavy tokens; documents in which a heavy token was seen, at least
 CHUNK = 1 << 22  # tokens that a task counts at once when it looks for heavy ones
 SHORT = 32  # sets in a list that is turned into pairs
 BLOCK = 1024  # sets in a block
@@ -47,35 +47,34 @@ def prefix(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def heavy_tokens(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
-    """Hashes and frequencies of tokens in at least max(LEAST, THETA * n) documents.
+def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes and frequencies of the heaviest tokens.
 
-    A token that frequent is that frequent within some chunk, so chunks report only such tokens.
-    Frequencies are sums over the chunks that report, any agreed number being good for an order.
+    Chunks of documents report what repeats within them; a frequency is the sum of the reports, which
+    is the same for all who use it, and near the truth for tokens that are frequent enough to matter.
     """
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = count = 0
+        size = 0
 
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= max(2, int(np.ceil(THETA * count)))
+            keep = n > 1
             return pa.RecordBatch.from_arrays([pa.array(signed(token[keep])), pa.array(n[keep])], names=["token", "n"])
 
         for b in batches(frames):
             sets = shingles(as_bytes(b.column(0)), k)
             held += sets
             size += sum(map(len, sets))
-            count += len(sets)
             if size > CHUNK:
                 yield flush()
-                held, size, count = [], 0, 0
+                held, size = [], 0
         if size:
             yield flush()
 
-    found = plain(docs, "text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST, THETA * n_docs))
-    rows = found.toPandas().sort_values("token")
+    found = plain(docs, "text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    rows = found.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas().sort_values("token")  # HEAVY rows at most
     return np.stack([rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)])
 
 
@@ -134,15 +133,19 @@ def _rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "token", "doc", "size", "heavy"])
 
 
-LISTED = "kind int, x long, y long, sx long, sy long, hx long, hy long"
+LISTED = "kind int, x long, y long, need long"
 
 
 def _lists(percent: int):
-    """Rows sorted by kind and token: short lists give pairs (kind 0, 1), long and heavy ones tie each set to the first (kind 2, 3)."""
+    """Rows sorted by kind and token: short lists give pairs (kind 0, 1), long and heavy ones tie each set to the first (kind 2, 3).
 
-    def emit(kind: int, x: np.ndarray, y: np.ndarray, *more) -> pa.RecordBatch:
-        more = more or [np.zeros(len(x), np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), *map(pa.array, (x, y, *more))], names=[c.split()[0] for c in LISTED.split(", ")])
+    need: how many tokens a pair must share in the light part of its prefixes. What two sets share beyond both prefixes
+    lies in the rest of the one whose prefix ends first; heavy tokens come last in a prefix and may all be shared.
+    """
+
+    def emit(kind: int, x: np.ndarray, y: np.ndarray, need: np.ndarray | None = None) -> pa.RecordBatch:
+        need = np.zeros(len(x), np.int64) if need is None else need
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), *map(pa.array, (x, y, need))], names=[c.split()[0] for c in LISTED.split(", ")])
 
     def close(kind: int, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = ends - starts
@@ -155,9 +158,9 @@ def _lists(percent: int):
                 a, b = (block[at : at + max(1, 200_000 // len(i))][:, side].reshape(-1, 3) for side in (i, j))
                 ok = (a[:, 0] != b[:, 0]) & (100 * np.minimum(a[:, 1], b[:, 1]) >= percent * np.maximum(a[:, 1], b[:, 1]))
                 a, b = a[ok], b[ok]
-                swap = (a[:, 0] > b[:, 0])[:, None]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield emit(kind, a[:, 0], b[:, 0], a[:, 1], b[:, 1], a[:, 2], b[:, 2])
+                rest = np.maximum(a[:, 1] - prefix(a[:, 1], percent), b[:, 1] - prefix(b[:, 1], percent))
+                need = -(-percent * (a[:, 1] + b[:, 1]) // (100 + percent)) - rest - np.minimum(a[:, 2], b[:, 2])
+                yield emit(kind, np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0]), need)
         for s, e in zip(starts[(sizes > SHORT) | (kind >= 2)].tolist(), ends[(sizes > SHORT) | (kind >= 2)].tolist(), strict=True):
             yield emit(2 + kind % 2, part[s:e, 0], np.full(e - s, part[s, 0]))
 
@@ -275,10 +278,12 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     """
     stage = Stage(spark, "jaccard")
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    heavy = heavy_tokens(docs, k, docs.count())
-    rows = stage.write(docs.mapInArrow(_postings(heavy, k, percent), POSTING), "rows")
-    dealt = rows.filter("kind in (0, 1, 4, 5)").repartition(width(spark), "kind", "token").sortWithinPartitions("kind", "token")
-    lists = stage.write(dealt.mapInArrow(_lists(percent), LISTED), "lists")
+    heavy = heavy_tokens(docs, k)
+    stage.write(docs.mapInArrow(_postings(heavy, k, percent), POSTING), "all")
+    rows = stage.read("all").filter("kind in (0, 1, 4, 5)").repartition(width(spark), "kind", "token").sortWithinPartitions("kind", "token")
+    lists = stage.write(rows.mapInArrow(_lists(percent), LISTED), "lists")
+    rows = stage.write(stage.read("all").filter("kind in (-1, 2, 3)"), "rows")
+    stage.drop("all")
     stage.free()
 
     # Long lists: sets tied under an order have a common group of that order.
@@ -290,11 +295,9 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     side = F.pmod(F.col("id"), F.lit(2))
     group = stage.write(found.groupBy(F.floor(F.col("id") / 2).alias("doc")).agg(*[F.max(F.when(side == i, F.col("component"))).alias(f"g{i}") for i in (0, 1)]), "groups")
 
-    # Short lists: the overlap that the shared prefix tokens allow must reach what the similarity asks for.
-    size = F.greatest(F.col("sx") - _prefix("sx", percent), F.col("sy") - _prefix("sy", percent))
-    counted = lists.filter("kind in (0, 1)").groupBy("x", "y", "sx", "sy").agg(*[F.count(F.when(F.col("kind") == i, 1)).alias(f"c{i}") for i in (0, 1)], *[F.max(F.when(F.col("kind") == i, F.least("hx", "hy"))).alias(f"h{i}") for i in (0, 1)])
-    enough = [(F.col(f"c{i}") > 0) & ((100 + percent) * (F.col(f"c{i}") + F.col(f"h{i}") + size) >= percent * (F.col("sx") + F.col("sy"))) for i in (0, 1)]
-    counted = counted.withColumns({f"e{i}": e for i, e in enumerate(enough)}).filter("e0 or e1")
+    # Short lists: a pair must share as many prefix tokens as it needs, under each order.
+    counted = lists.filter("kind in (0, 1)").groupBy("x", "y").agg(*[F.count(F.when(F.col("kind") == i, 1)).alias(f"c{i}") for i in (0, 1)], *[F.max(F.when(F.col("kind") == i, F.col("need"))).alias(f"n{i}") for i in (0, 1)])
+    counted = counted.withColumns({f"e{i}": F.coalesce(F.col(f"c{i}") >= F.col(f"n{i}"), F.lit(False)) for i in (0, 1)}).filter("e0 or e1")
     gx, gy = (group.select(F.col("doc").alias(x), F.col("g0").alias(f"{x}0"), F.col("g1").alias(f"{x}1")) for x in ("x", "y"))
     half = counted.filter("not (e0 and e1)").join(gx, "x").join(gy, "y").filter(" and ".join(f"(e{i} or x{i} = y{i})" for i in (0, 1)))
     pairs = stage.write(counted.filter("e0 and e1").select("x", "y").unionByName(half.select("x", "y")), "pairs")
@@ -317,10 +320,6 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     return base.join(component, base["doc_id"] == component["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _prefix(size: str, percent: int):
-    return F.col(size) - F.floor((percent * F.col(size) + 99) / 100) + 1
-
-
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
