@@ -30,10 +30,8 @@ from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, roll
 
 K = 20  # words of an edge
 SEED = 8  # words of a seed; each edge holds one of its K - SEED + 1 seeds
-BUCKETS = 8  # per task that counts
-DEALT = "bucket int, h binary, doc binary, start binary"
-PLACES = "doc_id long, starts binary"
-REPEATS = "doc_id long, starts binary, source_docs binary, source_starts binary"
+#: Arrays dealt out. bucket >= 0: by hash (h: hashes, extra: checks); below: by document, what a chunk knew (h, extra: source document, source start).
+DEALT = "bucket int, h binary, doc binary, start binary, extra binary"
 
 
 def _least_in_window(h: np.ndarray, w: int) -> np.ndarray:
@@ -62,13 +60,22 @@ def _edges(raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h, at, position, text
 
 
-def _deal(buckets: int, h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket of hashes, holding arrays."""
-    bucket = (h >> U64(40)) % U64(buckets)
+def _deal(buckets: int, key: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """One row for each bucket of keys that isn't empty: its number, and the bytes of each column."""
+    bucket = (key >> U64(40)) % U64(buckets)
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(U64))
-    rows = [(b, *(x[order[a:e]].tobytes() for x in (h, doc, start))) for b, (a, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > a]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "h", "doc", "start"])
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(U64)).tolist()
+    columns = [c[order] for c in columns]
+    return [(i, *(c[a:e].tobytes() for c in columns)) for i, (a, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > a]
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "h", "doc", "start", "extra"])
+
+
+def _known(buckets: int, doc: np.ndarray, start: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray) -> list[tuple]:
+    return [(-1 - i, *row) for i, *row in _deal(buckets, mix(doc.view(U64)), source_doc, doc, start, source_start)]
 
 
 def _first_places(h: np.ndarray, doc: np.ndarray, start: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,50 +105,52 @@ def _seed_task(k: int, m: int, buckets: int):
             count = np.bincount(first, minlength=len(order))
             again = count[first] > 1
             place = seed - at[owner]
-            lead = order[first == np.arange(len(order))]  # the first place of each seed
-            yield _deal(buckets, short[seed][lead], ids[owner][lead], place[lead] * 2 + (count[first[first == np.arange(len(order))]] > 1))
-            known = order[again & (first != np.arange(len(order)))]
-            if len(known):
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (short[seed][known], ids[owner][known], place[known] * 2))], names=["bucket", "h", "doc", "start"])
+            own = first == np.arange(len(order))  # the first place of each seed
+            lead, rest = order[own], order[again & ~own]
+            h = short[seed]
+            yield _dealt(_deal(buckets, h[lead], h[lead], ids[owner][lead], place[lead], (count[first[own]] > 1).astype(np.int64)))
+            if len(rest):
+                yield _dealt(_known(buckets, ids[owner][rest], place[rest], place[rest], place[rest]))
 
     return run
 
 
 def _arrays(frame: pd.DataFrame, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(frame[n]), dtype=U64 if n == "h" else np.int64) for n in names]
+    return [np.frombuffer(b"".join(frame[n]), dtype=np.int64) for n in names]
 
 
-def _by_document(doc: np.ndarray, *columns: np.ndarray, names: tuple[str, ...]) -> pd.DataFrame:
-    order = np.lexsort((columns[0], doc))
-    doc, columns = doc[order], [c[order] for c in columns]
-    cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
-    return pd.DataFrame({"doc_id": doc[cut[:-1]], **{n: [c[a:e].tobytes() for a, e in zip(cut, cut[1:], strict=False)] for n, c in zip(names, columns, strict=True)}})
+def _repeated_seeds(buckets: int):
+    """Places of the seeds that several chunks, or one chunk several times, contain, dealt by document."""
 
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        h, doc, start, again = _arrays(frame, "h", "doc", "start", "extra")
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        group = np.cumsum(new) - 1
+        repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=again[order]) > 0)
+        pick = order[repeated[group]]
+        return pd.DataFrame(_known(buckets, doc[pick], start[pick], start[pick], start[pick]), columns=["bucket", "h", "doc", "start", "extra"])
 
-def _repeated_seeds(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Places of the seeds that several chunks, or one chunk several times, contain."""
-    h, doc, start = _arrays(frame, "h", "doc", "start")
-    order = np.argsort(h, kind="stable")
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    group = np.cumsum(new) - 1
-    repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=start[order] & 1) > 0)
-    pick = order[repeated[group]]
-    return _by_document(doc[pick], start[pick] >> 1, names=("starts",))
+    return run
 
 
-def _split_known(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats that a chunk knew, as rows for each document."""
-    for b in frames:
-        for doc, start in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_pandas(_by_document(np.frombuffer(doc, np.int64), np.frombuffer(start, np.int64) >> 1, names=("starts",)), preserve_index=False)
+def _documents(doc: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order by document, and where each one's rows begin and end."""
+    order = np.argsort(doc, kind="stable")
+    sorted_doc = doc[order]
+    return order, [0, *(np.flatnonzero(sorted_doc[1:] != sorted_doc[:-1]) + 1).tolist(), len(doc)]
 
 
-def _edge_task(k: int, m: int, buckets: int):
-    """Edges around repeated seeds: dealt out once for each chunk; later places in the chunk are repeats of the first (bucket -1).
+def _places(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document: places of its repeated seeds."""
+    doc, start = _arrays(frame, "doc", "start")
+    order, cut = _documents(doc)
+    return pd.DataFrame({"doc_id": doc[order][cut[:-1]], "places": [start[order][a:e].tobytes() for a, e in zip(cut, cut[1:], strict=False)]})
 
-    start holds two numbers for each place: the start, and a check of the edge (or, in bucket -1, pairs of document and start).
-    """
+
+def _edge_task(k: int, m: int, buckets: int):
+    """Edges around repeated seeds: dealt out once for each chunk; later places in the chunk are known repeats of the first."""
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
@@ -151,9 +160,8 @@ def _edge_task(k: int, m: int, buckets: int):
                 continue
             short = rolling(h, m)
             marked = np.zeros(len(short), dtype=bool)
-            for i, starts in enumerate(b.column(2).to_pylist()):
-                for s in starts:
-                    marked[at[i] + np.frombuffer(s, np.int64)] = True
+            for i, places in enumerate(b.column(2).to_pylist()):
+                marked[at[i] + np.frombuffer(places, np.int64)] = True
             keep = marked[_least_in_window(short, k - m + 1)[position]]
             position, text = position[keep], text[keep]
             if not len(position):
@@ -164,29 +172,36 @@ def _edge_task(k: int, m: int, buckets: int):
             order, first = _first_places(edge, doc, start, check)
             own = first == np.arange(len(order))
             lead, rest = order[own], order[~own]
-            yield _deal(buckets, edge[lead], doc[lead], start[lead] << 32 | check[lead])
+            yield _dealt(_deal(buckets, edge[lead], edge[lead], doc[lead], start[lead], check[lead]))
             if len(rest):
                 source = order[first[~own]]
-                columns = edge[rest], np.stack([doc[rest], doc[source]], axis=1), np.stack([start[rest] << 32 | check[rest], start[source]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in columns)], names=["bucket", "h", "doc", "start"])
+                yield _dealt(_known(buckets, doc[rest], start[rest], doc[source], start[source]))
 
     return run
 
 
-def _repeated_edges(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    h, doc, both = _arrays(frame, "h", "doc", "start")
-    start, check = both >> 32, both & 0xFFFFFFFF
-    order, first = _first_places(h, doc, start, check)
-    later = first != np.arange(len(order))
-    pick, source = order[later], order[first[later]]
-    return _by_document(doc[pick], start[pick], doc[source], start[source], names=("starts", "source_docs", "source_starts"))
+def _repeated_edges(buckets: int):
+    """All places of each edge but the first, with the first, dealt by document."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        h, doc, start, check = _arrays(frame, "h", "doc", "start", "extra")
+        order, first = _first_places(h, doc, start, check)
+        later = first != np.arange(len(order))
+        pick, source = order[later], order[first[later]]
+        return pd.DataFrame(_known(buckets, doc[pick], start[pick], doc[source], start[source]), columns=["bucket", "h", "doc", "start", "extra"])
+
+    return run
 
 
-def _split_edges(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in frames:
-        for doc, start in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            d, s = np.frombuffer(doc, np.int64).reshape(-1, 2), np.frombuffer(start, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pandas(_by_document(d[:, 0], s[:, 0] >> 32, d[:, 1], s[:, 1], names=("starts", "source_docs", "source_starts")), preserve_index=False)
+def _paths(k: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """One row for each document: the paths of its repeated edges."""
+        source_doc, doc, start, source_start = _arrays(frame, "h", "doc", "start", "extra")
+        order, cut = _documents(doc)
+        found = [compact(start[o], source_doc[o], source_start[o], k).tobytes() for o in (order[a:e] for a, e in zip(cut, cut[1:], strict=False))]
+        return pd.DataFrame({"doc_id": doc[order][cut[:-1]], "paths": found})
+
+    return run
 
 
 def compact(starts: np.ndarray, source_docs: np.ndarray, source_starts: np.ndarray, k: int = K) -> np.ndarray:
@@ -209,15 +224,15 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept stri
 _PATHS = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "source_doc", "source_start")]))
 
 
-def _cut_task(k: int, digest_only: bool):
+def _cut_task(digest_only: bool):
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             rows = []
-            for doc, raw, repeats in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for doc, raw, path in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = raw.split()
                 n, paths = len(words), np.zeros((0, 4), dtype=np.int64)
-                if repeats:
-                    paths = compact(*(np.concatenate([np.frombuffer(r[c], np.int64) for r in repeats]) for c in ("starts", "source_docs", "source_starts")), k)
+                if path:
+                    paths = np.frombuffer(path, np.int64).reshape(-1, 4)
                     cover = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(cover, paths[:, 0], 1)
                     np.add.at(cover, paths[:, 0] + paths[:, 1], -1)
@@ -241,21 +256,18 @@ def dedup(spark: SparkSession, docs: DataFrame, k: int = K, m: int = SEED, diges
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
     n = width(spark)
-    seeds = stage.write(known.mapInArrow(_seed_task(k, m, n * BUCKETS), DEALT), "seeds")
-    found = seeds.filter("bucket >= 0").groupBy("bucket").applyInPandas(_repeated_seeds, PLACES)
-    found = found.unionByName(seeds.filter("bucket < 0").mapInArrow(_split_known, PLACES))
-    found = stage.write(found.groupBy("doc_id").agg(F.collect_list("starts").alias("places")), "places")
+    by_hash = lambda rows, task: rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(task, DEALT).unionByName(rows.filter("bucket < 0"))
+    seeds = stage.write(known.mapInArrow(_seed_task(k, m, n), DEALT), "seeds")
+    places = stage.write(by_hash(seeds, _repeated_seeds(n)).groupBy("bucket").applyInPandas(_places, "doc_id long, places binary"), "places")
     stage.drop("seeds")
     stage.free()
-    near = known.join(found, "doc_id").select("doc_id", "text", "places")
-    edges = stage.write(near.mapInArrow(_edge_task(k, m, n * BUCKETS), DEALT), "edges")
+    near = known.join(places, "doc_id").select("doc_id", "text", "places")
+    edges = stage.write(near.mapInArrow(_edge_task(k, m, n), DEALT), "edges")
     stage.free()
-    repeats = edges.filter("bucket >= 0").groupBy("bucket").applyInPandas(_repeated_edges, REPEATS)
-    repeats = repeats.unionByName(edges.filter("bucket < 0").mapInArrow(_split_edges, REPEATS))
-    repeats = stage.write(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "source_docs", "source_starts")).alias("repeats")), "repeats")
+    paths = stage.write(by_hash(edges, _repeated_edges(n)).groupBy("bucket").applyInPandas(_paths(k), "doc_id long, paths binary"), "paths")
     stage.drop("edges")
     stage.free()
-    return docs.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats").mapInArrow(_cut_task(k, digest_only), KEPT)
+    return docs.join(paths, "doc_id", "left").select("doc_id", "text", "paths").mapInArrow(_cut_task(digest_only), KEPT)
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
