@@ -29,6 +29,7 @@ HEAVY, LEAST = 1 << 19, 16  # most heavy tokens; documents in which a heavy toke
 CHUNK = 1 << 22  # tokens that a task counts at once when it looks for heavy ones
 SHORT = 32  # sets in a list that is turned into pairs
 BLOCK = 1024  # sets in a block
+SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -306,6 +307,9 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     sizes = grouped.groupBy("g0", "g1").count().filter("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     grouped = stage.write(grouped.join(sizes, ["g0", "g1"]), "grouped")
     wanted = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).union(grouped.select("doc")).distinct()
+    wanted = stage.write(wanted, "wanted")
+    if wanted.count() <= SENT:  # else texts and ids meet by a shuffle
+        wanted = F.broadcast(wanted)
     sets = stage.write(_sets(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), k), "sets")
 
     sx, sy = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("x", "y"))
