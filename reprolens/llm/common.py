@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -56,6 +57,7 @@ class Stage:
         """Lets Spark remove the shuffle files of finished steps."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner runs beside
 
     def drop(self, name: str = "") -> None:
         try:

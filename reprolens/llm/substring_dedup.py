@@ -30,7 +30,8 @@ from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, roll
 
 K = 20  # words of an edge
 SEED = 8  # words of a seed; each edge holds one of its K - SEED + 1 seeds
-#: Arrays dealt out. bucket >= 0: by hash (h: hashes, extra: checks); below: by document, what a chunk knew (h, extra: source document, source start).
+#: Arrays dealt out. bucket >= 0: by hash (h: hashes, extra: checks); below: by document, what a chunk or bucket found
+#: (of edges: runs, with the source document in h, source start and number of edges in extra).
 DEALT = "bucket int, h binary, doc binary, start binary, extra binary"
 
 
@@ -175,7 +176,7 @@ def _edge_task(k: int, m: int, buckets: int):
             yield _dealt(_deal(buckets, edge[lead], edge[lead], doc[lead], start[lead], check[lead]))
             if len(rest):
                 source = order[first[~own]]
-                yield _dealt(_known(buckets, doc[rest], start[rest], doc[source], start[source]))
+                yield _dealt(_run_rows(buckets, doc[rest], start[rest], doc[source], start[source]))
 
     return run
 
@@ -188,7 +189,7 @@ def _repeated_edges(buckets: int):
         order, first = _first_places(h, doc, start, check)
         later = first != np.arange(len(order))
         pick, source = order[later], order[first[later]]
-        return pd.DataFrame(_known(buckets, doc[pick], start[pick], doc[source], start[source]), columns=["bucket", "h", "doc", "start", "extra"])
+        return pd.DataFrame(_run_rows(buckets, doc[pick], start[pick], doc[source], start[source]), columns=["bucket", "h", "doc", "start", "extra"])
 
     return run
 
@@ -196,28 +197,35 @@ def _repeated_edges(buckets: int):
 def _paths(k: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         """One row for each document: the paths of its repeated edges."""
-        source_doc, doc, start, source_start = _arrays(frame, "h", "doc", "start", "extra")
+        source_doc, doc, start, extra = _arrays(frame, "h", "doc", "start", "extra")
+        doc, start, source_doc, source_start, count = runs(doc, start, source_doc, extra >> 31, extra & 0x7FFFFFFF)
+        path = np.stack([start, count + k - 1, source_doc, source_start], axis=1)
         order, cut = _documents(doc)
-        found = [compact(start[o], source_doc[o], source_start[o], k).tobytes() for o in (order[a:e] for a, e in zip(cut, cut[1:], strict=False))]
-        return pd.DataFrame({"doc_id": doc[order][cut[:-1]], "paths": found})
+        return pd.DataFrame({"doc_id": doc[order][cut[:-1]], "paths": [path[order[a:e]].tobytes() for a, e in zip(cut, cut[1:], strict=False)]})
 
     return run
 
 
-def compact(starts: np.ndarray, source_docs: np.ndarray, source_starts: np.ndarray, k: int = K) -> np.ndarray:
-    """Paths of a document's repeated edges: rows of start, words, source document, source start.
+def runs(doc: np.ndarray, start: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Compacts repeated edges, or runs of ``count`` of them, to the longest runs: document, start, source document, source start, edges.
 
-    An edge continues the path of the one before if it starts one word later, in the document and in the source.
+    What starts where the one before ends, in the document and in its source, continues the run.
     """
-    order = np.argsort(starts, kind="stable")
-    s, d, p = starts[order], source_docs[order], source_starts[order]
-    if not len(s):
-        return np.zeros((0, 4), dtype=np.int64)
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
+    count = np.ones(len(doc), dtype=np.int64) if count is None else count
+    order = np.lexsort((start, doc))
+    doc, start, source_doc, source_start, count = (x[order] for x in (doc, start, source_doc, source_start, count))
+    if not len(doc):
+        return doc, start, source_doc, source_start, count
+    new = np.ones(len(doc), dtype=bool)
+    step = count[:-1]
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + step) | (source_doc[1:] != source_doc[:-1]) | (source_start[1:] != source_start[:-1] + step)
     a = np.flatnonzero(new)
-    z = np.append(a[1:], len(s)) - 1
-    return np.stack([s[a], s[z] - s[a] + k, d[a], p[a]], axis=1)
+    return doc[a], start[a], source_doc[a], source_start[a], np.add.reduceat(count, a)
+
+
+def _run_rows(buckets: int, *edges: np.ndarray) -> list[tuple]:
+    doc, start, source_doc, source_start, count = runs(*edges)
+    return _known(buckets, doc, start, source_doc, source_start << 31 | count)
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, paths array<struct<start:long,words:long,source_doc:long,source_start:long>>"
