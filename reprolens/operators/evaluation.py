@@ -86,3 +86,38 @@ def step_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two command strings as token sets."""
     split = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda t: t != ""))
     return jaccard(split(a), split(b))
+
+
+def gold_fields(rows: DataFrame) -> DataFrame:
+    """Ground truth (study_id, entities) to long rows study, field, pos, name, extra, value."""
+    return _long(rows, "study_id", {
+        "software": ("entities.SoftwareApplication", "name", "version", None), "datasets": ("entities.Dataset", "name", None, None), "methods": ("entities.Method", "name", None, None),
+        "parameters": ("entities.Parameter", "name", None, "value"), "seeds": ("entities.RandomSeed", "value", None, None), "evaluation_results": ("entities.EvaluationResult", "metric", "split", "value"),
+    })
+
+
+def predicted_fields(rows: DataFrame) -> DataFrame:
+    """Extraction records (study_id, metadata) to the same long rows."""
+    return _long(rows, "study_id", {
+        "software": ("metadata.dependencies", "name", "version", None), "datasets": ("metadata.datasets", "name", None, None), "methods": ("metadata.methods", "name", None, None),
+        "parameters": ("metadata.hyperparameters", "name", None, "value"), "evaluation_results": ("metadata.evaluation_results", "metric", "split", "value"),
+    })
+
+
+def _long(rows: DataFrame, key: str, fields: dict[str, tuple]) -> DataFrame:
+    from functools import reduce
+
+    from reprolens.functions.text import NULLISH_EVALUATION, clean
+
+    parts = []
+    for field, (path, name, extra, value) in fields.items():
+        one = rows.select(F.col(key).alias("study"), F.posexplode(path).alias("pos", "x"))
+        pick = lambda c: clean(F.col(f"x.{c}").cast("string"), NULLISH_EVALUATION) if c else F.lit(None).cast("string")
+        parts.append(one.select("study", F.lit(field).alias("field"), "pos", pick(name).alias("name"), pick(extra).alias("extra"), pick(value).alias("value")).filter("name is not null"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pair_up(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """Every key of the gold table with whether there is a prediction for it (else it is skipped)."""
+    said = predicted.select(key).distinct().withColumn("_said", F.lit(True))
+    return gold.select(key).distinct().join(said, key, "left").select(key, F.when(F.col("_said"), "evaluated").otherwise("skipped").alias("status"))

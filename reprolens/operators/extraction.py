@@ -136,3 +136,29 @@ def extract(passages: DataFrame, text: str, schema: str, make: Callable[[], Call
 
     fields = [x.strip().split(" ")[0] for x in schema.split(",")]
     return passages.mapInPandas(run, ", ".join([*(f"`{n}` {passages.schema[n].dataType.simpleString()}" for n in names), schema]))
+
+
+def normalise_recipe(text: Column) -> Column:
+    """Seven fields of a recipe given as JSON: single values become lists, absent commands null, other confidences "low"."""
+    raw = F.from_json(text, "map<string,string>")
+    value = lambda k: F.try_element_at(raw, F.lit(k))
+    one = lambda k: F.when(~F.lower(F.trim(value(k))).isin(*NULLISH), F.trim(value(k)))
+
+    def many(k: str, kind: str) -> Column:
+        bare = value(k)
+        return F.when(bare.startswith("["), F.from_json(bare, f"array<{kind}>")).when(one(k).isNotNull(), F.from_json(F.concat(F.lit("["), F.when(bare.startswith("{"), bare).otherwise(F.to_json(F.struct(bare.alias("name"), bare.alias("metric")))), F.lit("]")), f"array<{kind}>") if kind != "string" else F.array(bare)).otherwise(F.from_json(F.lit("[]"), f"array<{kind}>"))
+
+    return F.struct(
+        one("run_command").alias("run_command"), many("setup_steps", "string").alias("setup_steps"), many("requires_dataset", "struct<name:string,download:string>").alias("requires_dataset"), one("requires_checkpoint").alias("requires_checkpoint"),
+        many("produces_metric", "struct<metric:string,dataset:string>").alias("produces_metric"), one("entry_point").alias("entry_point"), F.when(F.lower(value("confidence")).isin("high", "medium"), F.lower(value("confidence"))).otherwise("low").alias("confidence"),
+    )
+
+
+NULLISH = ("", "null", "none", "n/a", "na", "nan", "nil", "unknown", "not specified", "not reported", "not stated")
+
+
+def joined_documents(rows: DataFrame, unit: str, name: str, rank: str, text: str, most: int = 16_000) -> DataFrame:
+    """unit, text: a unit's files in the order of rank and name, each under its name, cut to ``most`` characters."""
+    entry = F.struct(F.col(rank).alias("r"), F.col(name).alias("n"), F.substring(text, 1, most).alias("t"))
+    parts = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat(F.lit("## "), x["n"], F.lit("\n"), x["t"]))
+    return rows.groupBy(unit).agg(F.substring(F.array_join(parts, "\n\n"), 1, most).alias("text"))

@@ -155,3 +155,44 @@ def primary(ranked: DataFrame) -> DataFrame:
     """The best file of each repo: of its types docker, conda, pip and setup, in this order, the first that it has."""
     order = F.array_position(F.array(*map(F.lit, ("docker", "conda", "pip", "setup"))), F.col("type"))
     return ranked.filter((F.col("place") == 1) & (order > 0)).groupBy("repo").agg(F.min_by("type", order).alias("type"), F.min_by("path", order).alias("path"))
+
+
+def resolve_python(conda: Column, docker: Column, pyproject: Column, setup: Column, runtime: Column) -> Column:
+    """(version, source): the first of five declarations that names a version; a specifier gives the highest supported one that meets it.
+
+    conda and docker hold an entry such as python=3.9 and an image such as python:3.8-slim; pyproject and
+    setup hold specifiers; runtime a line such as python-3.10.4.
+    """
+    found = (
+        (F.regexp_extract(conda, r"(?i)^python\s*[=~<>]*\s*([0-9]\.[0-9]+)", 1), "conda"),
+        (F.regexp_extract(docker, r"(?i)python:?([0-9]\.[0-9]+)", 1), "dockerfile"),
+        (highest_version(pyproject), "pyproject"),
+        (highest_version(setup), "python_requires"),
+        (F.regexp_extract(runtime, r"python-([0-9]\.[0-9]+)", 1), "runtime"),
+    )
+    out = None
+    for value, source in found:
+        known = F.coalesce(value, F.lit("")) != ""
+        entry = F.struct(value.alias("version"), F.lit(source).alias("source"))
+        out = F.when(known, entry) if out is None else out.when(known, entry)
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("version"), F.lit("default").alias("source")))
+
+
+def docker_inspect(text: Column) -> Column:
+    """(image_id, digest, os, cuda, python, n_labels) of an inspection record: digests first, then environment variables."""
+    schema = "array<struct<Id:string,RepoDigests:array<string>,Os:string,Config:struct<Env:array<string>,Labels:map<string,string>>>>"
+    r = F.get(F.from_json(text, schema), F.lit(0))
+    env = F.coalesce(r["Config"]["Env"], F.array().cast("array<string>"))
+
+    def variable(*names: str) -> Column:
+        hits = [F.try_element_at(F.filter(env, _starts(name + "=")), F.lit(-1)) for name in names]
+        return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(h, F.lit("")), "=(.*)$", 1), F.lit("")) for h in hits])
+
+    return F.struct(
+        r["Id"].alias("image_id"), F.nullif(F.regexp_extract(F.coalesce(F.get(r["RepoDigests"], F.lit(0)), F.lit("")), r"@(sha256:\S+)", 1), F.lit("")).alias("digest"), r["Os"].alias("os"),
+        variable("CUDA_VERSION", "NV_CUDA_LIB_VERSION").alias("cuda"), variable("PYTHON_VERSION").alias("python"), F.coalesce(F.size(r["Config"]["Labels"]), F.lit(0)).cast("long").alias("n_labels"),
+    )
+
+
+def _starts(prefix: str):
+    return lambda e: e.startswith(prefix)

@@ -384,6 +384,57 @@ def json_repair(spark, sf):
     return e.select("event_id", extraction.repaired(raw).alias("json"))
 
 
+def recipe_normalise(spark, sf):
+    k = C("p_partkey")
+    raw = F.concat(L('{"run_command": '), F.when(k % 3 == 0, L('" None "')).otherwise(F.concat(L('"python '), C("p_type"), L('.py"'))), L(', "setup_steps": '), F.when(k % 2 == 0, L('"make"')).otherwise(L('["a", "b"]')), F.when(k % 5 == 0, L(', "confidence": "HIGH"')).otherwise(L("")), L(', "requires_dataset": [{"name": "d", "download": "wget"}]}'))
+    r = extraction.normalise_recipe(raw)
+    return table(spark, sf, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.run_command", F.array_join("r.setup_steps", "; ").alias("steps"), F.size("r.requires_dataset").cast("long").alias("n_data"), F.size("r.produces_metric").cast("long").alias("n_metrics"), "r.confidence")
+
+
+def joined_documents(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("rank", F.when(C("role") == "system", 0).when(C("role") == "user", 1).otherwise(2)).withColumn("name", F.format_string("%03d", C("turn")))
+    return extraction.joined_documents(c, "conv_id", "name", "rank", "text", 300).select("conv_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+def python_resolver(spark, sf):
+    k = C("p_partkey")
+    r = parsing.resolve_python(F.when(k % 7 == 0, F.concat(L("python=3."), s(k % 5 + 7))), F.when(k % 5 == 0, F.concat(L("python:3."), s(k % 4 + 8), L("-slim"))), F.when(k % 3 == 0, F.concat(L(">=3."), s(k % 15))), F.when(k % 2 == 0, L(">=3.7,<3.10")), F.when(k % 11 == 0, L("python-3.10.4")))
+    return table(spark, sf, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.version", "r.source")
+
+
+def docker_inspect(spark, sf):
+    k = C("s_suppkey")
+    raw = F.concat(L('[{"Id": "sha256:'), F.md5("s_name"), L('", "RepoDigests": ['), F.when(k % 2 == 0, F.concat(L('"org/x@sha256:'), F.md5("s_name"), L('"'))).otherwise(L("")), L('], "Os": "linux", "Config": {"Env": ["PATH=/bin"'), F.when(k % 3 == 0, F.concat(L(', "CUDA_VERSION=11.'), s(k % 9), L('"'))).when(k % 3 == 1, L(', "NV_CUDA_LIB_VERSION=12.1"')).otherwise(L("")), L('], "Labels": {"a": "b"}}}]'))
+    d = parsing.docker_inspect(raw)
+    return table(spark, sf, "supplier").select("s_suppkey", d.alias("d")).select("s_suppkey", "d.*")
+
+
+def study_model_grid(spark, sf):
+    """Studies and models that have no marker yet."""
+    models = F.broadcast(table(spark, sf, "region").select(C("r_name").alias("model")))
+    done = table(spark, sf, "nation").select(C("n_nationkey").alias("study"), F.concat(L("REGION_"), s(C("n_regionkey"))).alias("model"))
+    every = table(spark, sf, "nation").select(C("n_nationkey").alias("study")).join(models)
+    return corpus.remaining(every, done.withColumn("model", F.upper("model")), "study", "model").select("study", F.length("model").cast("long").alias("n"))
+
+
+def reference_present(spark, sf):
+    """Reference entries with their band, scored if their graph is there, else skipped."""
+    wanted = table(spark, sf, "customer").filter("c_custkey < 100").select(C("c_custkey").alias("study"), F.when(C("c_acctbal") > 0, "high").otherwise("low").alias("band"))
+    have = table(spark, sf, "orders").select(C("o_custkey").alias("study"))
+    status = evaluation.pair_up(wanted, have, "study")
+    return wanted.join(status, "study").groupBy("band", "status").agg(F.count("*").alias("n"))
+
+
+def common_fields(spark, sf):
+    """Predicted metadata as long rows, counted by field."""
+    e = table(spark, sf, "events").filter("event_id < 2000")
+    name = F.when(C("event_id") % 10 == 0, L("Modern GPUs")).otherwise(C("event_type"))
+    one = lambda *fields: F.array(F.struct(*fields))
+    meta = F.struct(one(name.alias("name"), L("1").alias("version")).alias("dependencies"), one(name.alias("name")).alias("datasets"), one(C("event_type").alias("name")).alias("methods"), one(name.alias("name"), s(C("value")).alias("value")).alias("hyperparameters"), one(name.alias("metric"), L("n/a").alias("split"), s(C("value")).alias("value")).alias("evaluation_results"))
+    rows = evaluation.predicted_fields(e.select(s(C("event_id")).alias("study_id"), meta.alias("metadata")))
+    return rows.groupBy("field").agg(F.count("*").alias("n"), F.count("extra").alias("n_extra"), F.count("value").alias("n_value"))
+
+
 # --- statistics and corpus --------------------------------------------------------------------------
 
 
@@ -489,7 +540,7 @@ QUERIES = {f.__name__: f for f in (
     version_nearest, specifier_max, artifact_rank, artifact_primary, classify_pairs, compare_entry_status, failure_taxonomy, blocker_family, placeholder_commands, last_number_near_token, status_counts, funnel, rate_summary,
     prf_micro, prf_macro, prf_groups, greedy_match, greedy_match_exact, recipe_f1, step_jaccard, ground_tokens, value_grounded, chunk_words, chunk_stats, section_isolation, vector_topk, passage_dedup, merge_first_wins, first_nonnull,
     seeds_union, json_fields, json_repair, summary_stats, band_stats, separation, concordance, spearman, mannwhitney_u, logit_fit, dedup_two_keys, dedup_exact, drop_reasons, additive_score, quota_fill, key_format, seeded_shuffle,
-    left_join_attrs, tier_coalesce, anti_resume,
+    left_join_attrs, tier_coalesce, anti_resume, recipe_normalise, joined_documents, python_resolver, docker_inspect, study_model_grid, reference_present, common_fields,
 )}
 
 ORACLES = {
@@ -583,4 +634,12 @@ ORACLES = {
     "left_join_attrs": "SELECT c_custkey, c_mktsegment, n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON c_custkey = o_custkey",
     "tier_coalesce": "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.doc_id % 2 = 0 THEN CASE WHEN toxic = 0 THEN quality END ELSE toxic END AS claim, CASE WHEN l.doc_id IS NULL THEN 'none' WHEN d.doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS source_tier FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "anti_resume": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "recipe_normalise": """SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'python ' || p_type || '.py' END AS run_command, CASE WHEN p_partkey % 2 = 0 THEN 'make' ELSE 'a; b' END AS steps, 1::BIGINT AS n_data, 0::BIGINT AS n_metrics, CASE WHEN p_partkey % 5 = 0 THEN 'high' ELSE 'low' END AS confidence FROM part""",
+    "joined_documents": """SELECT conv_id, md5(t) AS text_md5, len(t) AS n_chars FROM (SELECT conv_id, substr(string_agg('## ' || printf('%03d', turn) || chr(10) || substr(text, 1, 300), chr(10) || chr(10) ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn), 1, 300) AS t FROM conversations GROUP BY conv_id) x""",
+    "python_resolver": """SELECT p_partkey, CASE WHEN k % 7 = 0 THEN '3.' || (k % 5 + 7) WHEN k % 5 = 0 THEN '3.' || (k % 4 + 8) WHEN k % 3 = 0 AND k % 15 <= 12 THEN '3.12' WHEN k % 2 = 0 THEN '3.9' WHEN k % 11 = 0 THEN '3.10' END AS version,
+      CASE WHEN k % 7 = 0 THEN 'conda' WHEN k % 5 = 0 THEN 'dockerfile' WHEN k % 3 = 0 AND k % 15 <= 12 THEN 'pyproject' WHEN k % 2 = 0 THEN 'python_requires' WHEN k % 11 = 0 THEN 'runtime' ELSE 'default' END AS source FROM (SELECT p_partkey, p_partkey AS k FROM part) x""",
+    "docker_inspect": """SELECT s_suppkey, 'sha256:' || md5(s_name) AS image_id, CASE WHEN s_suppkey % 2 = 0 THEN 'sha256:' || md5(s_name) END AS digest, 'linux' AS os, CASE s_suppkey % 3 WHEN 0 THEN '11.' || (s_suppkey % 9) WHEN 1 THEN '12.1' END AS cuda, NULL::VARCHAR AS python, 1::BIGINT AS n_labels FROM supplier""",
+    "study_model_grid": "SELECT n_nationkey AS study, len(r_name) AS n FROM nation CROSS JOIN region WHERE r_name <> upper('REGION_' || n_regionkey)",
+    "reference_present": "SELECT CASE WHEN c_acctbal > 0 THEN 'high' ELSE 'low' END AS band, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'evaluated' ELSE 'skipped' END AS status, count(*) AS n FROM customer WHERE c_custkey < 100 GROUP BY 1, 2",
+    "common_fields": "WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS name FROM events WHERE event_id < 2000) SELECT unnest(['software', 'datasets', 'methods', 'parameters', 'evaluation_results']) AS field, unnest([count(name), count(name), count(*), count(name), count(name)]) AS n, unnest([count(name), 0, 0, 0, 0]) AS n_extra, unnest([0, 0, 0, count(name), count(name)]) AS n_value FROM e",
 }
