@@ -642,4 +642,16 @@ ORACLES = {
     "study_model_grid": "SELECT n_nationkey AS study, len(r_name) AS n FROM nation CROSS JOIN region WHERE r_name <> upper('REGION_' || n_regionkey)",
     "reference_present": "SELECT CASE WHEN c_acctbal > 0 THEN 'high' ELSE 'low' END AS band, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'evaluated' ELSE 'skipped' END AS status, count(*) AS n FROM customer WHERE c_custkey < 100 GROUP BY 1, 2",
     "common_fields": "WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS name FROM events WHERE event_id < 2000) SELECT unnest(['software', 'datasets', 'methods', 'parameters', 'evaluation_results']) AS field, unnest([count(name), count(name), count(*), count(name), count(name)]) AS n, unnest([count(name), 0, 0, 0, 0]) AS n_extra, unnest([0, 0, 0, count(name), count(name)]) AS n_value FROM e",
+    "dedup_two_keys": """WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, md5(lower(trim(text))) AS body, lang || ':' || n_chars AS size_key FROM documents),
+      f AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, NULL::VARCHAR AS body, NULL::VARCHAR AS size_key, []::VARCHAR[] AS a, []::VARCHAR[] AS b, false AS kept
+        UNION ALL SELECT n, doc_id, body, size_key, CASE WHEN ok THEN list_append(a, body) ELSE a END, CASE WHEN ok THEN list_append(b, size_key) ELSE b END, ok
+        FROM (SELECT d.*, f.a, f.b, NOT list_contains(f.a, d.body) AND NOT list_contains(f.b, d.size_key) AS ok FROM f JOIN d ON d.n = f.n + 1) x)
+      SELECT doc_id, body, size_key FROM f WHERE kept""",
+    "greedy_match": f"""WITH RECURSIVE {_NAMED}, e AS (SELECT p_size AS study, CASE WHEN p_partkey % 5 = 0 THEN 'methods' ELSE 'datasets' END AS field, p_partkey % 2 AS side, p_partkey AS pos, name FROM n WHERE p_partkey % 11 <> 0),
+      x AS ({q_facts('e', 'study, field, side, pos', 'name')}), m AS (SELECT a.study, a.field, a.pos AS g, list(b.pos ORDER BY b.pos) AS fits FROM x a JOIN x b ON b.study = a.study AND b.field = a.field WHERE a.side = 0 AND b.side = 1 AND {q_match('a', 'b')} GROUP BY 1, 2, 3),
+      o AS (SELECT *, row_number() OVER (PARTITION BY study, field ORDER BY g) AS r FROM m),
+      f AS (SELECT study, field, 0::BIGINT AS r, []::BIGINT[] AS used FROM (SELECT DISTINCT study, field FROM e) k
+        UNION ALL SELECT study, field, r, CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END FROM (SELECT o.study, o.field, o.r, f.used, list_filter(o.fits, lambda p: NOT list_contains(f.used, p)) AS free FROM f JOIN o ON o.study = f.study AND o.field = f.field AND o.r = f.r + 1) y),
+      t AS (SELECT study, field, max(len(used)) AS tp FROM f GROUP BY 1, 2)
+      SELECT t.study, t.field, max(tp) AS tp, count(*) FILTER (side = 1) - max(tp) AS fp, count(*) FILTER (side = 0) - max(tp) AS fn FROM t JOIN e ON e.study = t.study AND e.field = t.field GROUP BY 1, 2""",
 }
