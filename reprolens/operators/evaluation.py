@@ -52,7 +52,7 @@ def greedy_match(gold: DataFrame, predicted: DataFrame, fuzzy: bool = True) -> D
 
     used = F.aggregate("g", F.expr("cast(array() as array<int>)"), take)
     out = both.withColumn("tp", F.size(used))
-    return out.select("study", "field", "tp", (F.size("p") - F.col("tp")).alias("fp"), (F.size("g") - F.col("tp")).alias("fn"))
+    return out.select("study", "field", *[x.cast("long").alias(n) for n, x in (("tp", F.col("tp")), ("fp", F.size("p") - F.col("tp")), ("fn", F.size("g") - F.col("tp")))])
 
 
 def name_grounded(name: Column, text: Column) -> Column:

@@ -108,4 +108,4 @@ def recommendations(grades: DataFrame) -> DataFrame:
     open_points = F.bround(F.col("max_points") - F.col("points"), 2)
     out = grades.filter("level < 2").withColumn("points_available", open_points)
     place = F.row_number().over(W.partitionBy("graph").orderBy(rank, F.desc("points_available"), "position"))
-    return out.select("graph", "dimension", "criterion", "priority", "level", "points_available", place.alias("place"))
+    return out.select("graph", "dimension", "criterion", "priority", "level", "points_available", place.cast("long").alias("place"))
