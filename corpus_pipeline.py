@@ -13,14 +13,20 @@ from reprolens.llm import jaccard, mixing, packing, pii, quality
 from reprolens.llm.common import Stage, documents
 
 
+WORDS, PERCENT = 5, 80  # of a shingle; similarity in hundredths
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score is below the cut. Learns from the labelled rows of this stage's own input."""
     return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; documents without an id are in no group."""
-    found = jaccard.components(spark, docs)
+    """Keeps the document with the smallest id of each group; documents without an id are in no group.
+
+    Documents are alike from a similarity of 0.8 of their five-word shingles on.
+    """
+    found = jaccard.components(spark, docs, WORDS, PERCENT)
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
