@@ -433,9 +433,9 @@ def test_pipeline(spark, sf):
         before_ids, ids = ({r.doc_id for r in x.select("doc_id").collect()} for x in (frame, after))
         assert ids <= before_ids
         if name == "ngram_jaccard":
-            assert ids == {r.component_id for r in jaccard.components(spark, frame).collect()}
+            assert ids == {r.component_id for r in jaccard.components(spark, frame, p.WORDS, p.PERCENT).collect()}
         if name == "pii":
-            assert all(not base(r.text or "") or True for r in after.limit(1).collect()) and after.count() == frame.count()
+            assert after.count() == frame.count()
             assert pii.digest(spark, after).filter("n_email + n_phone > 0").count() == 0
         if name == "mixing":
             copies = {r.doc_id: r.copies for r in mixing.mix(spark, frame).collect()}
