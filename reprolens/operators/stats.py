@@ -25,6 +25,23 @@ def average_rank(value: str, *group: str) -> Column:
     return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
 
 
+def before(cells: DataFrame, value: str, n: str, parts: int = 256) -> DataFrame:
+    """before: the sum of ``n`` over smaller values, for a table with a row for each value.
+
+    Values are cut at approximate quantiles; sums of the parts (``parts`` rows at most) give each part's
+    start, so that no task orders more than its part.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    cells = cells.withColumn("_v", F.col(value).cast("double"))
+    cuts = sorted(set(cells.approxQuantile("_v", [i / parts for i in range(1, parts)], 0.5 / parts))) or [0.0]
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_v", outputCol="_part").transform(cells)
+    sums = cut.groupBy("_part").agg(F.sum(n).alias("_sum"))
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(n).over(W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut.join(F.broadcast(starts), "_part").withColumn("before", F.col("_start") + inside).drop("_v", "_part", "_start")
+
+
 def spearman(rows: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     """Pearson correlation of average ranks over rows where both are known."""
     both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -54,8 +71,7 @@ def concordance(rows: DataFrame, band: str, value: str) -> DataFrame:
 def mann_whitney(rows: DataFrame, side: Column, value: str) -> DataFrame:
     """U of the first side (side true), both sizes, and the normal score with a tie correction."""
     cells = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    one = cells.withColumn("rank", before + (F.col("n") + 1) / 2).agg(F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    one = before(cells, "v", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).agg(F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
