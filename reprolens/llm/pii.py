@@ -437,7 +437,7 @@ def spans_of(texts: list[bytes], field: Field) -> list[tuple[list[tuple[int, int
 
 def find(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, base and added spans for each row. Null and empty texts have none; repeated rows are alike; an empty table gives no rows."""
-    field = trained(labelled if labelled is not None else labelled_table(spark))
+    field = trained(labelled) if labelled is not None else own_field(spark)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, limit=1 << 22):
@@ -455,6 +455,16 @@ def trained(labelled: DataFrame) -> Field:
     return train(rows)
 
 
+_OWN: list[Field] = []
+
+
+def own_field(spark: SparkSession) -> Field:
+    """The field of the table that comes with this module, trained once for each process."""
+    if not _OWN:
+        _OWN.append(trained(labelled_table(spark)))
+    return _OWN[0]
+
+
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = find(spark, docs)
     count = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -473,7 +483,7 @@ def _rank(span):
 
 def redact(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with every span replaced by its kind in brackets, and n_chars counted anew where it exists; all other columns stay."""
-    field = trained(labelled if labelled is not None else labelled_table(spark))
+    field = trained(labelled) if labelled is not None else own_field(spark)
     names = docs.columns
     at = names.index("text")
 
