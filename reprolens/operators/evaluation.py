@@ -64,6 +64,16 @@ def name_grounded(name: Column, text: Column) -> Column:
     return F.when(norm(name) == "", F.lit(False)).otherwise(body.contains(F.concat(F.lit(" "), norm(name), F.lit(" "))) | (share >= 0.6) | F.arrays_overlap(acronyms(name), words))
 
 
+def grounding(names: DataFrame, texts: DataFrame, key: str, name: str, text_key: str, text: str) -> DataFrame:
+    """key, text_key, grounded for every name and text, as ``name_grounded``; each name and text is normalised once, names go to every task."""
+    padded = lambda x: F.concat(F.lit(" "), norm(x), F.lit(" "))
+    a = names.select(F.col(key), padded(F.col(name)).alias("_phrase"), tokens(F.col(name)).alias("_t"), F.coalesce(acronyms(F.col(name)), F.array().cast("array<string>")).alias("_a"))
+    b = texts.select(F.col(text_key), padded(F.col(text)).alias("_body"), F.array_distinct(F.split(norm(F.col(text)), " ")).alias("_words"))
+    share = F.when(F.size("_t") > 0, F.size(F.array_intersect("_t", "_words")) / F.size("_t")).otherwise(0.0)
+    said = F.col("_body").contains(F.col("_phrase")) | (share >= 0.6) | F.arrays_overlap("_a", "_words")
+    return b.join(F.broadcast(a)).select(key, text_key, F.when(F.trim("_phrase") == "", F.lit(False)).otherwise(said).alias("grounded"))
+
+
 def value_grounded(value: Column, text: Column) -> Column:
     """A number of two or more characters in the value occurs in the text."""
     numbers = F.filter(F.regexp_extract_all(value, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda n: F.length(n) >= 2)
