@@ -333,9 +333,8 @@ def ground_tokens(spark, sf):
 
 
 def ground_tokens_whole(spark, sf):
-    """All benchmark items against all documents."""
-    b = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("name"))
-    g = evaluation.grounding(b, table(spark, sf, "documents"), "item_id", "name", "doc_id", "text")
+    """All benchmark items, with their whole texts as names, against all documents."""
+    g = evaluation.grounding(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
     return g.groupBy("item_id").agg(F.count_if("grounded").alias("n_grounded"), F.count("*").alias("n"))
 
 
@@ -408,9 +407,14 @@ def recipe_normalise(spark, sf):
     return table(spark, sf, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.run_command", F.array_join("r.setup_steps", "; ").alias("steps"), F.size("r.requires_dataset").cast("long").alias("n_data"), F.size("r.produces_metric").cast("long").alias("n_metrics"), "r.confidence")
 
 
-def joined_documents(spark, sf):
+def joined_documents(spark, sf, most=300):
     c = table(spark, sf, "conversations").withColumn("rank", F.when(C("role") == "system", 0).when(C("role") == "user", 1).otherwise(2)).withColumn("name", F.format_string("%03d", C("turn")))
-    return extraction.joined_documents(c, "conv_id", "name", "rank", "text", 300).select("conv_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+    return extraction.joined_documents(c, "conv_id", "name", "rank", "text", most).select("conv_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+def joined_documents_whole(spark, sf):
+    """Conversations up to the reference's limit of 16,000 characters."""
+    return joined_documents(spark, sf, 16_000)
 
 
 def python_resolver(spark, sf):
@@ -568,7 +572,7 @@ QUERIES = {f.__name__: f for f in (
     prf_micro, prf_macro, prf_groups, greedy_match, greedy_match_exact, recipe_f1, step_jaccard, ground_tokens, value_grounded, chunk_words, chunk_stats, section_isolation, vector_topk, passage_dedup, merge_first_wins, first_nonnull,
     seeds_union, json_fields, json_repair, summary_stats, band_stats, separation, concordance, spearman, mannwhitney_u, logit_fit, dedup_two_keys, dedup_exact, drop_reasons, additive_score, quota_fill, key_format, seeded_shuffle,
     left_join_attrs, tier_coalesce, anti_resume, recipe_normalise, joined_documents, python_resolver, docker_inspect, study_model_grid, reference_present, common_fields,
-    compare_entry_status_whole, recipe_f1_whole, ground_tokens_whole, reference_present_whole, common_fields_whole,
+    compare_entry_status_whole, recipe_f1_whole, ground_tokens_whole, reference_present_whole, common_fields_whole, joined_documents_whole,
 )}
 
 ORACLES = {
@@ -686,6 +690,7 @@ ORACLES = {
 #: The same SQL without its subset; grounding of all texts is too slow for SQL and is tested on a small table.
 ORACLES |= {
     "compare_entry_status_whole": ORACLES["compare_entry_status"].replace(" WHERE o_custkey % 3 <> 0", "").replace(" AND g.o_orderkey % 3 = 0", ""),
+    "joined_documents_whole": ORACLES["joined_documents"].replace("300", "16000"),
     "recipe_f1_whole": ORACLES["recipe_f1"].replace(" AND p_size % 5 = 0", ""),
     "reference_present_whole": ORACLES["reference_present"].replace(" WHERE c_custkey < 100", ""),
     "common_fields_whole": ORACLES["common_fields"].replace(" WHERE event_id < 2000", ""),

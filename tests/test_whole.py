@@ -30,3 +30,12 @@ def test_grounding_equals_pairs(spark, tmp_path):
     a.write.parquet(f"{tmp_path}/benchmark.parquet")
     b.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.item_id: r.n for r in catalog.QUERIES["ground_tokens_whole"](spark, str(tmp_path)).collect()} == dict.fromkeys(range(6), 8)
+
+
+def test_texts_are_not_cut(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(100))
+    spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert catalog.QUERIES["joined_documents_whole"](spark, str(tmp_path)).first().n_chars == 2 * (len(text) + len("## 000\n")) + 2
+    spark.createDataFrame([(0, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, text), (1, "word0 word1 word2 word3 word4 word5")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["ground_tokens_whole"](spark, str(tmp_path)).first().n_grounded == 1
