@@ -3,8 +3,10 @@
 Lines that start with marks (">", possibly several, with blanks between) are quotes; the number of
 marks is the level. Each run of lines of one level is a passage. Passages are normalised (lower case,
 letters and digits only, single spaces) and hashed; the same is done for every sentence-like line of
-what a message says itself, and for all of it. A quote is linked to the earliest other message whose
-own passage has the same hash: of the same conversation if there is one, else of any. A conversation
+what a message says itself, and for all of it; and for each run of such lines that is as long as a
+quote which begins with the same line (lines without letters and digits don't count). A quote is
+linked to the earliest other message that has the same hash: of the same conversation if there is
+one, else of any. A conversation
 is read in reply order, without quotes: links within it form threads, a message that quotes follows
 the thread of what it quotes, and threads come in the order of their first turns.
 """
@@ -35,13 +37,19 @@ def lines(messages: DataFrame) -> DataFrame:
 
 
 def passages(split: DataFrame) -> DataFrame:
-    """Runs of lines of one level: conv_id, turn, level, first line, body, hash (null if nothing is left after normalising)."""
+    """Runs of lines of one level: conv_id, turn, level, first line, parts (normalised lines that aren't empty), hash (null if there are none)."""
     by = W.partitionBy("conv_id", "turn").orderBy("line")
     cut = split.withColumn("new", (F.coalesce(F.lag("level").over(by), F.lit(-1)) != F.col("level")).cast("int"))
     cut = cut.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"])
-    out = cut.groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.array_join(ordered, "\n").alias("body"))
-    return out.withColumn("hash", _hash(F.col("body"))).drop("run")
+    out = cut.groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), ordered.alias("bodies"))
+    out = out.withColumn("parts", F.filter(F.transform("bodies", normalised), lambda x: x != ""))
+    return out.withColumn("hash", F.when(F.size("parts") > 0, _joined(F.col("parts")))).drop("run", "bodies")
+
+
+def _joined(parts: Column) -> Column:
+    """The hash of normalised lines: that of their text when normalised as one."""
+    return F.sha2(F.array_join(parts, " "), 256)
 
 
 def _hash(body: Column) -> Column:
@@ -49,6 +57,18 @@ def _hash(body: Column) -> Column:
     return F.when(clean != "", F.sha2(clean, 256))
 
 
+def excerpts(found: DataFrame) -> DataFrame:
+    """conv_id, turn, hash of the consecutive lines of unquoted passages that are as many as a quote of several lines that begins like them."""
+    begins = found.filter("level > 0 and size(parts) > 1").select(F.col("parts")[0].alias("begin"), F.size("parts").alias("n"))
+    begins = begins.groupBy("begin").agg(F.collect_set("n").alias("sizes"))
+    own = found.filter("level = 0 and size(parts) > 1").select("conv_id", "turn", "line", "parts")
+    at = own.select("conv_id", "turn", "line", F.posexplode("parts").alias("pos", "begin")).join(begins, "begin")
+    at = at.groupBy("conv_id", "turn", "line").agg(F.collect_list(F.struct("pos", "sizes")).alias("at"))  # at most a message's own lines
+    inside = lambda x: F.transform(F.filter(x["sizes"], lambda n: x["pos"] + n <= F.size("parts")), lambda n: _joined(F.slice("parts", x["pos"] + 1, n)))
+    hashes = F.array_distinct(F.flatten(F.transform("at", inside)))
+    return own.join(at, ["conv_id", "turn", "line"]).select("conv_id", "turn", F.explode(hashes).alias("hash"))
+
+
 def link(spark: SparkSession, messages: DataFrame, stage: Stage | None = None) -> DataFrame:
     """conv_id, turn, level, line, hash, to_conv, to_turn for each quoted passage; the ends are null where nothing matches."""
     stage = stage or Stage(spark, "quotes")
@@ -57,6 +77,7 @@ def link(spark: SparkSession, messages: DataFrame, stage: Stage | None = None) -
     quotes = found.filter("level > 0 and hash is not null")
     wanted = quotes.select("hash").distinct()
     said = found.filter("level = 0").select("conv_id", "turn", "hash").unionByName(split.filter("level = 0").select("conv_id", "turn", _hash(F.col("body")).alias("hash")))
+    said = said.unionByName(excerpts(found))
     said = said.filter("hash is not null").join(wanted, "hash", "left_semi").distinct()
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"), F.count("*").alias("n"))
     # The earliest in each conversation (one row for each hash and conversation), then the earliest of all.
