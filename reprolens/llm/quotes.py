@@ -79,16 +79,18 @@ def link(spark: SparkSession, messages: DataFrame, stage: Stage | None = None) -
     said = found.filter("level = 0").select("conv_id", "turn", "hash").unionByName(split.filter("level = 0").select("conv_id", "turn", _hash(F.col("body")).alias("hash")))
     said = said.unionByName(excerpts(found))
     said = said.filter("hash is not null").join(wanted, "hash", "left_semi").distinct()
-    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"), F.count("*").alias("n"))
-    # The earliest in each conversation (one row for each hash and conversation), then the earliest of all.
-    near = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
-    out = quotes.join(near, ["hash", "conv_id"], "left").join(first, "hash", "left")
+    # The earliest in each conversation (one row for each hash and conversation), then the earliest of all, and that of the next conversation.
+    near = stage.write(said.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn")), "near")
+    first = near.groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("any"))
+    later = near.join(first, "hash").filter(F.col("conv_id") > F.col("any.conv_id"))
+    second = later.groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("next"))
+    out = quotes.join(near, ["hash", "conv_id"], "left").join(first, "hash", "left").join(second, "hash", "left")
     inside = F.col("near_turn").isNotNull() & (F.col("near_turn") < F.col("turn"))
-    outside = F.col("any.conv_id").isNotNull() & ~((F.col("any.conv_id") == F.col("conv_id")) & (F.col("any.turn") >= F.col("turn")))
+    outside = F.when(F.col("any.conv_id") == F.col("conv_id"), F.col("next")).otherwise(F.col("any"))
     return out.select(
         "conv_id", "turn", "level", "line", "hash",
-        F.when(inside, F.col("conv_id")).when(outside, F.col("any.conv_id")).alias("to_conv"),
-        F.when(inside, F.col("near_turn")).when(outside, F.col("any.turn")).alias("to_turn"),
+        F.when(inside, F.col("conv_id")).otherwise(outside["conv_id"]).alias("to_conv"),
+        F.when(inside, F.col("near_turn")).otherwise(outside["near_turn"]).alias("to_turn"),
     )
 
 

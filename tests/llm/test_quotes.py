@@ -15,3 +15,8 @@ def test_excerpts_of_several_lines(spark):
     assert (got[1, 1], got[1, 2]) == ((1, 0), (1, 0))
     assert got[1, 3] == got[1, 4] == got[3, 0] == (None, None)
     assert linked(spark, [(1, 0, "> a b\n> c d"), (2, 0, "x\n> q\na b\n> q\nc d")])[1, 0] == (None, None)
+
+
+def test_origin_in_the_next_conversation(spark):
+    rows = [(1, 3, "> P"), (1, 5, "p"), (2, 0, "p"), (2, 4, "> p"), (3, 0, "> p"), (4, 0, "> alone"), (4, 1, "alone")]
+    assert linked(spark, rows) == {(1, 3): (2, 0), (2, 4): (2, 0), (3, 0): (1, 5), (4, 0): (None, None)}
