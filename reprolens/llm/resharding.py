@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,6 +104,11 @@ def old_layout(docs: DataFrame, olds: int = OLD) -> DataFrame:
     return docs.withColumn("old_shard", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(olds)), F.lit(0)).cast("int"))
 
 
+def _measures() -> tuple[Column, Column]:
+    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    return (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
+
+
 def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, olds: int = OLD, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot for each row.
 
@@ -112,8 +117,7 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, olds: int
     that too are the same, so that any order gives the same result. An empty table gives no rows.
     """
     stage = Stage(spark, "reshard")
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    sized = plain(docs, "doc_id", "text").select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    sized = plain(docs, "doc_id", "text").select("doc_id", *_measures())
     sized = old_layout(sized, olds).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
     sized = stage.write(sized, "sized")
     # At most olds * blocks rows, a fixed number, from here to the offsets.
@@ -137,10 +141,21 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, olds: int
 
 
 def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
-    """Writes the new shards that differ from the old ones under ``path`` (shard=N folders); returns their numbers."""
+    """Writes the new shards that differ from the old ones under ``path`` (shard=N folders); returns their numbers.
+
+    Each row is written once, whatever its id: rows alike in id, size and checksum are numbered on both
+    sides (by their columns, and by their places) and paired by number.
+    """
     moved = assigned.filter("shard != old_shard")
     touched = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})  # shard numbers only
-    rows = docs.join(assigned.filter(F.col("shard").isin(touched)).select("doc_id", "shard", "slot"), "doc_id")
+    alike = ["doc_id", "size", "text_crc32"]
+    by_columns = [F.to_json(F.struct(F.col(f"row.`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"row.`{f.name}`") for f in docs.schema]
+    given = docs.select("doc_id", *_measures(), F.struct("*").alias("row"))
+    given = given.withColumn("copy", F.row_number().over(W.partitionBy(*alike).orderBy(*by_columns)))
+    to = assigned.withColumn("copy", F.row_number().over(W.partitionBy(*alike).orderBy("shard", "slot"))).filter(F.col("shard").isin(touched))
+    a, b = given.alias("a"), to.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*alike, "copy")]
+    rows = a.join(b, same).select("row.*", "shard", "slot")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
     return touched
 
