@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, rolling, width, word_hashes
@@ -257,12 +257,51 @@ def _cut_task(digest_only: bool):
 def dedup(spark: SparkSession, docs: DataFrame, k: int = K, m: int = SEED, digest_only: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (text) and paths for each document.
 
-    Null and empty texts have no words. Documents shorter than an edge lose nothing. Ids are expected to
-    be unique; rows without one lose nothing and are nobody's source. An empty table gives no rows.
+    Null and empty texts have no words. Documents shorter than an edge lose nothing. Rows alike in id and
+    text count as one document and get the same result. Unlike texts of one id are documents of their own,
+    in the order of their checksums; ``source_doc`` is the id that they share. Rows without an id lose
+    nothing and are nobody's source. An empty table gives no rows.
     """
     stage = Stage(spark, "substring")
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _dedup(spark, stage, docs, known, k, m, digest_only)
+    keys = stage.write(_row_keys(known), "keys")
+    keyed = docs.withColumn("sum", _checksum()).join(keys, ["doc_id", "sum"], "left").select("doc_id", "text", "key", "n")
+    keyed = stage.write(keyed, "keyed")
+    once = lambda rows: rows.select(F.col("key").alias("doc_id"), "text")
+    known = once(keyed.filter("n = 1")).unionByName(once(keyed.filter("n > 1").dropDuplicates(["key"])))
+    out = _dedup(spark, stage, once(keyed), known, k, m, digest_only)
+    return _with_ids(stage, out, keys.select("key", F.col("doc_id").alias("id")), digest_only)
+
+
+def _checksum() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def _row_keys(known: DataFrame) -> DataFrame:
+    """doc_id, sum, n (rows), key for each id and text: keys follow the order of (doc_id, sum)."""
+    rows = known.select("doc_id", _checksum().alias("sum")).groupBy("doc_id", "sum").agg(F.count("*").alias("n"))
+    return rows.orderBy("doc_id", "sum").withColumn("key", F.monotonically_increasing_id())
+
+
+def _with_ids(stage: Stage, out: DataFrame, ids: DataFrame, digest_only: bool) -> DataFrame:
+    """The result with ids in place of keys, in the paths too."""
+    out = stage.write(out.withColumnRenamed("doc_id", "key"), "out")
+    named = out.join(ids, "key", "left")
+    if digest_only:
+        return named.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "paths")
+    steps = out.dropDuplicates(["key"]).select(F.col("key").alias("of"), F.explode("paths").alias("p"))
+    steps = steps.join(ids, F.col("p.source_doc") == F.col("key"))
+    path = F.struct("p.start", "p.words", F.col("id").alias("source_doc"), "p.source_start")
+    steps = steps.groupBy("of").agg(F.array_sort(F.collect_list(path)).alias("known_paths"))  # a document's own paths
+    named = named.join(steps, F.col("key") == F.col("of"), "left")
+    return named.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", F.coalesce("known_paths", "paths").alias("paths"))
+
+
+def _dedup(spark: SparkSession, stage: Stage, docs: DataFrame, known: DataFrame, k: int, m: int, digest_only: bool) -> DataFrame:
+    """``dedup`` of docs; known has each doc_id once."""
     n = width(spark)
     by_hash = lambda rows, task: rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(task, DEALT).unionByName(rows.filter("bucket < 0"))
     seeds = stage.write(known.mapInArrow(_seed_task(k, m, n), DEALT), "seeds")
