@@ -1,4 +1,4 @@
-"""Substring dedup by compacting a de Bruijn graph of token k-mers.
+"""Substring dedup by runs of repeated token k-mers, the edges of a de Bruijn graph.
 
 The edges of the graph are runs of 20 words; an edge that starts at several places is repeated.
 Edges are told apart by 64-bit hashes with a 32-bit check.
@@ -8,8 +8,11 @@ Edges are told apart by 64-bit hashes with a 32-bit check.
 2. Edges. Where a document has repeated seeds, the edges that contain them are dealt out by hash;
    each place that an edge starts at, but the first by (doc_id, start), comes back with the first.
 3. Paths. Repeated edges of a document that follow each other, and whose first places do too, are
-   compacted to one path (start, length, source document, source start) by Spark joins on the
-   document; the words that paths cover are removed.
+   glued to one path (start, length, source document, source start) in the tasks that hold the
+   document's places; the words that paths cover are removed.
+
+The graph itself isn't built: there are no nodes, degrees or test for nonbranching paths, and the words
+at the source aren't read again; equal hashes and checks stand for equal words.
 
 A task counts repeats within its own chunk of documents before anything is dealt, so the rows of a
 very common seed or edge are bounded by the number of chunks.
