@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,21 +30,39 @@ def norm(x: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _named(n: Column) -> Column:
+    """Words of a normal form that are longer than one character and no stop words."""
+    return F.filter(F.split(n, " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+
+
+def _initials(w: Column) -> Column:
+    return F.when(F.size(w) >= 2, F.array_join(F.transform(w, lambda t: F.substring(t, 1, 1)), ""))
+
+
+def _acronyms(x: Column, w: Column) -> Column:
+    inside = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\(([A-Za-z0-9-]{2,})\)"), F.lit(1))
+    inside = F.transform(inside, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
+    return F.array_distinct(F.array_compact(F.concat(inside, F.array(_initials(w)))))
+
+
 def tokens(x: Column) -> Column:
     """Distinct words of the normal form that are longer than one character and no stop words."""
-    return F.array_distinct(F.filter(F.split(norm(x), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
+    return F.array_distinct(_named(norm(x)))
 
 
 def initials(x: Column) -> Column:
     """First letters of the tokens in order, if there are two or more; else null."""
-    words = F.filter(F.split(norm(x), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
-    return F.when(F.size(words) >= 2, F.array_join(F.transform(words, lambda t: F.substring(t, 1, 1)), ""))
+    return _let(_named(norm(x)), _initials)
 
 
 def acronyms(x: Column) -> Column:
-    """Parenthesised forms of two or more letters or digits, and the initials."""
-    inside = F.transform(F.regexp_extract_all(plain(x), F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
-    return F.array_distinct(F.array_compact(F.concat(F.filter(inside, lambda t: F.length(t) >= 2), F.array(initials(x)))))
+    """Parentheses that hold two or more letters, digits and dashes only (dashes are dropped), and the initials."""
+    return _let(_named(norm(x)), lambda w: _acronyms(x, w))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -51,23 +71,42 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def names_match(a: Column, b: Column) -> Column:
-    """Equal normal forms, an acronym of the other, a shared acronym, half of the tokens shared, or one inside the other (4 or more characters)."""
-    na, nb = norm(a), norm(b)
-    squeezed = [F.regexp_replace(n, " ", "") for n in (na, nb)]
-    ta, tb, ca, cb = tokens(a), tokens(b), acronyms(a), acronyms(b)
-    short, long = F.when(F.length(na) <= F.length(nb), na).otherwise(nb), F.when(F.length(na) <= F.length(nb), nb).otherwise(na)
-    return F.when((na == "") | (nb == ""), F.lit(False)).otherwise(
-        (na == nb)
-        | (squeezed[0] == squeezed[1])
-        | F.array_contains(ca, squeezed[1])
-        | F.array_contains(cb, squeezed[0])
-        | F.arrays_overlap(ca, cb)
-        | ((F.size(ta) > 0) & (F.size(tb) > 0) & (jaccard(ta, tb) >= 0.5))
-        | ((F.length(short) >= 4) & F.contains(long, short))
+def facts(x: Column) -> Column:
+    """What the comparison of names needs of each: computed once a row, before rows meet in a join."""
+    bare = F.replace(plain(x), F.lit(" "), F.lit(""))
+
+    def of(n: Column) -> Column:
+        squeezed = F.replace(n, F.lit(" "), F.lit(""))  # equal normal forms are equal here, too
+        return _let(_named(n), lambda w: F.struct(squeezed.alias("squeezed"), F.array_distinct(w).alias("tokens"), _acronyms(x, w).alias("acronyms"), bare.alias("bare")))
+
+    return _let(norm(x), of)
+
+
+def holds(a: Column, b: Column, least: int) -> Column:
+    """The shorter string, of ``least`` characters or more, occurs in the longer one."""
+    return F.when(F.length(a) <= F.length(b), (F.length(a) >= least) & F.contains(b, a)).otherwise((F.length(b) >= least) & F.contains(a, b))
+
+
+def facts_match(a: Column, b: Column) -> Column:
+    """Of two ``facts``: an acronym of the other, a shared acronym, half of the tokens shared, equal without blanks, or one inside the other (4 or more characters)."""
+    x, y = a["squeezed"], b["squeezed"]
+    ta, tb = a["tokens"], b["tokens"]
+    half = 3 * F.size(F.array_intersect(ta, tb)) >= F.size(ta) + F.size(tb)  # the Jaccard similarity is 0.5 or more
+    return F.when((x == "") | (y == ""), F.lit(False)).otherwise(
+        (x == y)
+        | holds(x, y, 4)
+        | F.array_contains(a["acronyms"], y)
+        | F.array_contains(b["acronyms"], x)
+        | F.arrays_overlap(a["acronyms"], b["acronyms"])
+        | ((F.size(ta) > 0) & (F.size(tb) > 0) & half)
     )
 
 
+def names_match(a: Column, b: Column) -> Column:
+    """Names that are the same but for spelling, as ``facts_match`` of both."""
+    return facts_match(facts(a), facts(b))
+
+
 def slug(x: Column) -> Column:
     """Lower case, other runs than a-z and 0-9 as one dash, none at the ends; null becomes "default"."""
     return F.coalesce(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("default"))

@@ -26,9 +26,16 @@ def reasons(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key; rows with a null key all stay."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_k", key).withColumn("_n", F.when(F.col("_k").isNull(), 1).otherwise(place)).filter("_n = 1").drop("_k", "_n")
+    """The first row of each key; rows with a null key all stay, in the tasks that read them.
+
+    An aggregation, so that each task sends one row of a key however often it holds it; a key is sent as
+    a 256-bit checksum if it is a string.
+    """
+    keyed = rows.withColumn("_k", key)
+    if dict(keyed.dtypes)["_k"] == "string":
+        keyed = keyed.withColumn("_k", F.sha2("_k", 256))
+    first = keyed.filter("_k is not null").groupBy("_k").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)).alias("_first"))
+    return first.select("_first.*").unionByName(keyed.filter("_k is null").drop("_k"))
 
 
 def keep_first_two_keys(rows: DataFrame, first: str, second: str, order: str) -> DataFrame:
@@ -90,9 +97,10 @@ def tier(points: Column) -> Column:
 def quota(rows: DataFrame, points: str, order: str, full: int = 30, rest: int = 70) -> DataFrame:
     """By points, then order: up to ``full`` rows of the full tier; those beyond, and all others, share ``rest`` places."""
     rows = rows.withColumn("_full", tier(F.col(points)) == "full")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_full").orderBy(F.desc(points), order)))
-    # Only the first full + rest rows of either kind can get a place.
-    rows = rows.filter(F.col("_n") <= full + rest).withColumn("final_tier", F.when(F.col("_full") & (F.col("_n") <= full), "full").otherwise("build_only"))
+    # Only the first full + rest rows of either kind can get a place: each task offers that many, and the windows see no more.
+    front = [rows.filter(F.col("_full") == side).orderBy(F.desc(points), order).limit(full + rest) for side in (True, False)]
+    rows = front[0].unionByName(front[1])
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_full").orderBy(F.desc(points), order))).withColumn("final_tier", F.when(F.col("_full") & (F.col("_n") <= full), "full").otherwise("build_only"))
     limit = F.when(F.col("final_tier") == "full", full).otherwise(rest)
     rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("final_tier").orderBy(F.desc(points), order)))
     return rows.filter(F.col("_m") <= limit).drop("_full", "_n", "_m")

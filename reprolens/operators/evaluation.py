@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from reprolens.functions.text import acronyms, jaccard, names_match, norm, tokens
+from reprolens.functions.text import NULLISH_EVALUATION, acronyms, clean, facts, facts_match, jaccard, norm, plain, tokens
+from reprolens.functions.values import canonical
 
 # Fields of the headline group and of the repository group; all are in the overall group.
 HEADLINE = ("methods", "datasets", "parameters", "evaluation_results", "environment")
-REPOSITORY = ("software", "seeds")
+REPOSITORY = ("software", "random_seeds")
+VALUED = ("evaluation_results",)  # fields whose values must be equal, too, even if not strict
 
 
 def prf(rows: DataFrame, *key: str) -> DataFrame:
@@ -36,17 +45,30 @@ def by_group(rows: DataFrame) -> DataFrame:
     return prf(rows.withColumn("group", F.explode(groups(F.col("field")))), "group")
 
 
-def greedy_match(gold: DataFrame, predicted: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(study, field, pos, name) on both sides: in gold order, each takes the first unused prediction that matches; tp, fp, fn per study and field.
+def greedy_match(gold: DataFrame, predicted: DataFrame, fuzzy: bool = True, strict: bool = False) -> DataFrame:
+    """(study, field, pos, name[, extra, value]) on both sides: in gold order, each takes the first unused prediction that matches; tp, fp, fn per study and field.
+
+    Names match fuzzily or as trimmed lower case; ``extra``, where there is one, must be equal (it tells the
+    slots of an environment apart); so must the canonical ``value`` if strict or of a field in VALUED.
 
-    A fold over the two name lists of a study and field (tens of names each), by higher-order functions.
+    A fold over the two name lists of a study and field (tens of names each), by higher-order functions; names
+    are normalised once each, before they are listed.
     """
-    names = lambda t, n: t.filter(F.col("name").isNotNull() & (F.trim("name") != "")).groupBy("study", "field").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias(n))
-    both = names(gold, "g").join(names(predicted, "p"), ["study", "field"], "full").withColumns({"g": F.coalesce("g", F.expr("cast(array() as array<struct<pos:int,name:string>>)")), "p": F.coalesce("p", F.expr("cast(array() as array<struct<pos:int,name:string>>)"))})
-    same = names_match if fuzzy else (lambda a, b: norm(a) == norm(b))
+    form = facts(F.col("name")) if fuzzy else plain(F.col("name"))
+
+    def names(t: DataFrame, n: str) -> DataFrame:
+        extra = plain(F.col("extra")) if "extra" in t.columns else F.lit("")
+        value = F.when(F.lit(strict) | F.col("field").isin(*VALUED), F.coalesce(canonical(F.col("value")), F.lit(""))).otherwise("") if "value" in t.columns else F.lit("")
+        entry = F.struct("pos", F.concat_ws("|", extra, value).alias("same"), form.alias("name"))
+        return t.filter(plain(F.col("name")) != "").groupBy("study", "field").agg(F.array_sort(F.collect_list(entry)).alias(n))
+
+    sides = [names(gold, "g"), names(predicted, "p")]
+    none = lambda n: F.coalesce(n, F.array().cast(sides[0].schema["g"].dataType))
+    both = sides[0].join(sides[1], ["study", "field"], "full").withColumns({"g": none("g"), "p": none("p")})
+    same = facts_match if fuzzy else (lambda a, b: a == b)
 
     def take(used: Column, g: Column) -> Column:
-        free = F.filter("p", lambda x: ~F.array_contains(used, x["pos"]) & same(g["name"], x["name"]))
+        free = F.filter("p", lambda x: ~F.array_contains(used, x["pos"]) & (g["same"] == x["same"]) & same(g["name"], x["name"]))
         hit = F.try_element_at(free, F.lit(1))["pos"]
         return F.when(hit.isNotNull(), F.array_append(used, hit)).otherwise(used)
 
@@ -64,14 +86,48 @@ def name_grounded(name: Column, text: Column) -> Column:
     return F.when(norm(name) == "", F.lit(False)).otherwise(body.contains(F.concat(F.lit(" "), norm(name), F.lit(" "))) | (share >= 0.6) | F.arrays_overlap(acronyms(name), words))
 
 
-def grounding(names: DataFrame, texts: DataFrame, key: str, name: str, text_key: str, text: str) -> DataFrame:
-    """key, text_key, grounded for every name and text, as ``name_grounded``; each name and text is normalised once, names go to every task."""
-    padded = lambda x: F.concat(F.lit(" "), norm(x), F.lit(" "))
-    a = names.select(F.col(key), padded(F.col(name)).alias("_phrase"), tokens(F.col(name)).alias("_t"), F.coalesce(acronyms(F.col(name)), F.array().cast("array<string>")).alias("_a"))
-    b = texts.select(F.col(text_key), padded(F.col(text)).alias("_body"), F.array_distinct(F.split(norm(F.col(text)), " ")).alias("_words"))
-    share = F.when(F.size("_t") > 0, F.size(F.array_intersect("_t", "_words")) / F.size("_t")).otherwise(0.0)
-    said = F.col("_body").contains(F.col("_phrase")) | (share >= 0.6) | F.arrays_overlap("_a", "_words")
-    return b.join(F.broadcast(a)).select(key, text_key, F.when(F.trim("_phrase") == "", F.lit(False)).otherwise(said).alias("grounded"))
+def grounding(names: DataFrame, texts: DataFrame, key: str, name: str, text_key: str, text: str, share: float = 0.6, block: int = 4096) -> DataFrame:
+    """key, text_key of every name and text where ``name_grounded`` holds; keys are unique, each name and text is normalised once.
+
+    Names are taken in blocks of about ``block``, indexed by word; a task looks each distinct word of a text
+    up once and counts for each name that has it. Texts are read once for each block and never shuffled.
+    """
+    forms = names.select(F.col(key).alias("key"), norm(F.col(name)).alias("phrase"), tokens(F.col(name)).alias("tokens"), acronyms(F.col(name)).alias("acronyms")).filter("phrase != ''")
+    blocks = max(1, -(-forms.count() // block))
+    bodies = texts.select(F.col(text_key).alias("key"), norm(F.col(text)).alias("body"))
+    found = StructType([StructField(key, names.schema[key].dataType), StructField(text_key, texts.schema[text_key].dataType)])
+    parts = [bodies.mapInArrow(_grounded(forms.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect(), share, found), found) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _grounded(forms: list, share: float, found: StructType):
+    index: dict[str, list[int]] = {}  # numbers of the names that have the word as a token
+    short: dict[str, list[int]] = {}  # as an acronym
+    for i, f in enumerate(forms):
+        for word in f.tokens:
+            index.setdefault(word, []).append(i)
+        for word in f.acronyms:
+            short.setdefault(word, []).append(i)
+    lists = {word: np.array(at) for word, at in index.items()}
+    sizes = np.array([len(f.tokens) for f in forms])
+    phrases = [(i, f" {f.phrase} ") for i, f in enumerate(forms) if not f.tokens]  # with tokens, all of them are there if the phrase is
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            names, texts = [], []
+            for text_key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = set(body.split(" "))
+                had = [lists[w] for w in words if w in lists]
+                counts = np.bincount(np.concatenate(had), minlength=len(forms)) if had else np.zeros(len(forms), dtype=np.int64)
+                hits = set(np.flatnonzero((sizes > 0) & (counts / np.maximum(sizes, 1) >= share)).tolist())
+                hits.update(i for w in words if w in short for i in short[w])
+                hits.update(i for i, phrase in phrases if phrase in f" {body} ")
+                names += [forms[i].key for i in sorted(hits)]
+                texts += [text_key] * len(hits)
+            schema = to_arrow_schema(found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, schema[0].type), pa.array(texts, schema[1].type)], schema=schema)
+
+    return run
 
 
 def value_grounded(value: Column, text: Column) -> Column:
@@ -83,7 +139,7 @@ def value_grounded(value: Column, text: Column) -> Column:
 def set_f1(gold: DataFrame, predicted: DataFrame, key: str, name: str) -> DataFrame:
     """Existential match both ways (two semi-joins): precision over predictions, recall over gold, F1."""
     g, p = gold.select(key, F.col(name).alias("a")).distinct(), predicted.select(key, F.col(name).alias("b")).distinct()
-    pairs = g.join(p, key).filter(names_match(F.col("a"), F.col("b")))
+    pairs = g.withColumn("x", facts(F.col("a"))).join(p.withColumn("y", facts(F.col("b"))), key).filter(facts_match(F.col("x"), F.col("y")))
     hits = pairs.groupBy(key).agg(F.count_distinct("a").alias("hit_a"), F.count_distinct("b").alias("hit_b"))
     out = g.groupBy(key).agg(F.count("*").alias("n_gold")).join(p.groupBy(key).agg(F.count("*").alias("n_pred")), key, "full").join(hits, key, "left").fillna(0)
     precision = F.when(F.col("n_pred") > 0, F.col("hit_b") / F.col("n_pred")).otherwise(0.0)
@@ -99,32 +155,47 @@ def step_jaccard(a: Column, b: Column) -> Column:
 
 
 def gold_fields(rows: DataFrame) -> DataFrame:
-    """Ground truth (study_id, entities) to long rows study, field, pos, name, extra, value."""
-    return _long(rows, "study_id", {
-        "software": ("entities.SoftwareApplication", "name", "version", None), "datasets": ("entities.Dataset", "name", None, None), "methods": ("entities.Method", "name", None, None),
-        "parameters": ("entities.Parameter", "name", None, "value"), "seeds": ("entities.RandomSeed", "value", None, None), "evaluation_results": ("entities.EvaluationResult", "metric", "split", "value"),
+    """Ground truth (study_id, entities) to long rows study, field, pos, name, extra, value of the seven common fields."""
+    parts = _lists(rows, "study_id", {
+        "software": ("entities.SoftwareApplication", "name", "version"), "datasets": ("entities.Dataset", "name", None), "methods": ("entities.Method", "name", None),
+        "parameters": ("entities.Parameter", "name", "value"), "random_seeds": ("entities.RandomSeed", "value", None), "evaluation_results": ("entities.EvaluationResult", "metric", "value"),
     })
+    first = F.get("entities.ComputingEnvironment", F.lit(0))
+    return _all(parts, _slots(rows, "study_id", gpu_model=first["gpu"], cuda_version=first["cuda"]))
 
 
 def predicted_fields(rows: DataFrame) -> DataFrame:
     """Extraction records (study_id, metadata) to the same long rows."""
-    return _long(rows, "study_id", {
-        "software": ("metadata.dependencies", "name", "version", None), "datasets": ("metadata.datasets", "name", None, None), "methods": ("metadata.methods", "name", None, None),
-        "parameters": ("metadata.hyperparameters", "name", None, "value"), "evaluation_results": ("metadata.evaluation_results", "metric", "split", "value"),
+    parts = _lists(rows, "study_id", {
+        "software": ("metadata.dependencies", "name", "version"), "datasets": ("metadata.datasets", "name", None), "methods": ("metadata.methods", "name", None),
+        "parameters": ("metadata.hyperparameters", "name", "value"), "random_seeds": ("metadata.random_seeds", "", None), "evaluation_results": ("metadata.evaluation_results", "metric", "value"),
     })
+    return _all(parts, _slots(rows, "study_id", gpu_model=F.col("metadata.hardware.gpu_model"), cuda_version=F.col("metadata.hardware.cuda_version")))
 
 
-def _long(rows: DataFrame, key: str, fields: dict[str, tuple]) -> DataFrame:
-    from functools import reduce
+def _known(x: Column) -> Column:
+    return clean(x.cast("string"), NULLISH_EVALUATION)
 
-    from reprolens.functions.text import NULLISH_EVALUATION, clean
 
+def _lists(rows: DataFrame, key: str, fields: dict[str, tuple]) -> list[DataFrame]:
+    """One table for each field: path of the list, its name ("": the item itself) and its value; nameless items are left out."""
     parts = []
-    for field, (path, name, extra, value) in fields.items():
+    for field, (path, name, value) in fields.items():
         one = rows.select(F.col(key).alias("study"), F.posexplode(path).alias("pos", "x"))
-        pick = lambda c: clean(F.col(f"x.{c}").cast("string"), NULLISH_EVALUATION) if c else F.lit(None).cast("string")
-        parts.append(one.select("study", F.lit(field).alias("field"), "pos", pick(name).alias("name"), pick(extra).alias("extra"), pick(value).alias("value")).filter("name is not null"))
-    return reduce(DataFrame.unionByName, parts)
+        pick = lambda c: F.lit(None).cast("string") if c is None else _known(F.col(f"x.{c}" if c else "x"))
+        parts.append(one.select("study", F.lit(field).alias("field"), "pos", pick(name).alias("name"), F.lit("").alias("extra"), pick(value).alias("value")).filter("name is not null"))
+    return parts
+
+
+def _slots(rows: DataFrame, key: str, **slots: Column) -> DataFrame:
+    """The environment: a row for each slot that is known, with the slot in ``extra``."""
+    entries = F.array(*[F.struct(_known(x).alias("name"), F.lit(n).alias("extra")) for n, x in slots.items()])
+    one = rows.select(F.col(key).alias("study"), F.posexplode(entries).alias("pos", "x"))
+    return one.select("study", F.lit("environment").alias("field"), "pos", "x.name", "x.extra", F.lit(None).cast("string").alias("value")).filter("name is not null")
+
+
+def _all(parts: list[DataFrame], *more: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [*parts, *more])
 
 
 def pair_up(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:

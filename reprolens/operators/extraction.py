@@ -6,10 +6,14 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SIZE, OVERLAP, LEAST = 200, 25, 30  # words of a window, shared with the next, at least
 LONGEST = 200  # lines of a section without an end
@@ -46,18 +50,73 @@ def section(text: Column, start: str = START, end: str = END) -> Column:
     return F.struct(F.when(good, first).otherwise(quarter).cast("int").alias("first"), F.when(good, last).otherwise(quarter * 3).cast("int").alias("last"), good.alias("found"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, block: int = 4096) -> DataFrame:
     """query, key, score, place: the k vectors with the greatest cosine for each query; ties by key.
 
-    Queries are few and sent to every task; a vector meets each of them once, and only the k best of each
-    task's rows go on (``max_by`` keeps k).
+    Queries are taken in blocks of about ``block``, so that what every task gets is bounded however many
+    there are. A task keeps the k best it has met for each query of the block; only these are shuffled.
+    Vectors and queries that are null, zero, or hold null or non-finite components have no cosine;
+    vectors of another length than the query don't, either.
     """
-    unit = lambda x: F.transform(x, lambda v: v.cast("double") / F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
-    q = F.broadcast(queries.select(F.col(key).alias("query"), unit(F.col(embedding)).alias("_q")))  # a stated query set
-    dot = F.aggregate(F.zip_with("_x", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    scored = vectors.select(F.col(key), unit(F.col(embedding)).alias("_x")).join(q).select("query", key, F.round(dot, 6).alias("score"))
+    kind = vectors.schema[key].dataType
+    found = StructType([StructField("query", queries.schema[key].dataType), StructField(key, kind), StructField("score", DoubleType())])
+    asked = queries.select(F.col(f"`{key}`").alias("key"), F.col(f"`{embedding}`").cast("array<double>").alias("x"))
+    blocks = max(1, -(-asked.count() // block))
+    given = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{embedding}`").cast("array<double>").alias("x"))
+    best = None
+    for i in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()  # one block
+        part = given.mapInArrow(_best_of(rows, k, found), found)
+        best = part if best is None else best.unionByName(part)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), key))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    return best.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _units(keys: list, vectors: list) -> dict[int, tuple[list, np.ndarray]]:
+    """By length: keys and unit vectors, in the order of the keys."""
+    by: dict[int, tuple[list, list]] = {}
+    for key, v in zip(keys, vectors, strict=True):
+        if v and None not in v:
+            x = np.asarray(v, dtype=np.float64)
+            n = np.sqrt(x @ x)
+            if np.isfinite(n) and n > 0:
+                ids, held = by.setdefault(len(x), ([], []))
+                ids.append(key)
+                held.append(x / n)
+    out = {}
+    for size, (ids, held) in by.items():
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))
+        out[size] = [ids[i] for i in order], np.stack([held[i] for i in order])
+    return out
+
+
+def _best_of(rows: list, k: int, found: StructType, width: int = 1024):
+    """A task that keeps, for each of the given queries, the k best vectors it meets."""
+    asked = _units([r.key for r in rows], [r.x for r in rows])
+
+    def better(old: list[tuple], score: np.ndarray, ids: list) -> list[tuple]:
+        least = -np.partition(-score, k - 1)[k - 1] if len(score) > k else -np.inf
+        new = old + [(-score[j], ids[j]) for j in np.flatnonzero(score >= least).tolist()]
+        return sorted(new, key=lambda e: (e[0], e[1] is None, e[1]))[:k]
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {size: [[] for _ in ids] for size, (ids, _) in asked.items()}  # (negative score, key) of the best
+        for frame in frames:
+            for at in range(0, frame.num_rows, width):
+                b = frame.slice(at, width)
+                for size, (ids, x) in _units(b.column(0).to_pylist(), b.column(1).to_pylist()).items():
+                    if size not in asked:
+                        continue
+                    score = np.round(asked[size][1] @ x.T, 6)
+                    floor = np.array([-best[-1][0] if len(best) == k else -np.inf for best in held[size]])
+                    for q in np.flatnonzero(score.max(axis=1) >= floor).tolist():
+                        held[size][q] = better(held[size][q], score[q], ids)
+        out = [(query, name, -float(s)) for size, best in held.items() for query, entries in zip(asked[size][0], best, strict=True) for s, name in entries]
+        schema = to_arrow_schema(found)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def distinct_passages(rows: DataFrame, text: str, *order: str, prefix: int = 100) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reprolens.functions.text import names_match, norm
+from reprolens.functions.text import facts, facts_match, holds, norm, plain
 from reprolens.functions.values import classify_pair
 
 # Commands that still hold a placeholder.
@@ -92,20 +92,26 @@ def last_number_near(log: Column, metric: Column) -> Column:
     return F.when(word != "", F.try_element_at(hits, F.lit(-1)))
 
 
+def metrics_match(a: Column, b: Column) -> Column:
+    """Of two ``facts``: names match, or one lower-cased name without blanks holds the other (three characters or more)."""
+    return facts_match(a, b) | holds(a["bare"], b["bare"], 3)
+
+
 def metric_match(a: Column, b: Column) -> Column:
-    """Names match, or one normal form holds the other (three characters or more)."""
-    na, nb = norm(a), norm(b)
-    short, long = F.when(F.length(na) <= F.length(nb), na).otherwise(nb), F.when(F.length(na) <= F.length(nb), nb).otherwise(na)
-    return names_match(a, b) | ((F.length(short) >= 3) & F.contains(long, short))
+    return metrics_match(facts(a), facts(b))
 
 
 def compare(claims: DataFrame, obtained: DataFrame) -> DataFrame:
     """(study, pos, metric, value, split) on both sides: each claim with the first matching result, which others may use too."""
-    a = claims.select("study", F.col("pos").alias("claim"), "metric", F.col("value").alias("claimed"), F.col("split").alias("s"))
-    b = obtained.select("study", F.col("pos").alias("p"), F.col("metric").alias("m"), F.col("value").alias("v"), F.col("split").alias("t"))
-    same = metric_match(F.col("metric"), F.col("m")) & (F.col("s").isNull() | F.col("t").isNull() | (norm(F.col("s")) == norm(F.col("t"))))
-    found = a.join(b, "study", "left").withColumn("hit", F.when(same, F.struct("p", "v")))
-    first = found.groupBy("study", "claim", "metric", "claimed").agg(F.min("hit")["v"].alias("obtained"))
+    # Of results alike in study, metric and split only the first can be taken, and claims alike in these take the same one.
+    kind = ["study", "metric", "split"]
+    once = obtained.groupBy(*kind).agg(F.min(F.struct(F.col("pos").alias("p"), F.col("value").alias("v"))).alias("hit"))
+    b = once.select("study", facts(F.col("metric")).alias("y"), plain(F.col("split")).alias("t"), "hit")
+    a = claims.select(*kind).distinct().select(*kind, facts(F.col("metric")).alias("x"), plain(F.col("split")).alias("s"))
+    same = ((F.col("s") == "") | (F.col("t") == "") | (F.col("s") == F.col("t"))) & metrics_match(F.col("x"), F.col("y"))
+    found = a.join(b, "study").filter(same).groupBy(*kind).agg(F.min("hit")["v"].alias("obtained"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in kind], "obtained")
+    first = claims.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kind], "left").select("study", F.col("pos").alias("claim"), "metric", F.col("value").alias("claimed"), "obtained")
     return first.withColumn("result", F.when(F.col("obtained").isNull(), "missing").otherwise(classify_pair(F.col("claimed"), F.col("obtained"))))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from reprolens.operators.graph import TYPE, ask
 
 PRIORITY = {"essential": 3, "important": 2, "useful": 1}
-FACTOR = (0.0, 0.5, 1.0)  # of the levels absent, partial, full
+#: Points are counted in whole 48ths, so that sums don't depend on their order: every criterion's most is a multiple of 1/24, level 1 is half of it.
+UNIT = 48
 TIERS = ((85.0, "excellent"), (70.0, "good"), (50.0, "fair"), (0.0, "poor"))
 
 
@@ -71,7 +72,7 @@ def weights() -> list[tuple[Criterion, float]]:
 
 
 def grade(quads: DataFrame) -> DataFrame:
-    """graph, position, dimension, criterion, priority, level (0 absent, 1 partial, 2 full), points, max_points."""
+    """graph, position, dimension, criterion, priority, level (0 absent, 1 partial, 2 full), units, max_units (48ths), points, max_points."""
     questions: dict[str, Column] = {}
     entries = []
     for i, (c, most) in enumerate(weights()):
@@ -83,21 +84,22 @@ def grade(quads: DataFrame) -> DataFrame:
         for k in range(len(full)):
             level = level.when(~F.col(f"f{i}_{k}"), 1)
         level = level.otherwise(2)
-        points = F.element_at(F.array(*[F.lit(f * most) for f in FACTOR]), level + 1)
-        entries.append(F.struct(F.lit(i).alias("position"), F.lit(c.dimension).alias("dimension"), F.lit(c.name).alias("criterion"), F.lit(c.priority).alias("priority"), level.alias("level"), points.alias("points"), F.lit(most).alias("max_points")))
+        whole = round(most * UNIT)
+        units = (level * (whole // 2)).cast("long")
+        entries.append(F.struct(F.lit(i).alias("position"), F.lit(c.dimension).alias("dimension"), F.lit(c.name).alias("criterion"), F.lit(c.priority).alias("priority"), level.alias("level"), units.alias("units"), F.lit(whole).cast("long").alias("max_units"), (units / UNIT).alias("points"), (F.lit(whole) / UNIT).alias("max_points")))
     return ask(quads, questions).select("graph", F.inline(F.array(*entries)))
 
 
 def dimensions(grades: DataFrame) -> DataFrame:
-    return grades.groupBy("graph", "dimension").agg(F.bround(F.sum("points"), 2).alias("score"), F.bround(F.sum("max_points"), 2).alias("max_score"))
+    return grades.groupBy("graph", "dimension").agg(F.bround(F.sum("units") / UNIT, 2).alias("score"), F.bround(F.sum("max_units") / UNIT, 2).alias("max_score"))
 
 
 def totals(grades: DataFrame) -> DataFrame:
-    raw = grades.groupBy("graph").agg(F.sum("points").alias("raw"), F.sum("max_points").alias("most"))
+    raw = grades.groupBy("graph").agg(F.sum("units").alias("raw"), F.sum("max_units").alias("most"))
     tier = F.lit(TIERS[-1][1])
     for least, name in reversed(TIERS[:-1]):
-        tier = F.when(F.col("raw") >= least, name).otherwise(tier)
-    return raw.select("graph", F.bround("raw", 2).alias("total_score"), F.bround(100 * F.col("raw") / F.col("most"), 1).alias("percent"), tier.alias("tier"))
+        tier = F.when(F.col("raw") >= least * UNIT, name).otherwise(tier)
+    return raw.select("graph", F.bround(F.col("raw") / UNIT, 2).alias("total_score"), F.bround(100 * F.col("raw") / F.col("most"), 1).alias("percent"), tier.alias("tier"))
 
 
 def recommendations(grades: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def recommendations(grades: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     rank = F.when(F.col("priority") == "essential", 0).when(F.col("priority") == "important", 1).otherwise(2)
-    open_points = F.bround(F.col("max_points") - F.col("points"), 2)
+    open_points = F.bround((F.col("max_units") - F.col("units")) / UNIT, 2)
     out = grades.filter("level < 2").withColumn("points_available", open_points)
     place = F.row_number().over(W.partitionBy("graph").orderBy(rank, F.desc("points_available"), "position"))
     return out.select("graph", "dimension", "criterion", "priority", "level", "points_available", place.cast("long").alias("place"))

@@ -19,34 +19,48 @@ def separation(rows: DataFrame, band: str, value: str, high: str, low: str) -> D
     return rows.agg(F.round(top - bottom, 4).alias("separation"))
 
 
-def average_rank(value: str, *group: str) -> Column:
-    """Rank with ties at the mean of their places."""
-    order, ties = W.partitionBy(*group).orderBy(value), W.partitionBy(*group, value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
+def before(cells: DataFrame, value: str, n: str, *group: str, parts: int = 256) -> DataFrame:
+    """before: the sum of ``n`` over smaller values of the group, for a table with a row for each group and value.
 
-
-def before(cells: DataFrame, value: str, n: str, parts: int = 256) -> DataFrame:
-    """before: the sum of ``n`` over smaller values, for a table with a row for each value.
-
-    Values are cut at approximate quantiles; sums of the parts (``parts`` rows at most) give each part's
-    start, so that no task orders more than its part.
+    Values are cut at approximate quantiles; sums of the parts (``parts`` rows at most for each group) give
+    each part's start, so that no task orders more than a group's rows of one part.
     """
     from pyspark.ml.feature import Bucketizer
 
     cells = cells.withColumn("_v", F.col(value).cast("double"))
     cuts = sorted(set(cells.approxQuantile("_v", [i / parts for i in range(1, parts)], 0.5 / parts))) or [0.0]
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_v", outputCol="_part").transform(cells)
-    sums = cut.groupBy("_part").agg(F.sum(n).alias("_sum"))
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum(n).over(W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.join(F.broadcast(starts), "_part").withColumn("before", F.col("_start") + inside).drop("_v", "_part", "_start")
+    sums = cut.groupBy(*group, "_part").agg(F.sum(n).alias("_sum"))
+    start = F.coalesce(F.sum("_sum").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_of"), start.alias("_start"))
+    inside = F.coalesce(F.sum(n).over(W.partitionBy(*group, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col("_part") == F.col("_of"), *[F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]]
+    out = cut.withColumn("_inside", inside).join(starts, same)
+    return out.withColumn("before", F.col("_start") + F.col("_inside")).select(*[c for c in cells.columns if c != "_v"], "before")
+
+
+def average_ranks(cells: DataFrame, value: str, rank: str, *group: str) -> DataFrame:
+    """group, value, rank of each value among the rows of its group (``_n``: rows of a cell), ties at the mean of their places."""
+    counted = cells.groupBy(*group, value).agg(F.sum("_n").alias("_rows"))
+    return before(counted, value, "_rows", *group).select(*group, value, (F.col("before") + (F.col("_rows") + 1) / 2).alias(rank))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *group: str) -> DataFrame:
-    """Pearson correlation of average ranks over rows where both are known."""
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumns({"_x": average_rank(x, *group), "_y": average_rank(y, *group)})
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.corr("_x", "_y"), 6).alias("rho"))
+    """Pearson correlation of average ranks over rows where both are known.
+
+    Rows are counted by (group, x, y) first; ranks are computed for distinct values and joined to these
+    cells, and the correlation is a weighted one, so that no task holds a group.
+    """
+    cells = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, F.col(x).alias("_a"), F.col(y).alias("_b")).agg(F.count("*").alias("_n"))
+    for value, rank in (("_a", "_x"), ("_b", "_y")):
+        ranks = average_ranks(cells, value, rank, *group).select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col(value).alias("_value"), rank)
+        cells = cells.join(ranks, [F.col(value) == F.col("_value"), *[F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]]).drop("_value", *[f"_of_{g}" for g in group])
+    n, u, v = F.col("_n").cast("double"), F.col("_x"), F.col("_y")
+    sums = cells.groupBy(*group).agg(F.sum("_n").alias("n"), *[F.sum(n * e).alias(k) for k, e in (("sx", u), ("sy", v), ("sxx", u * u), ("syy", v * v), ("sxy", u * v))])
+    m = F.col("n").cast("double")
+    cross, spread = F.col("sxy") - F.col("sx") * F.col("sy") / m, [F.col(f"s{a}{a}") - F.col(f"s{a}") * F.col(f"s{a}") / m for a in "xy"]
+    rho = F.when((spread[0] > 0) & (spread[1] > 0), cross / F.sqrt(spread[0] * spread[1]))
+    return sums.select(*group, "n", F.round(rho, 6).alias("rho"))
 
 
 def concordance(rows: DataFrame, band: str, value: str) -> DataFrame:
@@ -71,7 +85,7 @@ def concordance(rows: DataFrame, band: str, value: str) -> DataFrame:
 def mann_whitney(rows: DataFrame, side: Column, value: str) -> DataFrame:
     """U of the first side (side true), both sizes, and the normal score with a tie correction."""
     cells = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count("*").alias("n"))
-    one = before(cells, "v", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).agg(F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    one = before(cells, "v", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).agg(F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("a").cast("double") * F.col("rank")).alias("r1"), F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))

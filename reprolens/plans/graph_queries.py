@@ -248,12 +248,13 @@ _ASKS = [
     ("(p = 'rdf:type' AND o = 'RandomSeed') OR p IN ('hasParameter', 'usedMethod')", ["p = 'rdf:type' AND o = 'RandomSeed'", "p = 'usedMethod'"]),
     ("(p = 'rdf:type' AND o = 'EvaluationResult') OR p IN ('generatesDataset', 'usedDataset')", ["p = 'rdf:type' AND o = 'EvaluationResult'"]),
 ]
-_MOST = [5.0, 5.0, 5.0, 5.625, 5.625, 3.75, *["20.0::DOUBLE * 2 / 6"] * 3, 7.5, 5.0, 7.5, "30.0::DOUBLE * 0.4::DOUBLE", "30.0::DOUBLE * 0.3::DOUBLE", "30.0::DOUBLE * 0.3::DOUBLE"]
+#: The most points of each, in 24ths: whole numbers, whose sums don't depend on the order.
+_MOST = [120, 120, 120, 135, 135, 90, 160, 160, 160, 180, 120, 180, 288, 216, 216]
 _GRADES = "WITH " + QUADS + ", g AS (" + " UNION ALL ".join(
     f"SELECT graph, {i} AS position, '{c.dimension}' AS dimension, '{c.name}' AS criterion, '{c.priority}' AS priority, CASE WHEN NOT bool_or({_ASKS[i][0]}) THEN 0 "
-    + " ".join(f"WHEN NOT bool_or({f}) THEN 1" for f in _ASKS[i][1]) + f" ELSE 2 END AS level, ({_MOST[i]})::DOUBLE AS max_points FROM quads GROUP BY graph"
+    + " ".join(f"WHEN NOT bool_or({f}) THEN 1" for f in _ASKS[i][1]) + f" ELSE 2 END AS level, {_MOST[i]}::BIGINT AS most FROM quads GROUP BY graph"
     for i, (c, _) in enumerate(scoring.weights())
-) + "), grades AS (SELECT *, max_points * level / 2 AS points FROM g) "
+) + "), grades AS (SELECT *, most * level AS units, 2 * most AS max_units, most * level / 48.0::DOUBLE AS points FROM g) "
 
 QUERIES = {f.__name__: f for f in (
     quads_from_tables, triple_counts, entity_type_counts, distinct_graphs, fetch_graph, graph_exists, ask_batch, graph_merge_distinct, graph_replace, graph_delete, bgp_optional_deps, construct_links,
@@ -295,11 +296,11 @@ ORACLES = {
     "shape_conformance": _SHAPES + """, c AS (SELECT graph, count(*) FILTER (severity = 'Violation') AS violations, count(*) FILTER (severity = 'Warning') AS warnings FROM f GROUP BY graph)
       SELECT g.graph, coalesce(violations, 0) AS violations, coalesce(warnings, 0) AS warnings, coalesce(violations, 0) = 0 AS conforms FROM (SELECT DISTINCT graph FROM quads) g LEFT JOIN c ON c.graph = g.graph""",
     "score_criteria": _GRADES + "SELECT graph, dimension, criterion, level, round_even(points, 2) AS points FROM grades",
-    "score_dimensions": _GRADES + "SELECT graph, dimension, round_even(sum(points), 2) AS score, round_even(sum(max_points), 2) AS max_score FROM grades GROUP BY graph, dimension",
-    "score_total": _GRADES + f"SELECT graph, round_even(raw, 2) AS total_score, round_even(100 * raw / most, 1) AS percent, {_TIER} AS tier FROM (SELECT graph, sum(points) AS raw, sum(max_points) AS most FROM grades GROUP BY graph) x",
-    "score_tiers": _GRADES + f"SELECT tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM (SELECT graph, sum(points) AS raw FROM grades GROUP BY graph) x) y GROUP BY tier",
+    "score_dimensions": _GRADES + "SELECT graph, dimension, round_even(sum(units)::DOUBLE / 48, 2) AS score, round_even(sum(max_units)::DOUBLE / 48, 2) AS max_score FROM grades GROUP BY graph, dimension",
+    "score_total": _GRADES + f"SELECT graph, round_even(raw, 2) AS total_score, round_even(100 * units::DOUBLE / max_units, 1) AS percent, {_TIER} AS tier FROM (SELECT graph, sum(units)::DOUBLE / 48 AS raw, sum(units) AS units, sum(max_units) AS max_units FROM grades GROUP BY graph) x",
+    "score_tiers": _GRADES + f"SELECT tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM (SELECT graph, sum(units)::DOUBLE / 48 AS raw FROM grades GROUP BY graph) x) y GROUP BY tier",
     "recommendations_ranked": _GRADES + """SELECT graph, dimension, criterion, priority, level, points_available,
       row_number() OVER (PARTITION BY graph ORDER BY CASE priority WHEN 'essential' THEN 0 WHEN 'important' THEN 1 ELSE 2 END, points_available DESC, position) AS place
-      FROM (SELECT *, round_even(max_points - points, 2) AS points_available FROM grades WHERE level < 2) x""",
+      FROM (SELECT *, round_even((max_units - units) / 48.0::DOUBLE, 2) AS points_available FROM grades WHERE level < 2) x""",
 }
 del W

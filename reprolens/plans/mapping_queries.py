@@ -35,9 +35,9 @@ def map_recipe(spark, sf):
     return mapping.recipe(rows).select("graph", "s", "p", "o")
 
 
-def map_extraction_counts(spark, sf, where="event_id < 3000"):
+def map_extraction_counts(spark, sf):
     """Users as studies: events give dependencies, seeds, methods and results."""
-    e = table(spark, sf, "events").filter(where).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     name = F.when(C("event_id") % 10 == 0, L("unknown")).otherwise(C("event_type"))
     m = e.groupBy("user_id").agg(
         F.collect_list(F.struct(name.alias("name"), L(None).cast("string").alias("version"))).alias("dependencies"), F.collect_set("k").alias("random_seeds"), F.collect_list(F.struct(name.alias("name"), L("x").alias("description"))).alias("methods"),
@@ -48,11 +48,6 @@ def map_extraction_counts(spark, sf, where="event_id < 3000"):
     return graph.type_counts(mapping.extraction(rows))
 
 
-def map_extraction_counts_whole(spark, sf):
-    """All events."""
-    return map_extraction_counts(spark, sf, "true")
-
-
 def management_plan_fields(spark, sf):
     k = C("s_suppkey")
     plan = F.to_json(F.struct(F.array(F.struct(C("s_name").alias("title"), F.when(k % 2 == 0, F.array(F.struct(L("fund").alias("name")))).alias("funding"))).alias("project"), F.array(F.struct(F.concat(L("d"), k.cast("string")).alias("title"), F.array(F.struct(L("http://a.b/c").alias("access_url"), L("open").alias("data_access"), F.array(F.struct(L("MIT").alias("license_ref"))).alias("license"))).alias("distribution"))).alias("dataset"), F.array(F.struct(L("Ann").alias("name"), F.array(L("PI"), L("author")).alias("role"))).alias("contributor")))
@@ -60,8 +55,8 @@ def management_plan_fields(spark, sf):
     return q.groupBy("graph", "p").agg(F.count("*").alias("n"), F.min(F.when(C("o_kind") == "literal", C("o"))).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (map_dependencies, map_registry, map_recipe, map_extraction_counts, management_plan_fields, map_extraction_counts_whole)}
-_E = "e AS (SELECT user_id, (props->>'$.k')::INT AS k, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS name, event_type, value FROM events WHERE event_id < 3000)"
+QUERIES = {f.__name__: f for f in (map_dependencies, map_registry, map_recipe, map_extraction_counts, management_plan_fields)}
+_E = "e AS (SELECT user_id, (props->>'$.k')::INT AS k, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS name, event_type, value FROM events)"
 ORACLES = {
     "map_dependencies": "SELECT 'study/' || p_size AS graph, p_name AS name, CASE WHEN max(CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE p_brand END) = 'n/a' THEN 'unspecified' ELSE max(CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE p_brand END) END AS version, 'pip' AS kind FROM part GROUP BY p_size, p_name",
     "map_registry": """WITH t AS (SELECT c_custkey AS k, c_name FROM customer), q AS (
@@ -83,4 +78,4 @@ ORACLES = {
         unnest([s_name, 'd' || k, 'MIT', 'open', 'http://a.b/c', NULL, 'Ann', 'PI, author', NULL, NULL, NULL, CASE WHEN k % 2 = 0 THEN 'fund' END]) AS v FROM t)
       SELECT graph, p, count(*) AS n, min(v) AS value FROM q WHERE p <> 'funding' OR v IS NOT NULL GROUP BY 1, 2""",
 }
-ORACLES["map_extraction_counts_whole"] = ORACLES["map_extraction_counts"].replace(" WHERE event_id < 3000", "")
+

@@ -81,6 +81,35 @@ def test_greedy_match(spark):
     assert exact[1] == (0, 1, 1)
 
 
+def test_greedy_match_of_values_and_slots(spark):
+    e = "study int, field string, pos int, name string, extra string, value string"
+    gold = table(spark, e, (1, "evaluation_results", 0, "acc", "", "94%"), (1, "parameters", 0, "lr", "", "0.1"), (1, "environment", 0, "A100", "gpu_model", None), (1, "environment", 1, "11.8", "cuda_version", None))
+    said = table(spark, e, (1, "evaluation_results", 0, "acc", "", "0.5"), (1, "evaluation_results", 1, "acc", "", "0.940"), (1, "parameters", 0, "lr", "", "0.2"), (1, "environment", 0, "A100", "gpu_model", None), (1, "environment", 1, "12.1", "cuda_version", None))
+    got = {r.field: (r.tp, r.fp, r.fn) for r in evaluation.greedy_match(gold, said).collect()}
+    assert got == {"evaluation_results": (1, 1, 0), "parameters": (1, 0, 0), "environment": (1, 1, 1)}
+    assert {r.field: r.tp for r in evaluation.greedy_match(gold, said, strict=True).collect()}["parameters"] == 0
+
+
+def test_common_fields(spark):
+    kinds = "struct<SoftwareApplication:array<struct<name:string,version:string>>,Dataset:array<struct<name:string>>,Method:array<struct<name:string>>,Parameter:array<struct<name:string,value:string>>,RandomSeed:array<struct<value:string>>,EvaluationResult:array<struct<metric:string,value:string,split:string>>,ComputingEnvironment:array<struct<gpu:string,cuda:string>>>"
+    gold = table(spark, f"study_id string, entities {kinds}", ("s", ([("torch", "not specified")], [("unknown",)], [], [("lr", "0.1")], [("42",)], [("acc", "0.9", "test")], [("modern gpus", "11.8"), ("A100", None)])), ("t", ([], None, [], [], [], [], [])))
+    rows = sorted((r.field, r.name, r.extra, r.value) for r in evaluation.gold_fields(gold).collect())
+    assert rows == [("environment", "11.8", "cuda_version", None), ("evaluation_results", "acc", "", "0.9"), ("parameters", "lr", "", "0.1"), ("random_seeds", "42", "", None), ("software", "torch", "", None)]
+
+
+def test_points_are_whole(spark):
+    import random
+
+    units = [int(round(m * 24)) for _, m in scoring.weights()]
+    assert [u / 24 for u in units] == pytest.approx([m for _, m in scoring.weights()])
+    grades = scoring.grade(complete(spark))
+    rows, seen = grades.collect(), set()
+    for seed in range(12):
+        random.Random(seed).shuffle(rows)
+        seen |= {tuple(r) for r in scoring.totals(spark.createDataFrame(rows, grades.schema).repartition(seed % 4 + 1)).collect()}
+    assert len(seen) == 1
+
+
 def test_prf(spark):
     r = evaluation.prf(table(spark, "k int, tp int, fp int, fn int", (1, 8, 2, 2)), "k").first()
     assert (r.precision, r.recall, r.f1, r.support) == (0.8, 0.8, 0.8, 10)

@@ -28,6 +28,17 @@ def test_names_match(spark):
     assert each(spark, [(b, a) for a, b in pairs], tx.names_match) == want
 
 
+def test_names_match_without_blanks(spark):
+    pairs = [("ResNet 50", "ResNet50 model"), ("Rounding (round to nearest)", "RoundToNearest"), ("Method (A-B)", "ab"), ("x (YZ)", "q (yz)"), ("a b", "ab c d"), ("word2vec", "Word 2 Vec embeddings"), ("map", "roadmap")]
+    assert each(spark, pairs, tx.names_match) == [True, False, True, True, False, True, False]
+    assert each(spark, ["Deep Net (two words)", "(dn)", "a (B-2)", "x (é)"], lambda a: F.array_sort(tx.acronyms(a)), "a string") == [["dn"], ["dn"], ["b2"], []]
+
+
+def test_metric_match(spark):
+    pairs = [("acc", "accuracy"), ("ap", "map"), ("Top-1 acc", "top-1 accuracy"), ("F1 (macro)", "f1"), ("", "x"), (None, None), ("f-1", "f-1 score")]
+    assert each(spark, pairs, outcomes.metric_match) == [True, False, True, True, False, False, True]
+
+
 def test_numbers(spark):
     assert each(spark, ["10.90", "94%", "1,024", "n/a", "5d", "1e3", None, "", ".5", "-2"], vx.number, "a string") == [10.9, 0.94, 1024.0, None, None, 1000.0, None, None, 0.5, -2.0]
     assert len(set(each(spark, ["0.94", "0.940", "94%"], vx.canonical, "a string"))) == 1
