@@ -25,11 +25,11 @@ from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, roll
 from reprolens.llm.components import connected, roots
 
 WORDS, PERCENT = 4, 85  # of a shingle; similarity in hundredths
-HEAVY, LEAST = 1 << 19, 16  # most heavy tokens; documents in which a heavy token was seen, at least
+HEAVY, LEAST = 1 << 19, 16  # most heavy tokens (16 bytes each, on the driver and in every task); documents in which a heavy token was seen, at least
 CHUNK = 1 << 22  # tokens that a task counts at once when it looks for heavy ones
 SHORT = 32  # sets in a list that is turned into pairs
 BLOCK = 1024  # sets in a block
-SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task
+SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task; more meet the texts in a shuffle, with the same result
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -288,13 +288,12 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     stage.free()
 
     # Long lists: sets tied under an order have a common group of that order.
-    order = F.col("kind") - 2
-    ties = lists.filter("kind in (2, 3)").select((F.col("x") * 2 + order).alias("a"), (F.col("y") * 2 + order).alias("b"))
-    ties = ties.unionByName(rows.filter("kind in (2, 3)").select((F.col("doc") * 2 + order).alias("a"), (F.col("token") * 2 + order).alias("b")))
-    found = connected(stage, ties, "ties")
-    found = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
-    side = F.pmod(F.col("id"), F.lit(2))
-    group = stage.write(found.groupBy(F.floor(F.col("id") / 2).alias("doc")).agg(*[F.max(F.when(side == i, F.col("component"))).alias(f"g{i}") for i in (0, 1)]), "groups")
+    order = (F.col("kind") - 2).alias("order")
+    ties = lists.filter("kind in (2, 3)").select(order, F.col("x").alias("a"), F.col("y").alias("b"))
+    ties = ties.unionByName(rows.filter("kind in (2, 3)").select(order, F.col("doc").alias("a"), F.col("token").alias("b")))
+    found = connected(stage, ties, "ties", "order")
+    found = found.unionByName(found.select("order", F.col("component").alias("id"), "component").distinct())
+    group = stage.write(found.groupBy(F.col("id").alias("doc")).agg(*[F.max(F.when(F.col("order") == i, F.col("component"))).alias(f"g{i}") for i in (0, 1)]), "groups")
 
     # Short lists: a pair must share as many prefix tokens as it needs, under each order.
     counted = lists.filter("kind in (0, 1)").groupBy("x", "y").agg(*[F.count(F.when(F.col("kind") == i, 1)).alias(f"c{i}") for i in (0, 1)], *[F.max(F.when(F.col("kind") == i, F.col("need"))).alias(f"n{i}") for i in (0, 1)])
