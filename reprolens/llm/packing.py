@@ -1,14 +1,19 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Each task holds a queue of tokens for each source. A window of 2048 tokens grants every source its
-share as credit; in ring order a source with enough credit sends tokens, documents being cut freely,
-and what it is still owed is carried to the next window. Shares are those of the tokens at hand, so
-that all queues empty together. A task's last, unfilled window is carried on: the tails of many
-tasks form new queues, with the credits that are still owed, and are packed the same way.
+target share as credit; in ring order a source with enough credit sends tokens, documents being cut
+freely, and what it is still owed is carried to the next window. Targets are given weights or, by
+default, the shares of the sources in the bytes of the whole table; every task works towards the same.
+A source that runs out leaves its part to the others, and is owed it. A task's last, unfilled window is
+carried on: the tails of many tasks form new queues, with the credits that are still owed, and are
+packed the same way.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -26,7 +31,7 @@ from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, powe
 WINDOW = 2048
 QUANTUM = 128  # least credit with which a source sends
 END = 1  # id after each document
-HELD = 1 << 24  # most tokens that a task holds before it packs them, about
+HELD = 1 << 24  # most tokens that a task holds before it packs them, about; bounds memory, targets don't depend on it
 TAILS = 64  # tasks whose tails are packed together
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -38,12 +43,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(name: str) -> dict[str, int]:
+    """Added tokens, with their ids, of the tokenizers file that a vocabulary of ranks belongs to; none if there is no such file."""
+    try:
+        path = tokenizer_path(name.rsplit(".", 1)[0] + ".json")
+    except (KeyError, FileNotFoundError):
+        return {}
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers, each text followed by the end mark.
 
     A single space between two characters that aren't white space always starts a token. Texts are
     cut there; most strings between repeat within a batch, and each is encoded once. Strings are told
-    apart by a 64-bit hash, checked by a second one.
+    apart by a 64-bit hash, checked by a second one. Texts that hold an added token of the tokenizers
+    file are encoded whole, with that token's id.
     """
 
     def __init__(self, name: str):
@@ -54,7 +72,9 @@ class Encoder:
 
         with open(tokenizer_path(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.raw = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = added_tokens(name)
+        self.raw = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+        self.marks = re.compile(b"|".join(re.escape(x.encode()) for x in self.added)) if self.added else None
         self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
@@ -62,6 +82,9 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.raw.encode_ordinary(text), dtype="<u4")
 
+    def all_ids(self, text: str) -> np.ndarray:
+        return np.array(self.raw.encode(text, allowed_special=set(self.added), disallowed_special=()), dtype="<u4")
+
     def encode(self, raw: list[bytes]) -> list[bytes]:
         begins, lengths, hashes, checks = spans(raw)  # of the strings, in the batch's bytes
         text_of = np.concatenate([[0], np.cumsum(np.fromiter((x.count(b" ") + 1 for x in raw), dtype=np.int64, count=len(raw)))])
@@ -73,7 +96,7 @@ class Encoder:
         joined = b" ".join(raw)
         # White space next to a space may join it: texts with such strings are encoded whole, as are all if hashes collide.
         odd = spaced(np.frombuffer(joined, dtype=np.uint8), begins[where], lengths[where])
-        whole = np.zeros(len(raw), dtype=bool)
+        whole = np.fromiter((self.marks is not None and self.marks.search(x) is not None for x in raw), dtype=bool, count=len(raw))
         owner = np.repeat(np.arange(len(raw)), np.diff(text_of))
         whole[owner[rest][odd[back]]] = True
         whole |= not (checks[where][back] == checks[rest]).all()
@@ -91,7 +114,7 @@ class Encoder:
             head = raw[t][:n]
             last = head.decode()[-1:] if head else ""
             whole[t] |= n < len(raw[t]) and (not head or last.isspace())
-            heads.append(self.ids(raw[t].decode() if whole[t] else head.decode()))
+            heads.append(self.all_ids(raw[t].decode()) if whole[t] else self.ids(head.decode()))
         table = np.concatenate([tokens, *heads, np.array([END], dtype="<u4")])
         head_stops = len(tokens) + np.cumsum(np.fromiter(map(len, heads), dtype=np.int64, count=len(heads)))
         starts = np.concatenate([starts, [len(tokens)], head_stops]).astype(np.int64)
@@ -167,10 +190,11 @@ def encoder(name: str) -> Encoder:
 
 @dataclass
 class Queue:
-    """Tokens of a source: (doc_id, start, ids, tokens in the document), and the credit it is owed."""
+    """Tokens of a source: (doc_id, start, ids, tokens in the document), the credit it is owed, its target share (any scale)."""
 
     left: int = 0
     credit: float = 0.0
+    share: float = 0.0
     items: deque = field(default_factory=deque)
 
     def put(self, doc_id, start: int, ids: bytes, tokens: int) -> None:
@@ -191,47 +215,52 @@ class Queue:
             n -= m
 
 
-def drain(queues: dict, last: bool, window: int = WINDOW, quantum: int = QUANTUM) -> Iterator[list[tuple]]:
-    """Windows as lists of pieces; the queues keep less than a window unless ``last``."""
+def drain(queues: dict, last: bool, window: int = WINDOW, quantum: int = QUANTUM, keep: int = 0) -> Iterator[list[tuple]]:
+    """Windows as lists of pieces, until ``keep`` tokens or less than a window are left; ``last``: until nothing is left."""
     names = sorted(queues, key=lambda s: (s is None, s))
     held = [queues[s] for s in names]
     total = sum(q.left for q in held)
-    share = np.array([q.left for q in held], dtype=np.float64) / max(1, total)
-    credit = np.array([q.credit for q in held])
+    share = np.array([max(q.share, 0.0) for q in held], dtype=np.float64)
+    share = share / share.sum() if share.sum() > 0 else np.full(len(held), 1 / max(1, len(held)))
+    credit, left = np.array([q.credit for q in held]), np.array([q.left for q in held])
     turn, count = 0, len(held)
-    while total >= window or (last and total):
+    while (total >= window and total > keep) or (last and total):
         need = size = min(window, total)
         credit += share * size
         out: list[tuple] = []
 
         def send(i: int, n: int) -> int:
-            n = min(n, held[i].left, need)
-            if n > 0:
+            n = max(0, min(n, int(left[i]), need))
+            if n:
                 out.extend(held[i].take(n))
                 credit[i] -= n
+                left[i] -= n
             return n
 
-        ready = np.flatnonzero(credit >= min(quantum, size))
+        ready = np.flatnonzero((credit >= min(quantum, size)) & (left > 0))
         for i in np.concatenate([ready[ready >= turn], ready[ready < turn]]):
             need -= send(i, int(credit[i]))
             if not need:
                 turn = int(i)
                 break
-        if need:  # what is owed in parts below the quantum
-            for i in np.argsort(-credit, kind="stable"):
+        if need:  # what is owed in parts below the quantum, and the parts of queues that ran out
+            for i in np.argsort(-np.where(left > 0, credit, -np.inf), kind="stable"):
                 need -= send(i, max(quantum, int(credit[i])))
                 if not need:
                     turn = (int(i) + 1) % count
                     break
-        for i in range(count) if need else ():
-            need -= send(i, need)
+        while need:  # only queues that owe are left: each gives a quantum in turn, the one that owes least first
+            for i in np.argsort(-np.where(left > 0, credit, -np.inf), kind="stable"):
+                need -= send(i, quantum)
+                if not need:
+                    break
         total -= size
         yield out
     for q, c in zip(held, credit, strict=True):
         q.credit = float(c)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, credit double, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, credit double, share double, ids binary"
 _SCHEMA = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]]) for x in PIECES.split(", ")])
 
 
@@ -241,7 +270,7 @@ def _rows(windows: Iterable[list[tuple]], first: int) -> Iterator[pa.RecordBatch
     for pieces in windows:
         offset = 0
         for doc_id, start, n, crc, tokens, _ in pieces:
-            rows.append((doc_id, start, n, crc, tokens, sequence, offset, None, None, None))
+            rows.append((doc_id, start, n, crc, tokens, sequence, offset, None, None, None, None))
             offset += n
         sequence += 1
         if len(rows) > 20_000:
@@ -261,25 +290,25 @@ def _pack_task(name: str):
         task = TaskContext.get().partitionId()
         sequence = task << 32
 
-        def windows(last: bool) -> Iterator[list[tuple]]:
+        def windows(last: bool, keep: int = 0) -> Iterator[list[tuple]]:
             nonlocal sequence
-            for w in drain(queues, last):
+            for w in drain(queues, last, keep=keep):
                 sequence += 1
                 yield w
 
         for b in batches(frames):
-            for doc_id, source, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), enc.encode(as_bytes(b.column(2))), strict=True):
-                queues.setdefault(source, Queue()).put(doc_id, 0, ids, len(ids) // 4)
+            for doc_id, source, share, ids in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), enc.encode(as_bytes(b.column(2))), strict=True):
+                queues.setdefault(source, Queue(share=share or 0.0)).put(doc_id, 0, ids, len(ids) // 4)
                 held += len(ids) // 4
-            if held > HELD:
-                yield from _rows(windows(False), sequence)
+            if held > HELD:  # half stays, so that sources that are short now can catch up
+                yield from _rows(windows(False, HELD // 2), sequence)
                 held = sum(q.left for q in queues.values())
         yield from _rows(windows(False), sequence)
         rows = []  # less than a window: carried on with the credits
         for source, q in queues.items():
             credit = q.credit
             for doc_id, start, n, crc, tokens, cut in q.take(q.left):
-                rows.append((doc_id, start, n, crc, tokens, task, len(rows), source, credit, bytes(cut)))
+                rows.append((doc_id, start, n, crc, tokens, task, len(rows), source, credit, q.share, bytes(cut)))
                 credit = 0.0
         if rows:
             yield _batch(rows)
@@ -291,26 +320,45 @@ def _pack_tails(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     queues: dict = {}
     frame = frame.sort_values(["sequence_id", "offset"])
     for r in frame.itertuples():
-        q = queues.setdefault(r.source, Queue())
+        q = queues.setdefault(r.source, Queue(share=r.share))
         q.put(r.doc_id, r.start, r.ids, r.doc_tokens)
         q.credit += r.credit
-    out = [(d, s, n, crc, t, ((1 << 30) + int(key[0]) << 32) + i, 0, None, None, None) for i, w in enumerate(drain(queues, True)) for d, s, n, crc, t, _ in w]
+    out = [(d, s, n, crc, t, ((1 << 30) + int(key[0]) << 32) + i, 0, None, None, None, None) for i, w in enumerate(drain(queues, True)) for d, s, n, crc, t, _ in w]
     frame = pd.DataFrame(out, columns=_SCHEMA.names)
     frame["doc_id"] = frame["doc_id"].astype("Int64")
     frame["offset"] = frame.groupby("sequence_id")["length"].cumsum() - frame["length"]
     return frame
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def shares(docs: DataFrame, weights: dict | None = None) -> DataFrame:
+    """_source, _share: the target of each source. By default its part of all bytes (each document's end mark counts as one)."""
+    if weights is not None:
+        spark = docs.sparkSession
+        total = sum(weights.values())
+        if total <= 0 or min(weights.values()) < 0:
+            raise ValueError("weights are not negative, and some are positive")
+        return spark.createDataFrame([(s, float(w) / total) for s, w in weights.items()], "_source string, _share double")
+    sizes = docs.groupBy(F.col("source").alias("_source")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("_share"))
+    return sizes.select("_source", F.col("_share").cast("double"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", weights: dict | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece.
 
+    ``weights`` gives the target proportions of the sources in every window (the null source by the key
+    None); sources without one have target 0 and fill what the others can't. By default targets are the
+    sources' parts of the whole table. All tokens are packed in any case: once a source has run out, its
+    part goes to the others.
     Null and empty texts have one token, the end mark. Null sources form a queue of their own. Rows
     that repeat a doc_id are packed as documents of their own. An empty table gives no rows. Only the
     last window of each group of tails is short, so padding is at most a window for each ``TAILS`` tasks.
     """
     stage = Stage(spark, "pack")
+    given = plain(docs, "doc_id", "source", "text")
+    targets = stage.write(shares(given, weights), "targets")
+    given = given.join(targets, given["source"].eqNullSafe(targets["_source"]), "left").select("doc_id", "source", "text", "_share")
     # Dealt by id, so that every task gets the corpus's mix of sources; sorted, so that a task that runs again packs alike.
-    dealt = plain(docs, "doc_id", "source", "text").repartition(width(spark), F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
+    dealt = given.repartition(width(spark), F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
     pieces = stage.write(dealt.mapInArrow(_pack_task(vocabulary), PIECES), "pieces")
     tails = pieces.filter("ids is not null").withColumn("group", F.floor(F.col("sequence_id") / TAILS)).groupBy("group").applyInPandas(_pack_tails, PIECES)
-    return pieces.filter("ids is null").unionByName(tails).drop("source", "credit", "ids")
+    return pieces.filter("ids is null").unionByName(tails).drop("source", "credit", "share", "ids")
