@@ -99,48 +99,140 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> It
         at += size
 
 
+def _table(data: bytes, a: int, b: int, kind: str, columns: int) -> np.ndarray:
+    """The entries of a counted table that lie within its box, whatever the count says."""
+    (n,) = struct.unpack_from(">I", data, a + 4)
+    n = min(n, (b - a - 8) // (np.dtype(kind).itemsize * columns))
+    return np.frombuffer(data, kind, n * columns, a + 8).astype(np.int64).reshape(n, columns)
+
+
 def tracks(data: bytes) -> list[dict]:
-    """The tracks with codec, time scale, duration and decoded sample tables; payloads aren't touched."""
+    """The tracks with id, codec, time scale, duration and decoded sample tables; payloads aren't touched.
+
+    Samples of movie fragments are decoded from their runs: ``runs`` holds (offset, size, ticks, sync) of each,
+    and their ticks are added to the duration where the header has none.
+    """
     found: list[dict] = []
+    extends: dict[int, tuple] = {}
+    base, here = 0, None
     for path, a, b in walk(data):
         name = path.rsplit("/", 1)[1]
         if name == "trak":
-            found.append({})
-        if not found:
+            found.append({"id": len(found) + 1, "runs": []})
+        elif name == "trex" and b - a >= 24:
+            extends[struct.unpack_from(">I", data, a + 4)[0]] = struct.unpack_from(">III", data, a + 12)
+        elif name == "moof":
+            base = a - 8 if data[a - 4 : a] == b"moof" else a - 16  # where the fragment's box begins
+        elif name == "traf":
+            here = None
+        elif name == "tfhd" and b - a >= 8:
+            here = _fragment(data, a, base, extends)
+        elif name == "trun" and here is not None and b - a >= 8:
+            for t in found:
+                if t["id"] == here["id"]:
+                    t["runs"] += _run(data, a, b, here)
+        if not found or path.startswith("/moof"):
             continue
         t = found[-1]
-        if name == "mdhd":
+        if name == "tkhd" and b - a >= 24:
+            t["id"] = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+        elif name == "mdhd" and b - a >= (32 if data[a] == 1 else 20):
             wide = data[a] == 1
             t["scale"], t["ticks"] = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
-        elif name == "hdlr":
+        elif name == "hdlr" and b - a >= 12:
             t["kind"] = data[a + 8 : a + 12].decode("latin-1")
         elif name == "stsd" and b - a >= 16:
             t["codec"] = data[a + 12 : a + 16].decode("latin-1")
-        elif name in ("stts", "stss", "stsc", "co64", "stco"):
-            (n,) = struct.unpack_from(">I", data, a + 4)
-            kind, columns = (">u8", 1) if name == "co64" else (">u4", {"stts": 2, "stsc": 3}.get(name, 1))
-            t["stco" if name == "co64" else name] = np.frombuffer(data, kind, n * columns, a + 8).astype(np.int64).reshape(n, columns)
-        elif name == "stsz":
+        elif name in ("stts", "stss", "stsc", "co64", "stco") and b - a >= 8:
+            t["stco" if name == "co64" else name] = _table(data, a, b, ">u8" if name == "co64" else ">u4", {"stts": 2, "stsc": 3}.get(name, 1))
+        elif name == "stsz" and b - a >= 12:
             fixed, n = struct.unpack_from(">II", data, a + 4)
-            t["stsz"] = np.full(n, fixed, dtype=np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
+            t["stsz"] = np.full(n, fixed, dtype=np.int64) if fixed else np.frombuffer(data, ">u4", min(n, (b - a - 12) // 4), a + 12).astype(np.int64)
+    for t in found:
+        t["ticks"] = t.get("ticks") or sum(r[2] for r in t["runs"])
     return found
 
 
+def _fragment(data: bytes, a: int, base: int, extends: dict[int, tuple]) -> dict:
+    """Track id, data offset and defaults (ticks, size, flags) of a track fragment."""
+    flags, track = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    at = a + 8
+    out = {"id": track, "at": base, "defaults": list(extends.get(track, (0, 0, 0)))}
+    if flags & 0x1:
+        (out["at"],) = struct.unpack_from(">Q", data, at)
+        at += 8
+    at += 4 * bool(flags & 0x2)
+    for i, bit in enumerate((0x8, 0x10, 0x20)):
+        if flags & bit:
+            (out["defaults"][i],) = struct.unpack_from(">I", data, at)
+            at += 4
+    out["next"] = out["at"]
+    return out
+
+
+def _run(data: bytes, a: int, b: int, fragment: dict) -> list[tuple[int, int, int, bool]]:
+    """(offset, size, ticks, sync) of the samples of a run; a sample is a sync sample if its flags don't say otherwise."""
+    flags, n = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    at, place = a + 8, fragment["next"]
+    if flags & 0x1:
+        place = fragment["at"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    step = 4 * sum(bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800))
+    out = []
+    for i in range(min(n, (b - at) // step) if step else n):
+        values = list(fragment["defaults"])
+        for k, bit in enumerate((0x100, 0x200, 0x400)):
+            if flags & bit:
+                (values[k],) = struct.unpack_from(">I", data, at)
+                at += 4
+        at += 4 * bool(flags & 0x800)
+        ticks, size, marks = values
+        if i == 0 and first is not None:
+            marks = first
+        if place + size > len(data):
+            break
+        out.append((place, size, ticks, not marks & 0x10000))
+        place += size
+    fragment["next"] = place
+    return out
+
+
 def ranges(track: dict) -> np.ndarray:
-    """Byte offset and size of each sample, from the chunk table."""
-    sizes, chunks, groups = track["stsz"], track["stco"][:, 0], track["stsc"]
-    if not len(sizes):
-        return np.zeros((0, 2), dtype=np.int64)
-    counts = np.repeat(groups[:, 1], np.diff(np.append(groups[:, 0], len(chunks) + 1)))
-    chunk = np.repeat(np.arange(len(chunks)), counts)[: len(sizes)]
+    """Byte offset and size of each sample, from the chunk table, then from the runs of fragments."""
+    sizes, chunks, groups = track.get("stsz", np.zeros(0, np.int64)), track.get("stco", np.zeros((0, 1), np.int64))[:, 0], track.get("stsc", np.zeros((0, 3), np.int64))
+    runs = np.array([r[:2] for r in track["runs"]], dtype=np.int64).reshape(-1, 2)
+    if not len(sizes) or not len(chunks) or not len(groups):
+        return runs
+    counts = np.repeat(groups[:, 1], np.maximum(0, np.diff(np.append(groups[:, 0], len(chunks) + 1))))[: len(chunks)]
+    chunk = np.repeat(np.arange(len(counts)), counts)[: len(sizes)]
+    sizes = sizes[: len(chunk)]
     before = np.concatenate([[0], np.cumsum(sizes)])
     first = np.concatenate([[0], np.cumsum(counts)])[chunk]
-    return np.stack([chunks[chunk] + before[: len(sizes)] - before[first], sizes], axis=1)
+    return np.concatenate([np.stack([chunks[chunk] + before[: len(sizes)] - before[first], sizes], axis=1), runs])
+
+
+def keyframes(track: dict) -> np.ndarray:
+    """Byte ranges of the sync samples; without a table of them every sample of the chunk table is one."""
+    every = ranges(track)
+    n = len(every) - len(track["runs"])
+    sync = np.zeros(len(every), dtype=bool)
+    if "stss" in track:
+        at = track["stss"][:, 0] - 1
+        sync[at[(at >= 0) & (at < n)]] = True
+    else:
+        sync[:n] = True
+    sync[n:] = [r[3] for r in track["runs"]]
+    return every[sync]
 
 
 def read_samples(data: bytes) -> bytes:
     """The stored bytes of the first track, found through its sample tables; neighbouring ranges are read at once."""
-    r = ranges(tracks(data)[0])
+    found = tracks(data)
+    r = ranges(found[0]) if found else np.zeros((0, 2), np.int64)
     if not len(r):
         return b""
     cut = np.flatnonzero(r[1:, 0] != r[:-1, 0] + r[:-1, 1]) + 1
@@ -148,14 +240,20 @@ def read_samples(data: bytes) -> bytes:
     return b"".join(data[r[i, 0] : r[j - 1, 0] + r[j - 1, 1]] for i, j in zip(begin, stop, strict=True))
 
 
-def describe(data: bytes) -> str:
-    """codec, duration in seconds, samples, and the byte ranges of sync samples as a short digest with the first and last one."""
-    t = tracks(data)[0]
-    r = ranges(t)
-    key = r[t["stss"][:, 0] - 1] if "stss" in t else r
+def _text(t: dict) -> str:
+    r, key = ranges(t), keyframes(t)
     mark = hashlib.sha256(key.astype("<i8").tobytes()).hexdigest()[:16]
     ends = ",".join(f"{a}+{n}" for a, n in (key[[0, -1]] if len(key) else key))
-    return f"codec={t['codec'].strip()};kind={t['kind']};duration={t['ticks'] / t['scale']:.6f};samples={len(r)};keyframes={len(key)};ranges={ends};digest={mark}"
+    return f"codec={t.get('codec', '').strip()};kind={t.get('kind', '')};duration={_seconds(t):.6f};samples={len(r)};keyframes={len(key)};ranges={ends};digest={mark}"
+
+
+def _seconds(t: dict) -> float:
+    return t["ticks"] / t["scale"] if t.get("scale") else 0.0
+
+
+def describe(data: bytes) -> str:
+    """Of each track, joined by a bar: codec, duration in seconds, samples, and the byte ranges of sync samples as a short digest with the first and last one."""
+    return "|".join(map(_text, tracks(data)))
 
 
 ENCODED = "doc_id long, n_bytes long, media binary"
@@ -174,15 +272,20 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads the stored bytes back through the sample tables and describes each container. Equal media give equal values."""
+    """Reads the stored bytes back through the sample tables and describes each container. Equal media give equal values.
+
+    codec, duration and keyframes are those of the first track, feature has all tracks. Null media count as
+    empty; bytes without a track have no payload, an empty feature and null codec and duration.
+    """
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, "media"):
             rows = []
             for doc, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                payload, t = read_samples(data), tracks(data)[0]
-                key = ranges(t)[t["stss"][:, 0] - 1]
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), describe(data), t["codec"], t["ticks"] / t["scale"], [{"offset": int(a), "size": int(s)} for a, s in key]))
+                data = data or b""
+                payload, found = read_samples(data), tracks(data)
+                codec, seconds, key = (found[0].get("codec"), _seconds(found[0]), keyframes(found[0])) if found else (None, None, [])
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), "|".join(map(_text, found)), codec, seconds, [{"offset": int(a), "size": int(s)} for a, s in key]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))]
             names = [x.split(" ")[0] for x in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "keyframes")]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
