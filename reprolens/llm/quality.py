@@ -156,8 +156,13 @@ def moments(labelled: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]
 
 
 def train(features: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the rows with a quality of 0 or 1 outside the held-out fold; null labels and other values count for nothing."""
-    known = plain(labels, "doc_id", "quality").filter(fold(F.col("doc_id")) != 0)
+    """Learns from the rows with a quality of 0 or 1 outside the held-out fold; null labels and other values count for nothing.
+
+    Labels that repeat a doc_id count once, and not at all if they contradict each other; each row of a
+    repeated document counts.
+    """
+    known = plain(labels, "doc_id", "quality").filter((fold(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     return fit(moments(features.join(known, "doc_id")))
 
 
