@@ -19,7 +19,8 @@ from reprolens.llm.common import Stage, plain
 
 SHARDS = 8  # new shards
 OLD = 5  # shards of the layout that the query starts from
-BLOCKS = 1024  # hash blocks of each old shard
+BLOCKS = 1024  # hash blocks of each old shard, at least
+ROWS = 1 << 20  # rows of a block, about, at most: a block is ordered in one task
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -99,9 +100,9 @@ def plan(old_sizes: dict[int, int], shards: int, weights: list[int] | None = Non
     return out
 
 
-def old_layout(docs: DataFrame, olds: int = OLD) -> DataFrame:
-    """The layout to start from: a hash of doc_id over ``olds`` shards (null ids: shard 0)."""
-    return docs.withColumn("old_shard", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(olds)), F.lit(0)).cast("int"))
+def old_shard(olds: int = OLD) -> Column:
+    """The layout to start from where none is given: a hash of doc_id over ``olds`` shards (null ids: shard 0)."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(olds)), F.lit(0)).cast("int")
 
 
 def _measures() -> tuple[Column, Column]:
@@ -109,33 +110,38 @@ def _measures() -> tuple[Column, Column]:
     return (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
 
 
-def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, olds: int = OLD, blocks: int = BLOCKS) -> DataFrame:
+def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, olds: int = OLD, blocks: int = BLOCKS, layout: str | None = None, weights: list[int] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot for each row.
 
-    Shard sizes differ by about one document. Null text: size 1, checksum of no bytes. Repeated rows
+    ``layout`` names a column of ``docs`` that holds the present shard of each row (null: shard 0); without
+    one the rows lie as ``old_shard`` puts them. The present sizes are those of the rows in it. ``weights``
+    are the capacities of the new shards, in proportion (equal by default). There are more blocks where
+    the rows need them, so that no task orders more than about ROWS rows of ordinary size.
+    Shard sizes differ from their capacities by about one document. Null text: size 1, checksum of no bytes. Repeated rows
     are rows of their own; rows alike in id and size are ordered by their checksum, and rows alike in
     that too are the same, so that any order gives the same result. An empty table gives no rows.
     """
     stage = Stage(spark, "reshard")
-    sized = plain(docs, "doc_id", "text").select("doc_id", *_measures())
-    sized = old_layout(sized, olds).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
-    sized = stage.write(sized, "sized")
-    # At most olds * blocks rows, a fixed number, from here to the offsets.
+    old = F.coalesce(F.col(f"`{layout}`").cast("int"), F.lit(0)).alias("old_shard") if layout else old_shard(olds).alias("old_shard")
+    sized = stage.write(docs.select("doc_id", *_measures(), old), "sized")
+    blocks = max(blocks, -(-sized.count() // ROWS))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    # A row for each old shard and block from here to the offsets: a few thousand, or one for ROWS / olds rows of docs.
     sums = sized.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = F.coalesce(F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = stage.write(sums.withColumn("before", before), "blocks")
     sizes = {r.old_shard: r.bytes for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}  # one row for each old shard
-    moves = plan(sizes, shards) if sizes else []
+    moves = plan(sizes, shards, weights) if sizes else []
     inside = W.partitionBy("old_shard", "block").orderBy("doc_id", "size", "text_crc32")
-    placed = sized.join(F.broadcast(sums.select("old_shard", "block", "before")), ["old_shard", "block"])  # olds * blocks rows
+    placed = sized.join(sums.select("old_shard", "block", "before"), ["old_shard", "block"])
     middle = F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") / 2
     target = F.lit(None).cast("int")
     for o, a, b, j in moves:  # olds * shards ranges
         target = F.when((F.col("old_shard") == o) & (middle >= a) & (middle < b), F.lit(j)).otherwise(target)
     placed = stage.write(placed.withColumn("shard", target), "placed")
-    counts = placed.groupBy("shard", "old_shard", "block").count()  # at most twice the blocks
+    counts = stage.write(placed.groupBy("shard", "old_shard", "block").count(), "counts")  # at most twice the blocks
     ahead = F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.join(F.broadcast(counts.withColumn("ahead", ahead).drop("count")), ["shard", "old_shard", "block"])
+    placed = placed.join(counts.withColumn("ahead", ahead).drop("count"), ["shard", "old_shard", "block"])
     rank = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("doc_id", "size", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + rank - 1).cast("long").alias("slot"))
 
@@ -144,19 +150,22 @@ def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> list[int]:
     """Writes the new shards that differ from the old ones under ``path`` (shard=N folders); returns their numbers.
 
     Each row is written once, whatever its id: rows alike in id, size and checksum are numbered on both
-    sides (by their columns, and by their places) and paired by number.
+    sides (by their columns, and by their places) and paired by number. Columns ``shard`` and ``slot``
+    are those of the assignment; if the rows have such columns, they are written as ``shard_given`` and ``slot_given``.
     """
     moved = assigned.filter("shard != old_shard")
     touched = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})  # shard numbers only
     alike = ["doc_id", "size", "text_crc32"]
     by_columns = [F.to_json(F.struct(F.col(f"row.`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"row.`{f.name}`") for f in docs.schema]
-    given = docs.select("doc_id", *_measures(), F.struct("*").alias("row"))
+    given = docs.select("doc_id", *_measures(), F.struct("*").alias("row"))  # whatever else the rows have is in ``row``
     given = given.withColumn("copy", F.row_number().over(W.partitionBy(*alike).orderBy(*by_columns)))
     to = assigned.withColumn("copy", F.row_number().over(W.partitionBy(*alike).orderBy("shard", "slot"))).filter(F.col("shard").isin(touched))
     a, b = given.alias("a"), to.alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*alike, "copy")]
-    rows = a.join(b, same).select("row.*", "shard", "slot")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows = a.join(b, same).select("row", F.col("b.shard").alias("to_shard"), F.col("b.slot").alias("to_slot"))
+    rows = rows.repartitionByRange("to_shard", "to_slot").sortWithinPartitions("to_shard", "to_slot")
+    columns = [F.col(f"row.`{c}`").alias(f"{c}_given" if c in ("shard", "slot") else c) for c in docs.columns]
+    rows.select(*columns, F.col("to_shard").alias("shard"), F.col("to_slot").alias("slot")).write.mode("overwrite").partitionBy("shard").parquet(path)
     return touched
 
 
