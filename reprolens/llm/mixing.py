@@ -81,6 +81,22 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return whole.unionByName(split).select("doc_id", F.col("source_key").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def take(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns and no others.
+
+    Rows alike in id, source and size are alike for the mix, too: both sides number them and rows are
+    paired by number, so that the words taken are those of ``mix`` even where ids repeat.
+    """
+    alike = ["id", "source", "size"]
+    copies = mix(spark, docs).select(F.col("doc_id").alias("id"), "source", "size", "copies")
+    copies = copies.withColumn("n", F.row_number().over(W.partitionBy(*alike).orderBy(F.desc("copies")))).filter("copies > 0")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source"), words(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy(*alike).orderBy(F.sha2(F.coalesce("row.text", F.lit("")), 256))))
+    a, b = rows.alias("a"), copies.alias("b")
+    both = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*alike, "n")])
+    return both.select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("copy")).select("row.*")
+
+
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 

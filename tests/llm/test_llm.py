@@ -170,6 +170,58 @@ def test_media_round_trip(data):
     assert t["ticks"] == len(payload) and all(stored[a : a + n] in payload for a, n in media.ranges(t))
 
 
+def _fragmented(size_flags: bool) -> tuple[bytes, bytes]:
+    """A file whose samples lie in two movie fragments, of 3 and 2 samples; the first of each is a sync sample."""
+    import struct
+
+    box, full = media._box, media._full
+    entry = box(b"avc1", bytes(8))
+    table = box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, 0, 0, 0)), full(b"hdlr", bytes(4), b"vide", bytes(12), b"\0"), box(b"minf", table))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0)), mdia)
+    trex = full(b"trex", struct.pack(">IIIII", 7, 1, 25, 4, 0x10000))
+    data = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", trak, box(b"mvex", trex))
+    payload = b""
+    for sizes in ([5, 4, 4], [4, 4]):
+        body = bytes(range(65, 65 + sum(sizes)))
+
+        def moof(offset, sizes=sizes):
+            flags = 0x1 | 0x4 | (0x200 if size_flags else 0)
+            run = struct.pack(">IiI", len(sizes), offset, 0) + (struct.pack(f">{len(sizes)}I", *sizes) if size_flags else b"")
+            return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"trun", run, flags=flags)))
+
+        if not size_flags:
+            body = body[: 4 * len(sizes)]
+        data += moof(len(moof(0)) + 8) + box(b"mdat", body)
+        payload += body
+    return data, payload
+
+
+@pytest.mark.parametrize("size_flags", [True, False])
+def test_fragments(size_flags):
+    data, payload = _fragmented(size_flags)
+    t = media.tracks(data)[0]
+    assert media.read_samples(data) == payload and t["ticks"] == 125 and len(media.ranges(t)) == 5
+    assert [n for _, n in media.keyframes(t).tolist()] == ([5, 4] if size_flags else [4, 4])
+    assert media.describe(data).startswith("codec=avc1;kind=vide;duration=1.250000;samples=5;keyframes=2;")
+
+
+def test_features_of_any_media(spark):
+    stored = media.encode(media.pad(b"x" * 3000))
+    a = stored.index(b"stss")
+    no_sync = stored[:a] + b"free" + stored[a + 4 :]
+    moov = stored.index(b"moov") - 4
+    n = int.from_bytes(stored[moov : moov + 4], "big")
+    trak = stored.index(b"trak") - 4
+    m = int.from_bytes(stored[trak : trak + 4], "big")
+    two = stored[:moov] + (n + m).to_bytes(4, "big") + stored[moov + 4 : moov + n] + stored[trak : trak + m] + stored[moov + n :]
+    cut = [stored[:k] for k in range(0, 700, 13)]
+    rows = [(i, 0, x) for i, x in enumerate([None, b"", b"no boxes", stored, no_sync, two, *cut])]
+    got = {r.doc_id: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == len(rows) and got[0].feature == got[1].feature == got[2].feature == "" and got[0].codec is None and got[0].payload_bytes == 0
+    assert len(got[4].keyframes) == 3 and len(got[3].keyframes) == 1 and got[5].feature.count("|") == 1
+
+
 def test_media_digest(spark):
     texts = [*ODD, "same", "same"]
     got = {r.doc_id: r for r in media.digest(docs(spark, texts)).collect()}
@@ -188,8 +240,7 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [x or "" for x in prose(3)] + ["it's  we'll", "a \n b", " a", "a ", "1 2  3", "... !! ??", "a  b", "x  y z"]
+    texts = [x or "" for x in prose(3)] + ["<|endoftext|>", " <|endoftext|>x<|endoftext|><|endoftext|> y  z", "<|endoftext", "it's  we'll", "a \n b", " a", "a ", "1 2  3", "... !! ??", "a  b", "x  y z"]
     got = packing.encoder("byte_bpe_50k.tiktoken").encode([x.encode() for x in texts])
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
@@ -217,6 +268,7 @@ def test_windows_hold_the_mix():
     queues = {}
     for name, n in (("a", 60_000), ("b", 30_000), ("c", 10_000)):
         q = queues[name] = packing.Queue()
+        q.share = n
         for i in range(0, n, 500):
             q.put((name, i), 0, np.zeros(500, "<u4").tobytes(), 500)
     carried = {"a": 0, "b": 0, "c": 0}
@@ -228,9 +280,57 @@ def test_windows_hold_the_mix():
             assert abs(carried[name] - share * 2048 * i) <= 3 * packing.QUANTUM
 
 
+def test_windows_hold_given_weights_across_tasks(spark):
+    texts = ["alpha beta gamma delta " * 40] * 600
+    frame = docs(spark, texts, ["a", "b", None]).repartition(4)
+    weights = {"a": 5.0, "b": 3.0, None: 2.0}
+    got = packing.pack(spark, frame, weights=weights).toPandas()
+    assert got.length.sum() == got.drop_duplicates("doc_id").doc_tokens.sum()
+    got["source"] = [["a", "b", None][i % 3] or "-" for i in got.doc_id]
+    per = got.groupby(["sequence_id", "source"]).length.sum().unstack(fill_value=0)
+    tasks = per.groupby(per.index // 2**32)
+    for _, windows in tasks:
+        if len(windows) < 4:
+            continue  # tails
+        n = int((windows["a"] > 0).sum())  # until the source with the greatest weight runs out
+        front = windows.sort_index().iloc[: max(1, n - 2)]
+        for i in range(1, len(front) + 1):
+            part = front.iloc[:i].sum()
+            for s, w in weights.items():
+                assert abs(part[s or "-"] - w / 10 * 2048 * i) <= 4 * packing.QUANTUM
+    with pytest.raises(ValueError):
+        packing.shares(frame, {"a": 0.0})
+
+
 # --- 4: quality -------------------------------------------------------------------------------------
 
 
+def test_scores_equal_plain_discriminants(spark):
+    r = random.Random(8)
+    vocabulary = ["the", "of", "menu", "Home", "x1", "word,", "text.", "ok!", "|"]
+    texts = [" ".join(r.choice(vocabulary[: 4 + i % 6]) for _ in range(r.randint(1, 90))) for i in range(150)] + ODD
+    labels = [(i, i % 3 % 2 if i % 10 else None) for i in range(150)] + [(3, 3 % 3 % 2), (None, 1), (7, 5)]
+    frame = docs(spark, texts).unionByName(docs(spark, texts[:4]))  # ids 0 to 3 twice
+    got = {x.doc_id: x.score for x in quality.scored(spark, frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = np.array([quality.statistics((t or "").encode()) for t in texts])
+    known = [(i, i % 3 % 2) for i in range(150) if i % 10 and zlib.crc32(str(i).encode()) % 5]
+    known += [(i, y) for i, y in known if i < 4]
+    at, y = np.array([k for k, _ in known]), np.array([v for _, v in known])
+    shift, scale = x[at].mean(axis=0), x[at].std(axis=0)
+    scale[scale <= 1e-6] = 1
+    z, d, density = (x - shift) / scale, x.shape[1], []
+    covariance = {c: np.cov(z[at][y == c].T, bias=True) for c in (0, 1)}
+    pooled = sum((y == c).mean() * covariance[c] for c in (0, 1))
+    for c in (0, 1):
+        n = (y == c).sum()
+        a = max(quality.SHRINK, d / (n + d))
+        s = (1 - a) * covariance[c] + a * (pooled + np.diag(np.diag(pooled))) / 2 + quality.RIDGE * np.eye(d)
+        off = z - z[at][y == c].mean(axis=0)
+        density.append(np.log((y == c).mean()) - np.linalg.slogdet(s)[1] / 2 - (off @ np.linalg.inv(s) * off).sum(axis=1) / 2)
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / np.sqrt(d), -60, 60)))
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_quality_separates(spark):
     r = random.Random(2)
     good = [" ".join(r.choice("the of and word text fine plain thing".split()) + r.choice(["", ".", ","]) for _ in range(r.randint(5, 80))) for _ in range(120)]
@@ -339,6 +439,19 @@ def test_mix_meets_targets(spark):
     assert (got.taken <= 2 * got["size"]).all() and mixing.mix(spark, empty(spark)).count() == 0
 
 
+def test_taken_rows_of_repeated_ids_and_odd_columns(spark):
+    rows = [(i // 3 if i % 7 else None, " ".join(["w"] * (1 + i % 4)), "en", "ab"[i % 2], 1, i, f"x{i}") for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _copies long, row string")
+    copies = mixing.mix(spark, frame).toPandas()
+    got = mixing.take(spark, frame)
+    assert got.columns == frame.columns
+    taken = got.toPandas()
+    assert len(taken) == copies.copies.sum() and taken.groupby("row").size().max() <= 2
+    words = taken.assign(n=taken.text.str.split().str.len()).groupby("source").n.sum()
+    assert words.to_dict() == copies.groupby("source").taken.sum().to_dict()
+    assert mixing.take(spark, frame.limit(0)).count() == 0
+
+
 # --- 8: quotations ----------------------------------------------------------------------------------
 
 
@@ -379,11 +492,28 @@ def test_shards(spark, tmp_path):
     assert resharding.assign(spark, empty(spark)).count() == 0
 
 
+def test_given_layout_and_capacities(spark, tmp_path):
+    rows = [(i, f"t{i} " * (1 + i % 9), i % 5 % 3 if i % 11 else None, i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int")
+    got = resharding.assign(spark, frame, shards=4, layout="shard", weights=[1, 1, 1, 3]).toPandas()
+    old = {i: s or 0 for i, _, s, _ in rows}
+    assert (got.old_shard == [old[i] for i in got.doc_id]).all()
+    by = got.groupby("shard")["size"].sum()
+    assert (by - got["size"].sum() * np.array([1, 1, 1, 3]) / 6).abs().max() <= 2 * got["size"].max()
+    stay = got[got.shard == got.old_shard]["size"].sum()
+    sizes = got.groupby("old_shard")["size"].sum()
+    assert abs(stay - sum(min(sizes[s], got["size"].sum() / 6) for s in range(3))) <= 8 * got["size"].max()
+    resharding.rewrite(frame, resharding.assign(spark, frame, shards=4, layout="shard"), str(tmp_path / "o"))
+    back = spark.read.parquet(str(tmp_path / "o"))
+    assert {"shard", "shard_given", "slot_given"} <= set(back.columns)
+
+
 # --- 10: Jaccard join -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("short", "heavy", "block"), [(32, 1 << 19, 1024), (3, 200, 16)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, short, heavy, block):
+@pytest.mark.parametrize(("short", "heavy", "block", "shift", "sent"), [(32, 1 << 19, 1024, 0, 2_000_000), (3, 200, 16, 2**53 - 20, 0), (3, 200, 16, 2**62 + 11, 0), (32, 1 << 19, 1024, -(2**63), 0)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, short, heavy, block, shift, sent):
+    monkeypatch.setattr(jaccard, "SENT", sent)
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     monkeypatch.setattr(jaccard, "BLOCK", block)
@@ -412,8 +542,11 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short, heavy, block):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.components(spark, docs(spark, texts).repartition(3)).collect()}
+    frame = docs(spark, texts).withColumn("doc_id", F.col("doc_id") + F.lit(shift)).unionByName(docs(spark, ["no id a b c", texts[0]]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = jaccard.components(spark, frame.repartition(3)).collect()
+    got = {x.doc_id - shift: (x.n_shingles, x.component_id - shift) for x in rows if x.doc_id is not None}
     assert got == {i: (len(sets[i]), root(i)) for i in range(len(texts))}
+    assert [x.component_id for x in rows if x.doc_id is None] == [None, None]
 
 
 def test_jaccard_of_an_empty_table(spark):
@@ -438,7 +571,7 @@ def test_pipeline(spark, sf):
             assert after.count() == frame.count()
             assert pii.digest(spark, after).filter("n_email + n_phone > 0").count() == 0
         if name == "mixing":
-            copies = {r.doc_id: r.copies for r in mixing.mix(spark, frame).collect()}
+            copies = {r.doc_id: r.copies for r in mixing.mix(spark, frame).collect()}  # ids are unique here
             assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == {d: c for d, c in copies.items() if c}
         frame = after
     packed = p.STAGES[-1][1](spark, frame, sf).toPandas()
