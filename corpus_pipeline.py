@@ -37,10 +37,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the mix takes them; rows that share an id get the most copies of any of them."""
-    copies = mixing.mix(spark, docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_doc")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    """Repeats or drops documents as the mix takes them, whatever columns they have beside.
+
+    Rows alike in id, source and size are alike for the mix: they are numbered on both sides and paired
+    by number, so that each row gets its own copies.
+    """
+    return mixing.take(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
