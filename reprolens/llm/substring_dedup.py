@@ -1,21 +1,28 @@
-"""Substring dedup by runs of repeated token k-mers, the edges of a de Bruijn graph.
+"""Substring dedup by compaction of a de Bruijn graph over token k-mers.
 
-The edges of the graph are runs of 20 words; an edge that starts at several places is repeated.
-Edges are told apart by 64-bit hashes with a 32-bit check.
+The graph's edges are runs of 20 words, its nodes the 19 words that two edges in a row share; only
+edges that start at several places of the corpus are in it. An edge is named by its source coordinate,
+the first place (doc_id, start) it starts at.
 
-1. Seeds. Any 20 words hold one seed, the least hash among their shorter runs. Only seeds of all
-   documents are dealt out, and only repeated ones return to their documents.
-2. Edges. Where a document has repeated seeds, the edges that contain them are dealt out by hash;
-   each place that an edge starts at, but the first by (doc_id, start), comes back with the first.
-3. Paths. Repeated edges of a document that follow each other, and whose first places do too, are
-   glued to one path (start, length, source document, source start) in the tasks that hold the
-   document's places; the words that paths cover are removed.
+A transition of the graph is one that some document makes: the ways into and out of a node are counted
+over edges that follow each other somewhere.
 
-The graph itself isn't built: there are no nodes, degrees or test for nonbranching paths, and the words
-at the source aren't read again; equal hashes and checks stand for equal words.
+1. Seeds. Any 20 words hold one seed, the least hash among their 8-word runs. Only seeds of all
+   documents are dealt out, and only repeated ones return to their documents.
+2. Edges. Where a document has repeated seeds, the edges that contain them are dealt out by a 64-bit hash
+   and a 32-bit check; each place but the first comes back with the source coordinate. Places in a row
+   whose sources are in a row travel as one row: such edges follow each other in the graph, too.
+3. Graph. The source coordinates of all repeated edges form stretches; where a document goes from one
+   edge to another that isn't next at the source, a junction joins two edges. Joins of stretches with
+   junctions give the degree of each node. Nonbranching paths are compacted: a stretch is cut where a
+   node branches, and pieces that a junction without a branch joins are chained by connected components.
+4. Spans. Every later place of a path is a span (start, words, source document, source start). Its words
+   are compared with those at the source coordinates, by a 128-bit digest of the words on both sides;
+   only spans that agree are kept, and the words they cover are removed.
 
 A task counts repeats within its own chunk of documents before anything is dealt, so the rows of a
-very common seed or edge are bounded by the number of chunks.
+very common seed or edge are bounded by the number of chunks. Texts are dealt once, into files by key;
+each later step finds them there without another exchange.
 """
 
 from __future__ import annotations
@@ -24,18 +31,19 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, rolling, width, word_hashes
+from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, rolling, signed, width, word_hashes
+from reprolens.llm.components import connected
 
 K = 20  # words of an edge
 SEED = 8  # words of a seed; each edge holds one of its K - SEED + 1 seeds
-#: Arrays dealt out. bucket >= 0: by hash (h: hashes, extra: checks); below: by document, what a chunk or bucket found
-#: (of edges: runs, with the source document in h, source start and number of edges in extra).
-DEALT = "bucket int, h binary, doc binary, start binary, extra binary"
+BUCKET = 1 << 25  # bytes of text of a task, about
+RUN = "doc long, start long, source_doc long, source_start long, count long"
+_LONG = pa.int64()
 
 
 def _least_in_window(h: np.ndarray, w: int) -> np.ndarray:
@@ -64,24 +72,6 @@ def _edges(raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h, at, position, text
 
 
-def _deal(buckets: int, key: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """One row for each bucket of keys that isn't empty: its number, and the bytes of each column."""
-    bucket = (key >> U64(40)) % U64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(U64)).tolist()
-    columns = [c[order] for c in columns]
-    return [(i, *(c[a:e].tobytes() for c in columns)) for i, (a, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > a]
-
-
-def _dealt(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "h", "doc", "start", "extra"])
-
-
-def _known(buckets: int, doc: np.ndarray, start: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray) -> list[tuple]:
-    return [(-1 - i, *row) for i, *row in _deal(buckets, mix(doc.view(U64)), source_doc, doc, start, source_start)]
-
-
 def _first_places(h: np.ndarray, doc: np.ndarray, start: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order by (hash, check, document, start), and for each place in it the index in the order of the first with the same hash."""
     keys = (start, doc, h) if check is None else (start, doc, check, h)
@@ -93,13 +83,20 @@ def _first_places(h: np.ndarray, doc: np.ndarray, start: np.ndarray, check: np.n
     return order, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def _seed_task(k: int, m: int, buckets: int):
-    """Seeds of a chunk: local repeats are known at once (bucket -1), the others are dealt out, once each."""
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.astype(np.int64, copy=False), _LONG) for c in columns]
+
+
+SEEDS = "known int, h long, doc long, at long"  # known: 0 no, 1 repeats in its chunk, 2 further place in its chunk
+
+
+def _seed_task(k: int, m: int):
+    """Seeds of a chunk: of each the first place is dealt by hash, the others are known to be repeated."""
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             raw, ids = as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, at, position, text = _edges(raw, k)
+            h, at, position, _ = _edges(raw, k)
             if not len(position):
                 continue
             short = rolling(h, m)
@@ -107,54 +104,23 @@ def _seed_task(k: int, m: int, buckets: int):
             owner = np.searchsorted(at, seed, side="right") - 1
             order, first = _first_places(short[seed], ids[owner], seed)
             count = np.bincount(first, minlength=len(order))
-            again = count[first] > 1
-            place = seed - at[owner]
-            own = first == np.arange(len(order))  # the first place of each seed
-            lead, rest = order[own], order[again & ~own]
-            h = short[seed]
-            yield _dealt(_deal(buckets, h[lead], h[lead], ids[owner][lead], place[lead], (count[first[own]] > 1).astype(np.int64)))
-            if len(rest):
-                yield _dealt(_known(buckets, ids[owner][rest], place[rest], place[rest], place[rest]))
+            known = np.where(first == np.arange(len(order)), count[first] > 1, 2)
+            place = (seed - at[owner])[order]
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), *_longs(signed(short[seed][order]), ids[owner][order], place)], names=["known", "h", "doc", "at"])
 
     return run
 
 
-def _arrays(frame: pd.DataFrame, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(frame[n]), dtype=np.int64) for n in names]
+EDGES = "kind int, a long, b long, c long, d long, e long"  # 0: hash, doc, check and start; 1: a run of further places in a chunk
 
 
-def _repeated_seeds(buckets: int):
-    """Places of the seeds that several chunks, or one chunk several times, contain, dealt by document."""
+def _edge_task(k: int, m: int):
+    """Edges around repeated seeds: the first place in the chunk is dealt by hash, later ones refer to it."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        h, doc, start, again = _arrays(frame, "h", "doc", "start", "extra")
-        order = np.argsort(h, kind="stable")
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        group = np.cumsum(new) - 1
-        repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=again[order]) > 0)
-        pick = order[repeated[group]]
-        return pd.DataFrame(_known(buckets, doc[pick], start[pick], start[pick], start[pick]), columns=["bucket", "h", "doc", "start", "extra"])
-
-    return run
-
-
-def _documents(doc: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Order by document, and where each one's rows begin and end."""
-    order = np.argsort(doc, kind="stable")
-    sorted_doc = doc[order]
-    return order, [0, *(np.flatnonzero(sorted_doc[1:] != sorted_doc[:-1]) + 1).tolist(), len(doc)]
-
-
-def _places(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """One row for each document: places of its repeated seeds."""
-    doc, start = _arrays(frame, "doc", "start")
-    order, cut = _documents(doc)
-    return pd.DataFrame({"doc_id": doc[order][cut[:-1]], "places": [start[order][a:e].tobytes() for a, e in zip(cut, cut[1:], strict=False)]})
-
-
-def _edge_task(k: int, m: int, buckets: int):
-    """Edges around repeated seeds: dealt out once for each chunk; later places in the chunk are known repeats of the first."""
+    def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns[0])
+        columns = [*columns, *[np.zeros(n, np.int64)] * (5 - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *_longs(*columns)], names=["kind", *"abcde"])
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
@@ -164,53 +130,29 @@ def _edge_task(k: int, m: int, buckets: int):
                 continue
             short = rolling(h, m)
             marked = np.zeros(len(short), dtype=bool)
-            for i, places in enumerate(b.column(2).to_pylist()):
-                marked[at[i] + np.frombuffer(places, np.int64)] = True
+            places = b.column(2)
+            owner = np.repeat(np.arange(len(raw)), places.value_lengths().to_numpy())
+            marked[at[owner] + places.flatten().to_numpy()] = True
             keep = marked[_least_in_window(short, k - m + 1)[position]]
             position, text = position[keep], text[keep]
             if not len(position):
                 continue
-            edge = rolling(h, k)[position]
-            check = (rolling(mix(h ^ U64(0x5851F42D4C957F2D)), k)[position] >> U64(32)).astype(np.int64)
+            edge = signed(rolling(h, k)[position])
+            check = (rolling(mix(h ^ U64(0x5851F42D4C957F2D)), k)[position] >> U64(33)).astype(np.int64)
             doc, start = ids[text], position - at[:-1][text]
             order, first = _first_places(edge, doc, start, check)
             own = first == np.arange(len(order))
             lead, rest = order[own], order[~own]
-            yield _dealt(_deal(buckets, edge[lead], edge[lead], doc[lead], start[lead], check[lead]))
+            yield rows(0, edge[lead], doc[lead], check[lead] << 32 | start[lead])
             if len(rest):
                 source = order[first[~own]]
-                yield _dealt(_run_rows(buckets, doc[rest], start[rest], doc[source], start[source]))
-
-    return run
-
-
-def _repeated_edges(buckets: int):
-    """All places of each edge but the first, with the first, dealt by document."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        h, doc, start, check = _arrays(frame, "h", "doc", "start", "extra")
-        order, first = _first_places(h, doc, start, check)
-        later = first != np.arange(len(order))
-        pick, source = order[later], order[first[later]]
-        return pd.DataFrame(_run_rows(buckets, doc[pick], start[pick], doc[source], start[source]), columns=["bucket", "h", "doc", "start", "extra"])
-
-    return run
-
-
-def _paths(k: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """One row for each document: the paths of its repeated edges."""
-        source_doc, doc, start, extra = _arrays(frame, "h", "doc", "start", "extra")
-        doc, start, source_doc, source_start, count = runs(doc, start, source_doc, extra >> 31, extra & 0x7FFFFFFF)
-        path = np.stack([start, count + k - 1, source_doc, source_start], axis=1)
-        order, cut = _documents(doc)
-        return pd.DataFrame({"doc_id": doc[order][cut[:-1]], "paths": [path[order[a:e]].tobytes() for a, e in zip(cut, cut[1:], strict=False)]})
+                yield rows(1, *runs(doc[rest], start[rest], doc[source], start[source]))
 
     return run
 
 
 def runs(doc: np.ndarray, start: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Compacts repeated edges, or runs of ``count`` of them, to the longest runs: document, start, source document, source start, edges.
+    """Joins places, or runs of ``count`` of them, to the longest runs: document, start, source document, source start, edges.
 
     What starts where the one before ends, in the document and in its source, continues the run.
     """
@@ -226,33 +168,178 @@ def runs(doc: np.ndarray, start: np.ndarray, source_doc: np.ndarray, source_star
     return doc[a], start[a], source_doc[a], source_start[a], np.add.reduceat(count, a)
 
 
-def _run_rows(buckets: int, *edges: np.ndarray) -> list[tuple]:
-    doc, start, source_doc, source_start, count = runs(*edges)
-    return _known(buckets, doc, start, source_doc, source_start << 31 | count)
+def _glue(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places (sorted by document and start) to runs; the last run of a batch is carried into the next."""
+    held = None
+
+    def batch(columns: Iterable[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(_longs(*columns), names=[c.split()[0] for c in RUN.split(", ")])
+
+    for b in frames:
+        if not b.num_rows:
+            continue
+        part = [b.column(i).to_numpy() for i in range(4)]
+        part.append(np.ones(b.num_rows, dtype=np.int64))
+        if held is not None:
+            part = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
+        part = runs(*part)
+        held = [c[-1:] for c in part]
+        if len(part[0]) > 1:
+            yield batch(c[:-1] for c in part)
+    if held is not None:
+        yield batch(held)
+
+
+def _translate(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by document: first stretches (side 0) with their targets, then runs (side 1) whose sources lie there.
+
+    Runs are cut where a stretch begins or ends; a part inside a stretch gets the stretch's target as its
+    source, others keep theirs.
+    """
+    held = None  # stretches of the document that the last batch ended in
+    for b in frames:
+        if not b.num_rows:
+            continue
+        rows = np.stack([b.column(i).to_numpy() for i in range(6)], axis=1)  # at_doc, side, at, count, x_doc, x_start
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        held = rows[(rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == 0)]
+        rank = np.cumsum(np.concatenate([[0], rows[1:, 0] != rows[:-1, 0]])) << 34
+        side = rows[:, 1] == 1
+        m, r = rows[~side], rows[side]
+        if not len(r):
+            continue
+        low, high = rank[~side] + m[:, 2], rank[~side] + m[:, 2] + m[:, 3]
+        begin, end = rank[side] + r[:, 2], rank[side] + r[:, 2] + r[:, 3]
+        bounds = np.unique(np.concatenate([low, high]))
+        i, j = np.searchsorted(bounds, begin, side="right"), np.searchsorted(bounds, end, side="left")
+        n = j - i + 1
+        of = np.repeat(np.arange(len(r)), n)
+        nth = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        padded = np.concatenate([bounds, [0]])
+        lo = np.where(nth == 0, begin[of], padded[i[of] + nth - 1])
+        hi = np.where(nth == n[of] - 1, end[of], padded[np.minimum(i[of] + nth, len(bounds))])
+        at = np.searchsorted(low, lo, side="right") - 1
+        inside = (at >= 0) & (lo < np.concatenate([high, [0]])[at]) if len(m) else np.zeros(len(lo), dtype=bool)
+        shift = lo - begin[of]
+        doc, start = r[of, 0], r[of, 2] + shift
+        if len(m):
+            doc, start = np.where(inside, m[at, 4], doc), np.where(inside, m[at, 5] + lo - low[at], start)
+        yield pa.RecordBatch.from_arrays(_longs(r[of, 4], r[of, 5] + shift, doc, start, hi - lo), names=[c.split()[0] for c in RUN.split(", ")])
+
+
+def translate(found: DataFrame, stretches: DataFrame, n: int) -> DataFrame:
+    """``found`` (runs) with sources that lie in a stretch (doc, start, count, to_doc, to_start) replaced by its target, cut where it begins or ends."""
+    a = stretches.select(F.col("doc").alias("at_doc"), F.lit(0).cast("long").alias("side"), F.col("start").alias("at"), "count", F.col("to_doc").alias("x_doc"), F.col("to_start").alias("x_start"))
+    b = found.select(F.col("source_doc").alias("at_doc"), F.lit(1).cast("long").alias("side"), F.col("source_start").alias("at"), "count", F.col("doc").alias("x_doc"), F.col("start").alias("x_start"))
+    return a.unionByName(b).repartition(n, "at_doc").sortWithinPartitions("at_doc", "side", "at").mapInArrow(_translate, RUN)
+
+
+def stretches(found: DataFrame) -> DataFrame:
+    """doc, start, count: the source coordinates of all repeated edges, as the longest stretches of edges in a row."""
+    ends = found.select(F.col("source_doc").alias("doc"), F.col("source_start").alias("start"), (F.col("source_start") + F.col("count")).alias("end")).groupBy("doc", "start").agg(F.max("end").alias("end"))
+    by = W.partitionBy("doc").orderBy("start")
+    reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    cut = ends.withColumn("new", F.when(F.col("start") > reach, 1).otherwise(0)).withColumn("nth", F.sum("new").over(by))
+    return cut.groupBy("doc", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc", "start", (F.col("end") - F.col("start")).alias("count"))
+
+
+def junctions(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """a_doc, a_start, b_doc, b_start: pairs of edges that follow each other in some document, but not at the source of either."""
+    own = sources.select("doc", "start", F.col("doc").alias("source_doc"), F.col("start").alias("source_start"), "count")
+    by = W.partitionBy("doc").orderBy("start")
+    after = F.lead(F.struct("start", "source_doc", "source_start")).over(by)
+    last = F.col("source_start") + F.col("count") - 1
+    seen = found.select(*own.columns).unionByName(own).withColumn("after", after).filter("after.start = start + count and not (after.source_doc = source_doc and after.source_start = source_start + count)")
+    return seen.select(F.col("source_doc").alias("a_doc"), last.alias("a_start"), F.col("after.source_doc").alias("b_doc"), F.col("after.source_start").alias("b_start")).distinct()
+
+
+def pieces(sources: DataFrame, joints: DataFrame) -> DataFrame:
+    """doc, start, count, head, tail: stretches cut at the nodes that branch; head and tail: the piece begins or ends its stretch.
+
+    Inside a stretch a node has the edge before and the edge after at the source; a junction that leaves
+    the one or enters the other is a second way, so the node branches.
+    """
+    cuts = joints.select(F.col("a_doc").alias("doc"), (F.col("a_start") + 1).alias("start")).unionByName(joints.select(F.col("b_doc").alias("doc"), F.col("b_start").alias("start"))).distinct()
+    marks = sources.select("doc", "start", (F.col("start") + F.col("count")).alias("end")).unionByName(cuts.select("doc", "start", F.lit(None).cast("long").alias("end")))
+    marks = marks.groupBy("doc", "start").agg(F.max("end").alias("end"))
+    by = W.partitionBy("doc").orderBy("start")
+    marks = marks.withColumn("stretch_end", F.last("end", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).filter("start < stretch_end")
+    stop = F.least(F.col("stretch_end"), F.coalesce(F.lead("start").over(by), F.col("stretch_end")))
+    out = marks.withColumn("stop", stop)
+    return out.select("doc", "start", (F.col("stop") - F.col("start")).alias("count"), F.col("end").isNotNull().alias("head"), (F.col("stop") == F.col("stretch_end")).alias("tail"))
+
+
+def paths(stage: Stage, parts: DataFrame, joints: DataFrame) -> DataFrame:
+    """doc, start, count, path: each piece with the smallest piece of its nonbranching path.
+
+    A junction from the last edge of a stretch to the first of one goes through a node whose degrees are
+    the numbers of junctions that leave the one and enter the other; where both are one, the path goes on.
+    """
+    out = joints.groupBy("a_doc", "a_start").agg(F.count("*").alias("ways_out"))
+    into = joints.groupBy("b_doc", "b_start").agg(F.count("*").alias("ways_in"))
+    name = F.struct("doc", "start")
+    tails = parts.filter("tail").select(F.col("doc").alias("a_doc"), (F.col("start") + F.col("count") - 1).alias("a_start"), name.alias("a"))
+    heads = parts.filter("head").select(F.col("doc").alias("b_doc"), F.col("start").alias("b_start"), name.alias("b"))
+    links = joints.join(out.filter("ways_out = 1"), ["a_doc", "a_start"]).join(into.filter("ways_in = 1"), ["b_doc", "b_start"]).join(tails, ["a_doc", "a_start"]).join(heads, ["b_doc", "b_start"])
+    chain = connected(stage, links.select("a", "b"), "chain")
+    return parts.withColumn("id", name).join(chain, "id", "left").select("doc", "start", "count", F.coalesce("component", "id").alias("path"))
+
+
+DIGESTS = "doc long, start long, count long, digest binary"
+
+
+def _digest_task(k: int):
+    """A digest of the words of each wanted stretch of edges."""
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames):
+            out: list[tuple] = []
+            for doc, raw, wanted in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                words = raw.split()
+                for w in wanted:
+                    span = b" ".join(words[w["start"] : w["start"] + w["count"] + k - 1])
+                    out.append((doc, w["start"], w["count"], hashlib.blake2b(span, digest_size=16).digest()))
+            if out:
+                kinds = (_LONG, _LONG, _LONG, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "start", "count", "digest"])
+
+    return run
+
+
+def verified(stage: Stage, texts: DataFrame, found: DataFrame, k: int, n: int) -> DataFrame:
+    """The runs whose words are those at their source coordinates."""
+    here, there = found.select("doc", "start", "count"), found.select(F.col("source_doc").alias("doc"), F.col("source_start").alias("start"), "count")
+    wanted = here.unionByName(there).distinct().repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("wanted"))  # stretches of one document
+    digests = stage.write(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_digest_task(k), DIGESTS), "digests")
+    source = digests.select(F.col("doc").alias("source_doc"), F.col("start").alias("source_start"), "count", F.col("digest").alias("source_digest"))
+    both = found.join(digests, ["doc", "start", "count"]).join(source, ["source_doc", "source_start", "count"])
+    return both.filter("digest = source_digest").select(*found.columns)
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, paths array<struct<start:long,words:long,source_doc:long,source_start:long>>"
-_PATHS = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "source_doc", "source_start")]))
+KEPT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string, paths array<struct<start:long,words:long,source_doc:long,source_start:long>>"
+_PATHS = pa.list_(pa.struct([(n, _LONG) for n in ("start", "words", "source_doc", "source_start")]))
 
 
-def _cut_task(digest_only: bool):
+def _cut_task(k: int, digest_only: bool):
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             rows = []
-            for doc, raw, path in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for doc, raw, spans in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = raw.split()
-                n, paths = len(words), np.zeros((0, 4), dtype=np.int64)
-                if path:
-                    paths = np.frombuffer(path, np.int64).reshape(-1, 4)
+                n = len(words)
+                spans = [(s["start"], s["count"] + k - 1, s["source_doc"], s["source_start"]) for s in spans or ()]
+                if spans:
                     cover = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(cover, paths[:, 0], 1)
-                    np.add.at(cover, paths[:, 0] + paths[:, 1], -1)
-                    keep = np.cumsum(cover[:-1]) == 0
-                    words = [w for w, ok in zip(words, keep.tolist(), strict=True) if ok]
+                    at = np.array(spans, dtype=np.int64)
+                    np.add.at(cover, at[:, 0], 1)
+                    np.add.at(cover, at[:, 0] + at[:, 1], -1)
+                    words = [w for w, gone in zip(words, np.cumsum(cover[:-1]).tolist(), strict=True) if not gone]
                 kept = b" ".join(words)
-                rows.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), None if digest_only else kept.decode(), None if digest_only else [dict(zip(("start", "words", "source_doc", "source_start"), map(int, p), strict=True)) for p in paths]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), _PATHS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "paths"])
+                listed = None if digest_only else [dict(zip(("start", "words", "source_doc", "source_start"), s, strict=True)) for s in sorted(spans)]
+                rows.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), None if digest_only else kept.decode(), listed))
+            kinds = (_LONG, _LONG, _LONG, pa.string(), pa.string(), _PATHS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "n_words", "n_removed", "kept_sha256", "kept", "paths"])
 
     return run
 
@@ -267,16 +354,17 @@ def dedup(spark: SparkSession, docs: DataFrame, k: int = K, m: int = SEED, diges
     """
     stage = Stage(spark, "substring")
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = docs.filter("doc_id is not null")
+    known, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return _dedup(spark, stage, docs, known, k, m, digest_only)
-    keys = stage.write(_row_keys(known), "keys")
-    keyed = docs.withColumn("sum", _checksum()).join(keys, ["doc_id", "sum"], "left").select("doc_id", "text", "key", "n")
-    keyed = stage.write(keyed, "keyed")
-    once = lambda rows: rows.select(F.col("key").alias("doc_id"), "text")
-    known = once(keyed.filter("n = 1")).unionByName(once(keyed.filter("n > 1").dropDuplicates(["key"])))
-    out = _dedup(spark, stage, once(keyed), known, k, m, digest_only)
-    return _with_ids(stage, out, keys.select("key", F.col("doc_id").alias("id")), digest_only)
+        out = _dedup(spark, stage, known.select(F.col("doc_id").alias("doc"), "text"), k, m, digest_only).withColumnRenamed("doc", "doc_id")
+    else:
+        keys = stage.write(_row_keys(known), "keys")
+        keyed = known.withColumn("sum", _checksum()).join(keys, ["doc_id", "sum"])
+        once = keyed.filter("n = 1").select(F.col("key").alias("doc"), "text").unionByName(keyed.filter("n > 1").groupBy(F.col("key").alias("doc")).agg(F.first("text").alias("text")))
+        out = _with_ids(stage, _dedup(spark, stage, once, k, m, digest_only), keys)
+    rest = nameless.select(F.col("doc_id").alias("doc"), "text", F.lit(None).cast("array<struct<start:long,count:long,source_doc:long,source_start:long>>").alias("spans"))
+    rest = rest.mapInArrow(_cut_task(k, digest_only), KEPT).withColumnRenamed("doc", "doc_id")
+    return out.unionByName(rest)
 
 
 def _checksum() -> Column:
@@ -289,35 +377,59 @@ def _row_keys(known: DataFrame) -> DataFrame:
     return rows.orderBy("doc_id", "sum").withColumn("key", F.monotonically_increasing_id())
 
 
-def _with_ids(stage: Stage, out: DataFrame, ids: DataFrame, digest_only: bool) -> DataFrame:
-    """The result with ids in place of keys, in the paths too."""
-    out = stage.write(out.withColumnRenamed("doc_id", "key"), "out")
-    named = out.join(ids, "key", "left")
-    if digest_only:
-        return named.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "paths")
-    steps = out.dropDuplicates(["key"]).select(F.col("key").alias("of"), F.explode("paths").alias("p"))
-    steps = steps.join(ids, F.col("p.source_doc") == F.col("key"))
-    path = F.struct("p.start", "p.words", F.col("id").alias("source_doc"), "p.source_start")
+def _with_ids(stage: Stage, out: DataFrame, keys: DataFrame) -> DataFrame:
+    """The result with ids in place of keys, in the paths too, and once for each of the rows that a key stands for."""
+    out = stage.write(out.withColumnRenamed("doc", "key"), "out")
+    named = out.join(keys.select("key", F.col("doc_id").alias("id"), "n"), "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    ids = keys.select(F.col("key").alias("source"), F.col("doc_id").alias("source_id"))
+    steps = out.select(F.col("key").alias("of"), F.explode("paths").alias("p")).join(ids, F.col("p.source_doc") == F.col("source"))
+    path = F.struct("p.start", "p.words", F.col("source_id").alias("source_doc"), "p.source_start")
     steps = steps.groupBy("of").agg(F.array_sort(F.collect_list(path)).alias("known_paths"))  # a document's own paths
     named = named.join(steps, F.col("key") == F.col("of"), "left")
     return named.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", F.coalesce("known_paths", "paths").alias("paths"))
 
 
-def _dedup(spark: SparkSession, stage: Stage, docs: DataFrame, known: DataFrame, k: int, m: int, digest_only: bool) -> DataFrame:
-    """``dedup`` of docs; known has each doc_id once."""
-    n = width(spark)
-    by_hash = lambda rows, task: rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(task, DEALT).unionByName(rows.filter("bucket < 0"))
-    seeds = stage.write(known.mapInArrow(_seed_task(k, m, n), DEALT), "seeds")
-    places = stage.write(by_hash(seeds, _repeated_seeds(n)).groupBy("bucket").applyInPandas(_places, "doc_id long, places binary"), "places")
+def graph(spark: SparkSession, stage: Stage, texts: DataFrame, k: int, m: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts with unique keys: the runs of later places (RUN), cut at branching nodes, and the paths of the graph."""
+    seeds = stage.write(texts.mapInArrow(_seed_task(k, m), SEEDS), "seeds")
+    of = W.partitionBy("h")
+    dealt = seeds.filter("known < 2").repartition(n, "h").withColumns({"places": F.count("*").over(of), "again": F.max("known").over(of)})
+    repeated = dealt.filter("places > 1 or again > 0").select("doc", "at").unionByName(seeds.filter("known = 2").select("doc", "at"))
+    places = repeated.repartition(n, "doc").groupBy("doc").agg(F.collect_list("at").alias("places"))  # a document's own seeds
+    edges = stage.write(texts.join(places, "doc").select("doc", "text", "places").mapInArrow(_edge_task(k, m), EDGES), "edges")
     stage.drop("seeds")
     stage.free()
-    near = known.join(places, "doc_id").select("doc_id", "text", "places")
-    edges = stage.write(near.mapInArrow(_edge_task(k, m, n), DEALT), "edges")
-    stage.free()
-    paths = stage.write(by_hash(edges, _repeated_edges(n)).groupBy("bucket").applyInPandas(_paths(k), "doc_id long, paths binary"), "paths")
-    stage.drop("edges")
+
+    leads = edges.filter("kind = 0").select(F.col("a").alias("h"), F.shiftright("c", 32).alias("check"), F.col("b").alias("doc"), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"))
+    same = W.partitionBy("h", "check").orderBy("doc", "start")
+    leads = leads.repartition(n, "h", "check").withColumn("source", F.first(F.struct("doc", "start")).over(same)).filter("source.doc != doc or source.start != start")
+    later = leads.select("doc", "start", F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
+    later = stage.write(later.repartition(n, "doc").sortWithinPartitions("doc", "start").mapInArrow(_glue, RUN), "later")
+    # Places of a chunk refer to the first one of the chunk, which refers to the source.
+    near = edges.filter("kind = 1").select(*[F.col(x).alias(c.split()[0]) for x, c in zip("abcde", RUN.split(", "), strict=True)])
+    lead = later.select("doc", "start", "count", F.col("source_doc").alias("to_doc"), F.col("source_start").alias("to_start"))
+    found = stage.write(later.unionByName(translate(near, lead, n)), "found")
+    for name in ("edges", "later"):
+        stage.drop(name)
     stage.free()
-    return docs.join(paths, "doc_id", "left").select("doc_id", "text", "paths").mapInArrow(_cut_task(digest_only), KEPT)
+
+    sources = stage.write(stretches(found), "sources")
+    joints = stage.write(junctions(found, sources), "joints")
+    parts = stage.write(pieces(sources, joints), "pieces")
+    compact = stage.write(paths(stage, parts, joints), "compact")
+    same_place = compact.select("doc", "start", "count", F.col("doc").alias("to_doc"), F.col("start").alias("to_start"))
+    return stage.write(translate(found, same_place, n), "spans"), compact
+
+
+def _dedup(spark: SparkSession, stage: Stage, docs: DataFrame, k: int, m: int, digest_only: bool) -> DataFrame:
+    """``dedup`` of (doc, text) with unique keys."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(width(spark), -(-size // BUCKET))
+    texts = stage.bucketed(docs, "docs", n, "doc")
+    found, _ = graph(spark, stage, texts, k, m, n)
+    good = stage.write(verified(stage, texts, found, k, n), "verified")
+    spans = good.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("start", "count", "source_doc", "source_start")).alias("spans"))  # a document's own spans
+    return texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut_task(k, digest_only), KEPT)
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+import pytest
+
 from reprolens.llm import substring_dedup
+from reprolens.llm.common import Stage
 
 
 def test_repeated_ids(spark):
@@ -39,3 +42,71 @@ def test_repeated_ids(spark):
         assert any(s[p.source_start : p.source_start + p.words] in taken for s in by_id[p.source_doc])
     brief = substring_dedup.digest(spark, frame).collect()
     assert sorted((x.doc_id or 0, x.n_words, x.n_removed) for x in brief) == sorted(x[:3] for x in want)
+
+
+def unitigs(texts, k):
+    """Sets of repeated edges on one nonbranching path, by plain dictionaries."""
+    places, after, before = {}, {}, {}
+    lists = [t.split() for t in texts]
+    for i, w in enumerate(lists):
+        for s in range(len(w) - k + 1):
+            places.setdefault(tuple(w[s : s + k]), []).append((i, s))
+    repeated = {e for e, at in places.items() if len(at) > 1}
+    for w in lists:
+        for s in range(len(w) - k):
+            e, f = tuple(w[s : s + k]), tuple(w[s + 1 : s + 1 + k])
+            if e in repeated and f in repeated:
+                after.setdefault(e, set()).add(f)
+                before.setdefault(f, set()).add(e)
+    parent = {e: e for e in repeated}
+
+    def root(e):
+        while parent[e] != e:
+            e = parent[e]
+        return e
+
+    for e, nexts in after.items():
+        for f in nexts:
+            if len(nexts) == 1 and len(before[f]) == 1:
+                parent[root(e)] = root(f)
+    groups = {}
+    for e in repeated:
+        groups.setdefault(root(e), set()).add(min(places[e]))
+    return sorted(sorted(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_paths_equal_unitigs(spark, seed):
+    r = random.Random(seed)
+    parts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randint(4, 14))) for _ in range(9)]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(40)] + ["loop " * 30, "loop " * 12, "a b " * 15, "b a " * 9]
+    stage = Stage(spark, "unitigs")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(5)
+    spans, compact = substring_dedup.graph(spark, stage, frame, 6, 3, 3)
+    got = {}
+    for p in compact.collect():
+        got.setdefault(tuple(p.path), []).extend((p.doc, p.start + i) for i in range(p["count"]))
+    assert sorted(sorted(g) for g in got.values()) == unitigs(texts, 6)
+    first = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for s in range(len(w) - 5):
+            first.setdefault(tuple(w[s : s + 6]), (i, s))
+    want = {(i, s): first[tuple(w[s : s + 6])] for i, t in enumerate(texts) for w in [t.split()] for s in range(len(w) - 5) if first[tuple(w[s : s + 6])] != (i, s)}
+    found = [((x.doc, x.start + i), (x.source_doc, x.source_start + i)) for x in spans.collect() for i in range(x["count"])]
+    assert len(found) == len(dict(found)) and dict(found) == want
+
+
+def test_spans_whose_words_differ_are_dropped(spark):
+    texts = spark.createDataFrame([(0, "a b c d e f g"), (1, "x a b c d e f"), (2, "a b c q e f g")], "doc long, text string")
+    runs = spark.createDataFrame([(1, 1, 0, 0, 3), (2, 0, 0, 0, 3), (2, 4, 0, 4, 0)], substring_dedup.RUN)
+    good = substring_dedup.verified(Stage(spark, "verified"), texts, runs, 4, 2).collect()
+    assert [(x.doc, x.start) for x in good if x["count"]] == [(1, 1)]
+
+
+def test_null_ids_empty_and_long_texts(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(None, " ".join(words)), (None, None), (1, " ".join(words)), (2, " ".join(words[5000:5040])), (3, ""), (4, None), (5, " ".join(words[:19]))]
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None}
+    assert {i: (r.n_words, r.n_removed) for i, r in got.items()} == {1: (20_000, 0), 2: (40, 40), 3: (0, 0), 4: (0, 0), 5: (19, 0)}
+    assert got[2].paths[0].source_start == 5000 and got[2].kept == ""
