@@ -390,28 +390,36 @@ def _with_ids(stage: Stage, out: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def graph(spark: SparkSession, stage: Stage, texts: DataFrame, k: int, m: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """Of texts with unique keys: the runs of later places (RUN), cut at branching nodes, and the paths of the graph."""
-    seeds = stage.write(texts.mapInArrow(_seed_task(k, m), SEEDS), "seeds")
-    of = W.partitionBy("h")
-    dealt = seeds.filter("known < 2").repartition(n, "h").withColumns({"places": F.count("*").over(of), "again": F.max("known").over(of)})
-    repeated = dealt.filter("places > 1 or again > 0").select("doc", "at").unionByName(seeds.filter("known = 2").select("doc", "at"))
-    places = repeated.repartition(n, "doc").groupBy("doc").agg(F.collect_list("at").alias("places"))  # a document's own seeds
-    edges = stage.write(texts.join(places, "doc").select("doc", "text", "places").mapInArrow(_edge_task(k, m), EDGES), "edges")
-    stage.drop("seeds")
+    """Of texts with unique keys: the runs of later places (RUN), cut at branching nodes, and the paths of the graph.
+
+    Further places in a chunk travel with the seeds and edges that are dealt, each in a group of its own.
+    """
+    further = F.col("known") == 2
+    seeds = texts.mapInArrow(_seed_task(k, m), SEEDS).withColumn("group", F.when(further, F.xxhash64("doc", "at")).otherwise(F.col("h"))).drop("h")
+    of = W.partitionBy("group")
+    dealt = seeds.repartition(n, "group").withColumns({"places": F.count("*").over(of), "again": F.max("known").over(of)})
+    places = dealt.filter("places > 1 or again > 0").repartition(n, "doc").groupBy("doc").agg(F.collect_list("at").alias("places"))  # a document's own seeds
+    places = stage.bucketed(places, "places", n, "doc")
+    stage.free()
+
+    edges = texts.join(places, "doc").select("doc", "text", "places").mapInArrow(_edge_task(k, m), EDGES)
+    # Of an edge: hash, document, check and start. Of a run of further places: document, start, source document, source start, edges.
+    same = W.partitionBy("kind", "a", "group").orderBy("b", "c")
+    edges = edges.withColumn("group", F.when(F.col("kind") == 0, F.shiftright("c", 32)).otherwise(F.col("b"))).repartition(n, "kind", "a", "group")
+    start = F.col("c").bitwiseAND(F.lit(0xFFFFFFFF))
+    edges = edges.withColumn("first", F.first(F.struct("b", "c")).over(same)).filter("kind = 1 or first.b != b or first.c != c")
+    lead = F.struct(F.col("b").alias("doc"), start.alias("start"), F.col("first.b").alias("source_doc"), F.col("first.c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("source_start"), F.lit(1).cast("long").alias("count"))
+    run = F.struct(*[F.col(x).alias(c.split()[0]) for x, c in zip("abcde", RUN.split(", "), strict=True)])
+    edges = stage.write(edges.select("kind", F.when(F.col("kind") == 0, lead).otherwise(run).alias("run")).select("kind", "run.*"), "edges")
     stage.free()
 
-    leads = edges.filter("kind = 0").select(F.col("a").alias("h"), F.shiftright("c", 32).alias("check"), F.col("b").alias("doc"), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"))
-    same = W.partitionBy("h", "check").orderBy("doc", "start")
-    leads = leads.repartition(n, "h", "check").withColumn("source", F.first(F.struct("doc", "start")).over(same)).filter("source.doc != doc or source.start != start")
-    later = leads.select("doc", "start", F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
-    later = stage.write(later.repartition(n, "doc").sortWithinPartitions("doc", "start").mapInArrow(_glue, RUN), "later")
+    later = edges.filter("kind = 0").drop("kind").repartition(n, "doc").sortWithinPartitions("doc", "start")
+    later = stage.write(later.mapInArrow(_glue, RUN), "later")
     # Places of a chunk refer to the first one of the chunk, which refers to the source.
-    near = edges.filter("kind = 1").select(*[F.col(x).alias(c.split()[0]) for x, c in zip("abcde", RUN.split(", "), strict=True)])
     lead = later.select("doc", "start", "count", F.col("source_doc").alias("to_doc"), F.col("source_start").alias("to_start"))
-    found = stage.write(later.unionByName(translate(near, lead, n)), "found")
+    found = stage.write(later.unionByName(translate(edges.filter("kind = 1").drop("kind"), lead, n)), "found")
     for name in ("edges", "later"):
         stage.drop(name)
-    stage.free()
 
     sources = stage.write(stretches(found), "sources")
     joints = stage.write(junctions(found, sources), "joints")
@@ -426,6 +434,7 @@ def _dedup(spark: SparkSession, stage: Stage, docs: DataFrame, k: int, m: int, d
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(width(spark), -(-size // BUCKET))
     texts = stage.bucketed(docs, "docs", n, "doc")
+    stage.free()
     found, _ = graph(spark, stage, texts, k, m, n)
     good = stage.write(verified(stage, texts, found, k, n), "verified")
     spans = good.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("start", "count", "source_doc", "source_start")).alias("spans"))  # a document's own spans
