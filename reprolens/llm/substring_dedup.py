@@ -17,8 +17,8 @@ over edges that follow each other somewhere.
    junctions give the degree of each node. Nonbranching paths are compacted: a stretch is cut where a
    node branches, and pieces that a junction without a branch joins are chained by connected components.
 4. Spans. Every later place of a path is a span (start, words, source document, source start). Its words
-   are compared with those at the source coordinates, by a 128-bit digest of the words on both sides;
-   only spans that agree are kept, and the words they cover are removed.
+   are compared with those at the source coordinates, by a digest of the words on both sides; only
+   spans that agree are kept, and the words they cover are removed.
 
 A task counts repeats within its own chunk of documents before anything is dealt, so the rows of a
 very common seed or edge are bounded by the number of chunks. Texts are dealt once, into files by key;
@@ -28,10 +28,12 @@ each later step finds them there without another exchange.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,7 @@ from reprolens.llm.components import connected
 K = 20  # words of an edge
 SEED = 8  # words of a seed; each edge holds one of its K - SEED + 1 seeds
 BUCKET = 1 << 25  # bytes of text of a task, about
+LOT = 1 << 13  # runs with one source document that are dealt together, about
 RUN = "doc long, start long, source_doc long, source_start long, count long"
 _LONG = pa.int64()
 
@@ -200,11 +203,11 @@ def _translate(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in frames:
         if not b.num_rows:
             continue
-        rows = np.stack([b.column(i).to_numpy() for i in range(6)], axis=1)  # at_doc, side, at, count, x_doc, x_start
+        rows = np.stack([b.column(i).to_numpy() for i in range(7)], axis=1)  # at_doc, side, at, count, x_doc, x_start, salt
         if held is not None:
             rows = np.concatenate([held, rows])
-        held = rows[(rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == 0)]
-        rank = np.cumsum(np.concatenate([[0], rows[1:, 0] != rows[:-1, 0]])) << 34
+        held = rows[(rows[:, 0] == rows[-1, 0]) & (rows[:, 6] == rows[-1, 6]) & (rows[:, 1] == 0)]
+        rank = np.cumsum(np.concatenate([[0], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 6] != rows[:-1, 6])])) << 34
         side = rows[:, 1] == 1
         m, r = rows[~side], rows[side]
         if not len(r):
@@ -228,11 +231,18 @@ def _translate(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(_longs(r[of, 4], r[of, 5] + shift, doc, start, hi - lo), names=[c.split()[0] for c in RUN.split(", ")])
 
 
-def translate(found: DataFrame, stretches: DataFrame, n: int) -> DataFrame:
-    """``found`` (runs) with sources that lie in a stretch (doc, start, count, to_doc, to_start) replaced by its target, cut where it begins or ends."""
-    a = stretches.select(F.col("doc").alias("at_doc"), F.lit(0).cast("long").alias("side"), F.col("start").alias("at"), "count", F.col("to_doc").alias("x_doc"), F.col("to_start").alias("x_start"))
-    b = found.select(F.col("source_doc").alias("at_doc"), F.lit(1).cast("long").alias("side"), F.col("source_start").alias("at"), "count", F.col("doc").alias("x_doc"), F.col("start").alias("x_start"))
-    return a.unionByName(b).repartition(n, "at_doc").sortWithinPartitions("at_doc", "side", "at").mapInArrow(_translate, RUN)
+def translate(stage: Stage, found: DataFrame, stretches: DataFrame, n: int, name: str) -> DataFrame:
+    """``found`` (runs) with sources that lie in a stretch (doc, start, count, to_doc, to_start) replaced by its target, cut where it begins or ends.
+
+    Runs of a document that is the source of very many are dealt in lots of about LOT, each with the document's stretches.
+    """
+    lots = found.groupBy(F.col("source_doc").alias("hot")).count().filter(F.col("count") > LOT).select("hot", F.ceil(F.col("count") / LOT).cast("long").alias("lots"))
+    lots = stage.write(lots, f"{name}-lots")  # a row for each LOT runs at most
+    a = stretches.join(lots, F.col("doc") == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)))
+    a = a.select(F.col("doc").alias("at_doc"), F.lit(0).cast("long").alias("side"), F.col("start").alias("at"), "count", F.col("to_doc").alias("x_doc"), F.col("to_start").alias("x_start"), "salt")
+    b = found.join(lots, F.col("source_doc") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.coalesce("lots", F.lit(1))))
+    b = b.select(F.col("source_doc").alias("at_doc"), F.lit(1).cast("long").alias("side"), F.col("source_start").alias("at"), "count", F.col("doc").alias("x_doc"), F.col("start").alias("x_start"), "salt")
+    return a.unionByName(b).repartition(n, "at_doc", "salt").sortWithinPartitions("at_doc", "salt", "side", "at").mapInArrow(_translate, RUN)
 
 
 def stretches(found: DataFrame) -> DataFrame:
@@ -286,7 +296,13 @@ def paths(stage: Stage, parts: DataFrame, joints: DataFrame) -> DataFrame:
     return parts.withColumn("id", name).join(chain, "id", "left").select("doc", "start", "count", F.coalesce("component", "id").alias("path"))
 
 
-DIGESTS = "doc long, start long, count long, digest binary"
+DIGESTS = f"source boolean, {RUN}, digest long"
+
+
+def _text_words(raw: bytes) -> tuple[bytes, np.ndarray]:
+    """The words of a text joined by single spaces, and where each begins there (and one after the last ends, with its space)."""
+    words = raw.split()
+    return b" ".join(words), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
 
 
 def _digest_task(k: int):
@@ -294,27 +310,33 @@ def _digest_task(k: int):
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            out: list[tuple] = []
-            for doc, raw, wanted in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                words = raw.split()
-                for w in wanted:
-                    span = b" ".join(words[w["start"] : w["start"] + w["count"] + k - 1])
-                    out.append((doc, w["start"], w["count"], hashlib.blake2b(span, digest_size=16).digest()))
-            if out:
-                kinds = (_LONG, _LONG, _LONG, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "start", "count", "digest"])
+            wanted = b.column(2)
+            entries = wanted.flatten()
+            sizes = wanted.value_lengths().to_numpy()
+            start, count = (entries.field(c).to_numpy() for c in ("start", "count"))
+            digest, at = np.zeros(len(start), dtype=np.int64), 0
+            for raw, n in zip(as_bytes(b.column(1)), sizes.tolist(), strict=True):
+                text, begin = _text_words(raw)
+                low = begin[start[at : at + n]].tolist()
+                high = (begin[start[at : at + n] + count[at : at + n] + k - 1] - 1).tolist()
+                digest[at : at + n] = [int.from_bytes(hashlib.blake2b(text[x:y], digest_size=8).digest(), "little", signed=True) for x, y in zip(low, high, strict=True)]
+                at += n
+            doc = np.repeat(b.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([entries.field("source"), pa.array(doc, _LONG), *(entries.field(c) for c in ("start", "source_doc", "source_start", "count")), pa.array(digest, _LONG)], names=["source", *(c.split()[0] for c in RUN.split(", ")), "digest"])
 
     return run
 
 
 def verified(stage: Stage, texts: DataFrame, found: DataFrame, k: int, n: int) -> DataFrame:
-    """The runs whose words are those at their source coordinates."""
-    here, there = found.select("doc", "start", "count"), found.select(F.col("source_doc").alias("doc"), F.col("source_start").alias("start"), "count")
-    wanted = here.unionByName(there).distinct().repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("wanted"))  # stretches of one document
+    """The runs whose words are those at their source coordinates. Sources are first places and runs later ones, so none is both."""
+    entry = F.struct(F.col("at_source").alias("source"), "start", "source_doc", "source_start", "count")
+    here = found.withColumn("at_source", F.lit(False))
+    nothing = F.lit(0).cast("long")
+    there = found.select(F.col("source_doc").alias("doc"), F.col("source_start").alias("start"), "count").distinct().select("doc", "start", nothing.alias("source_doc"), nothing.alias("source_start"), "count", F.lit(True).alias("at_source"))
+    wanted = here.unionByName(there).repartition(n, "doc").groupBy("doc").agg(F.collect_list(entry).alias("wanted"))  # stretches of one document
     digests = stage.write(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_digest_task(k), DIGESTS), "digests")
-    source = digests.select(F.col("doc").alias("source_doc"), F.col("start").alias("source_start"), "count", F.col("digest").alias("source_digest"))
-    both = found.join(digests, ["doc", "start", "count"]).join(source, ["source_doc", "source_start", "count"])
-    return both.filter("digest = source_digest").select(*found.columns)
+    source = digests.filter("source").select(F.col("doc").alias("source_doc"), F.col("start").alias("source_start"), "count", F.col("digest").alias("source_digest"))
+    return digests.filter("not source").join(source, ["source_doc", "source_start", "count"]).filter("digest = source_digest").select(*found.columns)
 
 
 KEPT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string, paths array<struct<start:long,words:long,source_doc:long,source_start:long>>"
@@ -324,20 +346,25 @@ _PATHS = pa.list_(pa.struct([(n, _LONG) for n in ("start", "words", "source_doc"
 def _cut_task(k: int, digest_only: bool):
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            rows = []
-            for doc, raw, spans in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            rows, at = [], 0
+            spans = b.column(2)
+            entries, sizes = spans.flatten(), pc.fill_null(spans.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            columns = [entries.field(i).to_numpy(zero_copy_only=False) for i in range(entries.type.num_fields)]  # start, count, source document, source start
+            for doc, raw, n in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), sizes.tolist(), strict=True):
                 words = raw.split()
-                n = len(words)
-                spans = [(s["start"], s["count"] + k - 1, s["source_doc"], s["source_start"]) for s in spans or ()]
-                if spans:
-                    cover = np.zeros(n + 1, dtype=np.int64)
-                    at = np.array(spans, dtype=np.int64)
-                    np.add.at(cover, at[:, 0], 1)
-                    np.add.at(cover, at[:, 0] + at[:, 1], -1)
-                    words = [w for w, gone in zip(words, np.cumsum(cover[:-1]).tolist(), strict=True) if not gone]
+                total = len(words)
+                mine = [c[at : at + n] for c in columns]
+                at += n
+                if n:
+                    cover = np.zeros(total + 1, dtype=np.int64)
+                    np.add.at(cover, mine[0], 1)
+                    np.add.at(cover, mine[0] + mine[1] + k - 1, -1)
+                    words = list(itertools.compress(words, (np.cumsum(cover[:-1]) == 0).tolist()))
                 kept = b" ".join(words)
-                listed = None if digest_only else [dict(zip(("start", "words", "source_doc", "source_start"), s, strict=True)) for s in sorted(spans)]
-                rows.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), None if digest_only else kept.decode(), listed))
+                listed = None
+                if not digest_only:
+                    listed = [dict(zip(("start", "words", "source_doc", "source_start"), (int(s), int(c) + k - 1, int(d), int(e)), strict=True)) for s, c, d, e in sorted(zip(*mine, strict=True))]
+                rows.append((doc, total, total - len(words), hashlib.sha256(kept).hexdigest(), None if digest_only else kept.decode(), listed))
             kinds = (_LONG, _LONG, _LONG, pa.string(), pa.string(), _PATHS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "n_words", "n_removed", "kept_sha256", "kept", "paths"])
 
@@ -417,7 +444,7 @@ def graph(spark: SparkSession, stage: Stage, texts: DataFrame, k: int, m: int, n
     later = stage.write(later.mapInArrow(_glue, RUN), "later")
     # Places of a chunk refer to the first one of the chunk, which refers to the source.
     lead = later.select("doc", "start", "count", F.col("source_doc").alias("to_doc"), F.col("source_start").alias("to_start"))
-    found = stage.write(later.unionByName(translate(edges.filter("kind = 1").drop("kind"), lead, n)), "found")
+    found = stage.write(later.unionByName(translate(stage, edges.filter("kind = 1").drop("kind"), lead, n, "near")), "found")
     for name in ("edges", "later"):
         stage.drop(name)
 
@@ -426,7 +453,7 @@ def graph(spark: SparkSession, stage: Stage, texts: DataFrame, k: int, m: int, n
     parts = stage.write(pieces(sources, joints), "pieces")
     compact = stage.write(paths(stage, parts, joints), "compact")
     same_place = compact.select("doc", "start", "count", F.col("doc").alias("to_doc"), F.col("start").alias("to_start"))
-    return stage.write(translate(found, same_place, n), "spans"), compact
+    return stage.write(translate(stage, found, same_place, n, "found"), "spans"), compact
 
 
 def _dedup(spark: SparkSession, stage: Stage, docs: DataFrame, k: int, m: int, digest_only: bool) -> DataFrame:
@@ -437,7 +464,8 @@ def _dedup(spark: SparkSession, stage: Stage, docs: DataFrame, k: int, m: int, d
     stage.free()
     found, _ = graph(spark, stage, texts, k, m, n)
     good = stage.write(verified(stage, texts, found, k, n), "verified")
-    spans = good.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("start", "count", "source_doc", "source_start")).alias("spans"))  # a document's own spans
+    entry = ["start", "count"] if digest_only else ["start", "count", "source_doc", "source_start"]
+    spans = good.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct(*entry)).alias("spans"))  # a document's own spans
     return texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut_task(k, digest_only), KEPT)
 
 

@@ -98,8 +98,8 @@ def test_paths_equal_unitigs(spark, seed):
 
 
 def test_spans_whose_words_differ_are_dropped(spark):
-    texts = spark.createDataFrame([(0, "a b c d e f g"), (1, "x a b c d e f"), (2, "a b c q e f g")], "doc long, text string")
-    runs = spark.createDataFrame([(1, 1, 0, 0, 3), (2, 0, 0, 0, 3), (2, 4, 0, 4, 0)], substring_dedup.RUN)
+    texts = spark.createDataFrame([(0, "a b c d e f g i"), (1, "x a b c d e f"), (2, "a b c q e f g h")], "doc long, text string")
+    runs = spark.createDataFrame([(1, 1, 0, 0, 3), (2, 0, 0, 0, 3), (2, 4, 0, 4, 1)], substring_dedup.RUN)
     good = substring_dedup.verified(Stage(spark, "verified"), texts, runs, 4, 2).collect()
     assert [(x.doc, x.start) for x in good if x["count"]] == [(1, 1)]
 
