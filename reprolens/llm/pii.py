@@ -9,8 +9,12 @@ apart at such tokens, and only what lies between them is decoded, with the same
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -79,80 +83,112 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
 # --- the labelled table -------------------------------------------------------------------------
 
 #: Fixed values from which the labelled table is made.
-GIVEN = "Anna Marc Lena Jonas Maria Paul Elena Hugo Nina Omar Clara David Ines Felix Rosa Ivan Julia Peter Sofia Karl".split()
-FAMILY = "Keller Martin Novak Silva Meyer Rossi Dubois Garcia Schmidt Moreau Lopez Weber Costa Fischer Blanc Torres Wagner Petit Ruiz Brandt".split()
-STREETS = "Oak Elm Mill Church Station Garden Hill Lake Park River".split()
-ROADS = "Street Avenue Road Lane Boulevard Drive".split()
+GIVEN = "Anna Marc Lena Jonas Maria Paul Elena Hugo Nina Omar Clara David Ines Felix Rosa Ivan Julia Peter Sofia Karl Aisha Bruno Chen Dimitri Esther Fatima Goran Hannah Igor Jana".split()
+FAMILY = "Keller Martin Novak Silva Meyer Rossi Dubois Garcia Schmidt Moreau Lopez Weber Costa Fischer Blanc Torres Wagner Petit Ruiz Brandt Okafor Lindqvist Haddad Tanaka Kowalski Murphy Ivanova Nguyen Baker Ortega".split()
+STREETS = "Oak Elm Mill Church Station Garden Hill Lake Park River Maple Victoria Castle Market Bridge".split()
+ROADS = "Street Avenue Road Lane Boulevard Drive Court Square".split()
+ROADS_BEFORE = "rue calle via avenida".split()
 TITLES = "Mr. Mrs. Ms. Dr. Prof. Herr Frau Señor Señora Madame Monsieur".split()
-SECRET_CUES = "token password secret api_key apikey passwd access_token auth_token".split()
-NUMBER_CUES = "SSN: ssn passport Passport IBAN IBAN:".split()
+ROLES = "President Chairman Chairwoman Speaker Secretary Minister Ambassador Director Mayor Judge Chancellor Senator".split()
+NAME_CUES = "name contact person signed regards sincerely attn patient customer employee recipient author heiße appelle llamo nombre nom dear".split()
+SECRET_CUES = "token password secret api_key apikey passwd access_token auth_token client_secret credentials pwd passphrase".split()
+NUMBER_CUES = "ssn passport iban licence_no tax_id".split()
+HASH_CUES = "commit sha256 sha1 md5 checksum digest revision build".split()
+OTHER_CUES = "version chapter page section figure support sales team department office".split()
+KEY_PREFIXES = ("sk-", "ghp_", "gho_", "github_pat_", "AKIA", "ASIA", "xoxb-", "xoxp-", "AIza", "glpat-", "npm_", "pk_live_", "sk_live_")
 SYLLABLES = "the er on an in th re at en es or ti ing ion ou ha le de la eau que un mente ción os as ra ung en ver sch keit ich der die".split()
-
-
-def labelled_rows(seed: int = 7, sentences: int = 420) -> list[tuple[int, int, str, str]]:
-    """(sentence, position, token, label): templates for each label among invented prose, and prose that looks odd but is clean."""
+#: Each cue with the group it belongs to.
+GROUPS = {
+    w.lower().strip("."): group
+    for group, words in (("title", TITLES), ("role", ROLES), ("road", ROADS), ("road_before", ROADS_BEFORE), ("name", NAME_CUES), ("secret", SECRET_CUES), ("number", NUMBER_CUES), ("hash", HASH_CUES), ("else", OTHER_CUES))
+    for w in words
+}
+CUES = frozenset(GROUPS)
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def labelled_rows(seed: int = 7, sentences: int = 1800) -> list[tuple[int, int, str, str]]:
+    """(sentence, position, token, label): templates for each label among invented prose, and much the same words where they name nobody."""
     r = random.Random(seed)
-    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
 
     def word() -> str:
         w = "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4)))
-        w = w.capitalize() if r.random() < 0.15 else w
-        return w + r.choice(["", "", "", "", "", ",", "."])
+        return (w.capitalize() if r.random() < 0.15 else w) + r.choice(["", "", "", "", "", ",", "."])
 
     def prose(n: int) -> list[tuple[str, str]]:
         return [(word(), "other") for _ in range(n)]
 
-    def tagged(text: str, label: str) -> list[tuple[str, str]]:
+    def tagged(text: str, label: str = "other") -> list[tuple[str, str]]:
         return [(w, label) for w in text.split()]
 
+    end = lambda: r.choice(["", "", ",", "."])
+    capital = lambda: "".join(r.choice(SYLLABLES) for _ in range(2)).capitalize()
+    plain_word = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3)))
+
+    def person() -> str:
+        given, family = r.choice([r.choice(GIVEN), capital()]), r.choice([r.choice(FAMILY), capital()])
+        return r.choice([f"{given} {family}", f"{given} {family}", f"{given} {r.choice(_LETTERS).upper()}. {family}"])
+
     def name() -> list[tuple[str, str]]:
-        full = f"{r.choice(GIVEN)} {r.choice(FAMILY)}" if r.random() < 0.7 else r.choice(FAMILY)
-        if r.random() < 0.5:
-            return [(r.choice(TITLES), "other"), *tagged(full + r.choice(["", ",", "."]), "name")]
-        return [*tagged(r.choice(["my name is", "Name:", "name:", "contact person", "signed by", "Regards,"]), "other"), *tagged(f"{r.choice(GIVEN)} {r.choice(FAMILY)}", "name")]
-
-    def odd() -> list[tuple[str, str]]:
-        kind = r.randrange(14)
-        w = "".join(r.choice(SYLLABLES) for _ in range(3))
-        return tagged(
-            [
-                "Licensed under the Apache License, Version 2.0.",
-                f"{w} | {w.capitalize()} | {w}",
-                f"{w.upper()}!! {w.upper()},!! {w.upper()}.!!",
-                f"{w}*** {w}%%% {w}### {w}&&&",
-                f"{r.randint(1, 999)} {w} {r.randint(1900, 2030)} {w}",
-                f"{digits(16)} {w} {w}",
-                f"+1 ({digits(3)}) 555-{digits(4)} {w}",
-                f"{w}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com {r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}",
-                f"{w}. {w.capitalize()} {w}",
-                f"{w.capitalize()} License, version {r.randint(1, 9)}.",
-                f"{w} {r.choice(['version', 'chapter', 'page', w])} {r.randint(1, 99)}{r.choice(['.', ',', ''])} {w.capitalize()} {w}",
-                f"{w.capitalize()}. {w[::-1].capitalize()} {w}. {w.capitalize()}. {w}",
-                " ".join([w.capitalize() + r.choice(["", "", ".", ","])] * r.randint(3, 14)),
-                f"{w.capitalize()}, {w.capitalize()}. {w.capitalize()}. {w.capitalize()}. {w}",
-            ][kind],
-            "other",
-        )
-
-    made = []
-    for i in range(sentences):
-        kind = i % 7
+        cue = r.choice(["my name is", "his name is", "Name:", "name:", "contact person:", "signed by", "Signed,", "Regards,", "Kind regards,", "Sincerely,", "Please contact", "please contact", "contact", "Contact:", "attn:", "Patient:", "patient", "Customer:", "customer", "employee", "Employee:", "recipient:", "author:", "mein Name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "mon nom est", "Dear"])
+        if r.random() < 0.35:
+            return [(r.choice(TITLES), "other"), *tagged(r.choice([person(), r.choice([r.choice(FAMILY), capital()])]) + end(), "name")]
+        return [*tagged(cue), *tagged(person() + end(), "name")]
+
+    def nobody() -> list[tuple[str, str]]:
+        """Cues of names without a name, and capitals without a cue."""
+        return tagged(r.choice([
+            f"{r.choice(TITLES[:6])} {r.choice(ROLES)}{end()} {plain_word()}", f"Madame {r.choice(ROLES)}", f"the {r.choice(ROLES)} {plain_word()}", f"my name is {plain_word()}", f"name: {plain_word()} {plain_word()}", f"Regards, {plain_word()}",
+            f"please contact {r.choice(['Support', 'Sales', 'support', 'the office', 'our team', 'your department'])}{end()}", f"signed {plain_word()} {plain_word()}", f"{capital()} {capital()} {plain_word()}", f"{plain_word()}. {capital()} {plain_word()}",
+            f"{capital()}. {capital()} {plain_word()}. {capital()}. {plain_word()}", " ".join([capital() + end()] * r.randint(3, 12)), f"Dear {plain_word()}", f"the customer {plain_word()}", f"author {plain_word()}", f"{plain_word()}. {r.choice(_LETTERS).upper()}. {capital()} {plain_word()}", f"{r.choice(_LETTERS).upper()}. {capital()}. {plain_word()}", f"{plain_word()} the {some(_LETTERS, 3).upper()} {capital()} {capital()} {capital()}", f"{capital()} under the {some(_LETTERS, 3).upper()} {capital()}.", f"{plain_word()} | {capital()} | {plain_word()}",
+        ]))
+
+    def address() -> list[tuple[str, str]]:
+        n, street = r.randint(1, r.choice([99, 999, 9999, 20000])), r.choice([r.choice(STREETS), capital()])
+        return tagged(r.choice([f"{n} {street} {r.choice(ROADS)}", f"{n} {street} {r.choice(ROADS)}", f"{n} {r.choice(['North', 'Old', 'New', capital()])} {street} {r.choice(ROADS)}", f"{n} {r.choice(ROADS_BEFORE)} {street}", f"{r.choice(ROADS_BEFORE).capitalize()} {street} {n}"]) + end(), "address")
+
+    def nowhere() -> list[tuple[str, str]]:
+        n = r.randint(1, 2030)
+        return tagged(r.choice([f"{n} {plain_word()} {plain_word()}", f"{r.choice(['chapter', 'Chapter', 'page', 'version', 'Section'])} {r.randint(1, 99)}{end()} {capital()} {plain_word()}", f"{n} {capital()} {plain_word()}", f"{capital()} {r.choice(ROADS)} {plain_word()}", f"{capital()} License, version {r.randint(1, 9)}.", f"Version {r.randint(1, 9)}.{r.randint(0, 9)}", f"{n}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{plain_word()} {n},{r.randint(100, 999)} {plain_word()}", " ".join(str(r.randint(0, 99)) for _ in range(r.randint(2, 14))), " ".join([str(n)] * r.randint(2, 14)), f"{n} {plain_word()} {r.choice(ROADS).lower()} {plain_word()}"]))
+
+    def number() -> list[tuple[str, str]]:
+        kind = r.randrange(4)
         if kind == 0:
-            core = name()
+            cue, value = r.choice(["SSN:", "ssn", "SSN", "social security number"]), f"{some(_DIGITS, 3)}-{some(_DIGITS, 2)}-{some(_DIGITS, 4)}"
         elif kind == 1:
-            core = [*tagged(f"{r.randint(1, 240)} {r.choice(STREETS)} {r.choice(ROADS)}", "address")]
+            cue, value = r.choice(["passport", "Passport", "Passport:", "passport no."]), r.choice(_LETTERS).upper() + some(_DIGITS, 8)
         elif kind == 2:
-            value = r.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{r.choice('ABCDEFGHX')}{digits(8)}", f"{r.choice(['DE', 'FR', 'ES'])}{digits(20)}"])
-            core = [(r.choice(NUMBER_CUES), "other"), (value + r.choice(["", ",", "."]), "number")]
-        elif kind == 3:
-            value = r.choice([hexed(40), hexed(32), hexed(64), f"sk-{hexed(24)}"])
-            value = r.choice([f'"{value}"', value])
-            cue = r.choice(SECRET_CUES)
-            core = [*tagged(r.choice([f"{cue} =", f"{cue}:", f"{cue} is"]), "other"), (value + r.choice(["", ",", "."]), "secret")]
+            cue, value = r.choice(["IBAN", "IBAN:", "iban"]), r.choice(["DE", "FR", "ES", "IT", "NL"]) + some(_DIGITS, 20)
         else:
-            core = odd() if kind < 6 else prose(4)
-        made.append(prose(r.randint(0, 5)) + core + prose(r.randint(0, 5)))
+            cue, value = r.choice(["", "number"]), f"{some(_DIGITS, 3)}-{some(_DIGITS, 2)}-{some(_DIGITS, 4)}"
+        return [*tagged(cue), (value + end(), "number")]
+
+    def no_number() -> list[tuple[str, str]]:
+        return tagged(r.choice([f"+{r.randint(1, 99)} {some(_DIGITS, 2)} {some(_DIGITS, 7)} {plain_word()}", f"({some(_DIGITS, 3)}) {some(_DIGITS, 3)}-{some(_DIGITS, 4)}", some(_DIGITS, 16), " ".join(some(_DIGITS, 4) for _ in range(4)), f"{plain_word()}@{plain_word()}.org {r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}", f"the passport {plain_word()}", f"{some(_DIGITS, 1)}-{some(_DIGITS, 2)} {plain_word()}", f"{some(_DIGITS, 3)}-{some(_DIGITS, 4)}"]))
+
+    def secret() -> list[tuple[str, str]]:
+        mixed = _LETTERS + _LETTERS.upper() + _DIGITS
+        password = "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 4))) + some(_DIGITS, r.randint(1, 4)) + "".join(r.choice(SYLLABLES) for _ in range(r.randint(0, 3))) + r.choice(["", "", "!", "#", "$"])
+        value = r.choice([some("0123456789abcdef", r.choice([32, 40, 64])), some("0123456789abcdef", 40), r.choice(KEY_PREFIXES[:1]) + some(mixed, r.choice([24, 48])), "ghp_" + some(mixed, 36), "AKIA" + some(_LETTERS.upper() + _DIGITS, 16), r.choice(KEY_PREFIXES) + some(mixed, r.randint(16, 40)), some(mixed, r.randint(20, 44)), password, password])
+        value = r.choice([f'"{value}"', value, value, f"'{value}'"])
+        cue = r.choice(SECRET_CUES)
+        cue = r.choice([cue, cue, cue.capitalize(), cue.upper()])
+        form = r.randrange(6)
+        if form == 0 and value.strip("'\"").startswith(KEY_PREFIXES):
+            return [(value + end(), "secret")]
+        if form == 1:
+            return [(f"{cue}{r.choice('=:')}{value}", "secret")]
+        return [*tagged(r.choice([f"{cue} =", f"{cue}:", f"{cue} is", f"{cue} is:"])), (value + end(), "secret")]
+
+    def no_secret() -> list[tuple[str, str]]:
+        return tagged(r.choice([
+            f"{r.choice(HASH_CUES)} {some('0123456789abcdef', r.choice([7, 32, 40, 64]))}", f"{r.choice(HASH_CUES)}: {some('0123456789abcdef', 40)}", f"the {r.choice(SECRET_CUES)} is {plain_word()}", f"{r.choice(SECRET_CUES)}: {plain_word()}", f"{r.choice(SECRET_CUES)} {plain_word()}{end()}", f"a {r.choice(SECRET_CUES)} of {r.randint(8, 64)} {plain_word()}",
+            " ".join(r.choice([plain_word(), capital()]) + r.choice(["", ",", "."]) + r.choice("!@#$%^&*~") * r.randint(1, 4) for _ in range(r.randint(2, 6))), f"{plain_word().upper()}!! {plain_word().upper()},!! {plain_word().upper()}.!!", f"{plain_word()}{r.randint(1, 9)} {plain_word()}-{r.randint(1, 99)}", f"https://{plain_word()}.org/{plain_word()}/{r.randint(1, 999)}", f"http://www.{plain_word()}{plain_word()}.com/{plain_word()}?id={r.randint(1, 9999)}", f"{plain_word()}_{plain_word()}.py {plain_word()}()", f"<{plain_word()}> </{plain_word()}>",
+        ]))
+
+    makers = (name, nobody, address, nowhere, number, no_number, secret, no_secret, name, secret, nobody, lambda: prose(5))
+    made = [prose(r.randint(0, 5)) + makers[i % len(makers)]() + prose(r.randint(0, 5)) for i in range(sentences)]
     return [(i, j, t, label) for i, s in enumerate(made) for j, (t, label) in enumerate(s)]
 
 
@@ -165,33 +201,62 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 _STRIP = ".,;:!?\"'()[]"
 
 
+#: Places, from a token, of the tokens whose features speak for its label.
+OFFSETS = (0, -1, 1, -2, 2, -3)
+
+
 def shape(word: str) -> str:
     """A for capitals, a for other letters, 0 for digits; other characters as they are."""
-    return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:80])
+    return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+
+
+def entropy(word: str) -> float:
+    """Bits for each character."""
+    n = len(word)
+    return -sum(c / n * math.log2(c / n) for c in Counter(word).values()) if n else 0.0
 
 
 def word_features(word: str, cues: frozenset[str]) -> list[str]:
+    """Features of the whole word; those of words of letters alone depend on their shape and on the cues only."""
     core = word.strip(_STRIP)
     form = shape(core)
-    out = ["bias", "short:" + re.sub(r"(.)\1+", r"\1", form)[:12]]
-    if "0" in form:
-        out.append("shape:" + re.sub(r"(.)\1{4,}", r"\1\1\1\1+", form)[:16])
+    runs = re.sub(r"(.)\1+", r"\1", form)
+    out = ["bias", "short:" + runs if len(runs) <= 5 else "long"]
     if (low := core.lower()) in cues:
-        out.append("cue:" + low)
-    if len(core) >= 20 and re.fullmatch(r"(?:sk-)?[0-9a-f]+", core) and re.search("[0-9]", core) and re.search("[a-f]", core):
-        out.append("hex")
+        out += ["cue:" + low, "group:" + GROUPS.get(low, "else")]
     if word[-1:] in ":=":
         out.append("end:" + word[-1:])
+    if runs in ("", "a", "A", "Aa"):
+        return out
+    n = len(core)
+    out.append(f"length:{sum(n >= least for least in (4, 8, 13, 20, 32))}")
+    if "0" in form and n <= 24:
+        out.append("shape:" + re.sub(r"(.)\1{4,}", r"\1\1\1\1+", form))
+    classes = {c if c in "Aa0" else "-" for c in form}
+    out += ["has:" + c for c in sorted(classes)]
+    if "0" in classes and classes & {"A", "a"}:
+        out.append("mixed" if n < 8 else "mixed:long")
+    if n >= 20 and re.fullmatch("[0-9a-f]+", core) and re.search("[0-9]", core) and re.search("[a-f]", core):
+        out.append("hex")
+    if n >= 8:
+        out.append(f"entropy:{sum(entropy(core) >= least for least in (2.5, 3.2, 3.8))}")
+    if core.startswith(KEY_PREFIXES):
+        out.append("key")
+    if "://" in core:
+        out.append("url")
+    left = re.split("[:=]", core, maxsplit=1)
+    if len(left) == 2 and left[1] and left[0].lower() in cues:
+        out += ["assigned:" + left[0].lower(), "assigned"]
     return out
 
 
 @dataclass
 class Field:
-    """Weights: for the features of a token itself, of the one before and of the one after; transitions between labels."""
+    """Weights: for the features of the tokens at each of OFFSETS; transitions between labels."""
 
     cues: frozenset[str]
     index: dict[str, int]
-    emission: np.ndarray  # 3 x features x labels
+    emission: np.ndarray  # offsets x features x labels
     transition: np.ndarray  # labels x labels
     start: np.ndarray
     end: np.ndarray
@@ -199,7 +264,7 @@ class Field:
     memo: dict[str, np.ndarray] | None = None  # scores of words met before, at most MEMO of them
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """3 x words x labels; words without a known feature have the bias alone."""
+        """offsets x words x labels; words without a known feature have the bias alone."""
         if self.memo is None or len(self.memo) > MEMO:
             self.memo = {}
         for w in words:
@@ -207,6 +272,17 @@ class Field:
                 self.memo[w] = self.emission[:, [k for f in word_features(w, self.cues) if (k := self.index.get(f)) is not None]].sum(axis=1)
         return np.stack([self.memo[w] for w in words], axis=1)
 
+    def emissions(self, table: list[str], code: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """words x labels, of words given by their number in a table and their line: what tokens of the same line at each offset say."""
+        scores = self.scores(table)
+        e = scores[0][code]
+        for role, k in enumerate(OFFSETS):
+            if k < 0:
+                e[-k:] += scores[role][code[:k]] * (line[-k:] == line[:k])[:, None]
+            elif k > 0:
+                e[:-k] += scores[role][code[k:]] * (line[:-k] == line[k:])[:, None]
+        return e
+
     def gains(self) -> np.ndarray:
         """For each label but "other": the most that any path can win by it at one token, over "other", by transitions."""
         k = len(LABELS)
@@ -222,14 +298,7 @@ def train(rows: Iterable[tuple[int, int, str, str]], steps: int = 160, rate: flo
     for s, p, t, label in sorted(rows):
         sentences.setdefault(s, []).append((p, t, label))
     texts = [[(t, LABELS.index(label)) for _, t, label in x] for x in sentences.values()]
-    seen: dict[str, int] = {}
-    for x in texts:
-        for i, (t, _) in enumerate(x):
-            near = any(label for _, label in x[max(0, i - 3) : i + 4])
-            if near and t.strip(_STRIP).isascii():
-                seen[t.strip(_STRIP).lower()] = seen.get(t.strip(_STRIP).lower(), 0) + 1
-    fixed = {w.strip(_STRIP).lower() for w in " ".join([*TITLES, *SECRET_CUES, *NUMBER_CUES, *ROADS, "name contact person signed regards"]).split()}
-    cues = frozenset(w for w, n in seen.items() if n and w in fixed)
+    cues = CUES
     index: dict[str, int] = {}
     features = [[[index.setdefault(f, len(index)) for f in word_features(t, cues)] for t, _ in x] for x in texts]
     n, longest, k, m = len(texts), max(map(len, texts)), len(LABELS), len(index)
@@ -239,14 +308,17 @@ def train(rows: Iterable[tuple[int, int, str, str]], steps: int = 160, rate: flo
     for i, x in enumerate(texts):
         for j, (_, label) in enumerate(x):
             gold[i, j], mask[i, j] = label, True
-            for role, at in ((0, j), (1, j - 1), (2, j + 1)):
+            for role, at in enumerate(j + k for k in OFFSETS):
                 if 0 <= at < len(x):
                     for f in features[i][at]:
                         rows_.append(i * longest + j)
                         cols.append(f)
                         roles.append(role)
     cell, feature = np.array(rows_), np.array(cols) + m * np.array(roles)
-    w = np.zeros((3 * m, k))
+    # Both sums run over neighbours: cells come in order, features once sorted.
+    by_feature = np.argsort(feature, kind="stable")
+    of_cell, of_feature = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (cell, feature[by_feature]))
+    w = np.zeros((len(OFFSETS) * m, k))
     tr, st, en = np.zeros((k, k)), np.zeros(k), np.zeros(k)
     grads = [np.full_like(p, 1e-8) for p in (w, tr, st, en)]
     one = np.eye(k)
@@ -264,7 +336,7 @@ def train(rows: Iterable[tuple[int, int, str, str]], steps: int = 160, rate: flo
 
     for _ in range(steps):
         e = np.zeros((n * longest, k))
-        np.add.at(e, cell, w[feature])
+        e[cell[of_cell]] = np.add.reduceat(w[feature], of_cell)
         e = e.reshape(n, longest, k)
         a, b = np.zeros_like(e), np.zeros_like(e)
         a[:, 0] = e[:, 0] + st
@@ -278,13 +350,13 @@ def train(rows: Iterable[tuple[int, int, str, str]], steps: int = 160, rate: flo
         p = np.exp(a + b - z[:, None, None]) * mask[:, :, None]
         xi = np.exp(a[:, :-1, :, None] + tr + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
         g = np.zeros_like(w)
-        np.add.at(g, feature, (observed - p.reshape(-1, k))[cell])
+        g[feature[by_feature[of_feature]]] = np.add.reduceat((observed - p.reshape(-1, k))[cell[by_feature]], of_feature)
         gt, gs, ge = seen_tr - xi.sum(axis=(0, 1)), one[gold[:, 0]].sum(0) - p[:, 0].sum(0), one[gold[who, last]].sum(0) - p[who, last].sum(0)
         for q, x, h, pull in zip((w, tr, st, en), (g, gt, gs, ge), grads, (ridge, stiff, stiff, stiff), strict=True):
             x = x - pull * q
             h += x * x
             q += rate * x / np.sqrt(h)
-    return Field(cues, index, w.reshape(3, m, k), tr, st, en)
+    return Field(cues, index, w.reshape(len(OFFSETS), m, k), tr, st, en)
 
 
 def viterbi(emissions: np.ndarray, lengths: np.ndarray, field: Field, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -333,15 +405,12 @@ def field_spans(texts: list[bytes], field: Field, cells: int = 1 << 20) -> list[
     whole = buffer.tobytes()
     table: dict[str, int] = {"aa": 0, "Aa": 1}
     code[special] = [table.setdefault(whole[a:b].decode(), len(table)) for a, b in zip(starts[special].tolist(), ends[special].tolist(), strict=True)]
-    own, prev, nxt = field.scores(list(table))
     # A line ends between two words if a line feed lies between them.
     feeds = np.cumsum(buffer == _NEWLINE)
     first = np.ones(len(starts), dtype=bool)
     first[1:] = feeds[starts[1:]] != feeds[starts[:-1]]
     last = np.concatenate([first[1:], [True]])
-    e = own[code]
-    e[1:][~first[1:]] += prev[code[:-1]][~first[1:]]
-    e[:-1][~last[:-1]] += nxt[code[1:]][~last[:-1]]
+    e = field.emissions(list(table), code, np.cumsum(first))
     sure = (e[:, :1] - e[:, 1:] > field.gains()).all(axis=1)
     todo = np.flatnonzero(~sure)
     if not len(todo):
@@ -405,11 +474,15 @@ def _core_end(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def _cue_words(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray, cues: frozenset[str]) -> np.ndarray:
-    """Words of the two common kinds that are cues, found by length and first byte, then compared."""
+    """Words of the two common kinds that are cues, found by length, first and last byte, then compared."""
     tail = _core_end(buffer, starts, ends)
-    head = buffer[starts].astype(np.int64)
+    head, foot = buffer[starts].astype(np.int64), buffer[np.maximum(tail - 1, starts)].astype(np.int64)
     head = np.where((head >= 65) & (head <= 90), head + 32, head)
-    maybe = np.flatnonzero((code < 2) & np.isin(np.minimum(tail - starts, 255) * 256 + head, [len(c.encode()) * 256 + c.encode()[0] for c in cues]))
+    marks = np.zeros(1 << 16 | 1 << 14, dtype=bool)  # by length, first and last byte
+    for c in cues:
+        raw = c.encode()
+        marks[min(len(raw), 63) << 10 | (raw[0] & 31) << 5 | raw[-1] & 31] = True
+    maybe = np.flatnonzero((code < 2) & marks[np.minimum(tail - starts, 63) << 10 | (head & 31) << 5 | foot & 31])
     return np.array([i for i in maybe.tolist() if buffer[starts[i] : tail[i]].tobytes().decode().lower() in cues], dtype=np.int64)
 
 
@@ -417,12 +490,21 @@ FOUND = "doc_id long, base array<struct<start:long,end:long,kind:string>>, added
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
+def _beside(extra: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans of ``extra`` that overlap none of ``base``; both are in the order of their starts."""
+    if not base or not extra:
+        return extra
+    starts = [a for a, _, _ in base]
+    reach = list(itertools.accumulate((b for _, b, _ in base), max))
+    return [x for x in extra if not (n := bisect.bisect_left(starts, x[1])) or reach[n - 1] <= x[0]]
+
+
 def spans_of(texts: list[bytes], field: Field) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """For each text its base spans and the added ones that overlap none of them, in code points, by start and kind."""
     out = []
     for raw, extra in zip(texts, field_spans(texts, field), strict=True):
         base = [(a, b, KINDS[k]) for a, b, k in base_spans(raw)]
-        extra = [x for x in extra if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+        extra = _beside(extra, base)
         if (base or extra) and not raw.isascii():
             at = sorted({p for a, b, _ in base + extra for p in (a, b)})
             point, done, before = {}, 0, 0
@@ -498,8 +580,10 @@ def redact(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = No
                         merged[-1][1] = max(e, merged[-1][1])
                     else:
                         merged.append([a, e, k])
-                for a, e, k in reversed(merged):
-                    text = f"{text[:a]}[{k.upper()}]{text[e:]}"
+                if merged:
+                    edges = [0, *(p for a, e, _ in merged for p in (a, e)), len(text)]
+                    between = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                    text = "".join(x for pair in zip(between, [*(f"[{k.upper()}]" for _, _, k in merged), ""], strict=True) for x in pair)
                 out.append(text)
             columns = list(b.columns)
             columns[at] = pa.array(out, columns[at].type)
