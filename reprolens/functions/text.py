@@ -112,6 +112,23 @@ def slug(x: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("default"))
 
 
+# Families of models, by a word of their names.
+MODEL_FAMILIES = ("qwen", "llama", "mistral", "mixtral", "gemma", "phi", "deepseek", "gpt", "falcon")
+
+
+def percent(n: Column, d: Column) -> Column:
+    """A share as text with one digit, a dash where there is nothing to share."""
+    return F.when(d != 0, F.concat(F.format_string("%.1f", 100 * n / d), F.lit("%"))).otherwise("—")
+
+
+def model_label(x: Column) -> Column:
+    """The first model family that the name holds, else its first twelve characters."""
+    out, low = F.substring(F.coalesce(x, F.lit("")), 1, 12), F.lower(F.coalesce(x, F.lit("")))
+    for family in reversed(MODEL_FAMILIES):
+        out = F.when(low.contains(family), family).otherwise(out)
+    return out
+
+
 ARXIV = r"^[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?$"
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reprolens.operators.components import connected
+from reprolens.sources.staging import Stage
+
 FULL = 5  # least score of the full tier
 
 
@@ -69,17 +72,54 @@ def keep_first_two_keys(rows: DataFrame, first: str, second: str, order: str) ->
 
 
 def ties(rows: DataFrame, first: str, second: str, order: str) -> DataFrame:
-    """_group: the smallest order value among rows that shared keys tie together, by spreading minima until none changes."""
-    now = rows.withColumn("_group", F.col(order).cast("long"))
-    while True:
-        spread = now
-        for key in (first, second):
-            least = spread.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_group").alias("_least"))
-            spread = spread.join(least, key, "left").withColumn("_group", F.least("_group", F.coalesce("_least", "_group"))).drop("_least")
-        changed = spread.join(now.select(F.col(order).alias("_o"), F.col("_group").alias("_was")), F.col(order) == F.col("_o")).filter("_group != _was").isEmpty()
-        now = spread.select(*rows.columns, "_group")
-        if changed:
-            return now
+    """_group: the smallest order value among rows that shared keys tie together.
+
+    Each row is linked to the first row with its first key and to the first with its second; groups are the
+    connected components of these links, so that rounds grow with the logarithm of a chain, and each is staged.
+    """
+    stage = Stage(rows.sparkSession, "ties")
+    number = F.col(order).cast("long")
+    links = []
+    for key in (first, second):
+        keyed = rows.filter(F.col(key).isNotNull()).select(number.alias("a"), F.col(key).alias("_key"))
+        links.append(keyed.join(keyed.groupBy("_key").agg(F.min("a").alias("b")), "_key").select("a", "b"))
+    found = connected(stage, links[0].unionByName(links[1]), "ties")
+    return rows.join(found, number == F.col("id"), "left").select(*[rows[c] for c in rows.columns], F.coalesce("component", number).alias("_group"))
+
+
+#: Hosts, languages and years that the corpus takes.
+HOST, LANGUAGES, YEARS, LEAST_SCORE = "github.com", ("Python", "Jupyter Notebook", "unknown", ""), (19, 25), 3
+
+
+def paper_rules(pdf: Column) -> dict[str, Column]:
+    """Of papers: the address of a PDF is known."""
+    return {"missing_pdf": F.coalesce(pdf, F.lit("")) != ""}
+
+
+def repository_rules(repo: Column, env_files: Column, pdf_accessible: Column) -> dict[str, Column]:
+    """Of repositories: an address, one of the three environment files (a map of name to whether it is there), a PDF that opens."""
+    has = [F.coalesce(env_files[name], F.lit(False)) for name in ("Dockerfile", "environment.yml", "requirements.txt")]
+    return {"missing_repo": F.coalesce(repo, F.lit("")) != "", "missing_env": has[0] | has[1] | has[2], "missing_pdf": F.coalesce(pdf_accessible, F.lit(False))}
+
+
+def candidate_rules(repo: Column, arxiv_id: Column, archived: Column, language: Column, points: Column) -> dict[str, Column]:
+    """Of candidates: on the host, from the years taken (an identifier that doesn't begin with two digits passes), not archived, in a language taken, with enough points."""
+    year = F.substring(F.coalesce(arxiv_id, F.lit("")), 1, 2).try_cast("int")
+    return {
+        "host": F.coalesce(repo, F.lit("")).contains(HOST), "year": year.isNull() | year.between(*YEARS), "archived": ~F.coalesce(archived, F.lit(False)),
+        "language": F.coalesce(language, F.lit("")).isin(*LANGUAGES), "score": points >= LEAST_SCORE,
+    }
+
+
+def first_passing(rows: DataFrame, rules: dict[str, Column], target: int, *order: Column) -> DataFrame:
+    """The first ``target`` rows in order that pass all rules: each task offers that many."""
+    return with_reason(rows, rules).filter("drop_reason is null").drop("drop_reason").orderBy(*order).limit(target)
+
+
+def selected(rows: DataFrame, status: str, skipped: str = "skipped", key: str | None = None, only: str | None = None) -> DataFrame:
+    """Rows that aren't skipped (null isn't), of one key if one is named."""
+    out = rows.filter(~F.coalesce(F.col(status) == skipped, F.lit(False)))
+    return out.filter(F.col(key) == only) if key and only else out
 
 
 def score(**parts: tuple[Column, int]) -> Column:

@@ -148,6 +148,34 @@ def set_f1(gold: DataFrame, predicted: DataFrame, key: str, name: str) -> DataFr
     return out.select(key, "n_gold", "n_pred", F.round(precision, 3).alias("precision"), F.round(recall, 3).alias("recall"), F.round(f1, 3).alias("f1"))
 
 
+def recipe_scores(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """key and the five recipe metrics of every key that both tables have: has_command, entry_point_hit, command_jaccard, dataset_f1, metric_f1.
+
+    Both have run_command, requires_dataset (name) and produces_metric (metric); gold has entry_point.
+    """
+    words = lambda x: F.array_distinct(F.regexp_extract_all(plain(x), F.lit("[a-z0-9_./-]+"), F.lit(0)))
+    names = lambda x, field: F.transform(F.filter(F.transform(F.coalesce(x, F.array().cast("array<struct<name:string,download:string>>") if field == "name" else F.array().cast("array<struct<metric:string,dataset:string>>")), lambda e: e[field]), lambda n: F.coalesce(n, F.lit("")) != ""), facts)
+    columns = lambda t, side: t.select(F.col(key).alias(f"{side}_key"), F.col("run_command").alias(f"{side}_command"), names(F.col("requires_dataset"), "name").alias(f"{side}_data"), names(F.col("produces_metric"), "metric").alias(f"{side}_metric"), *([plain(F.col("entry_point")).alias("entry")] if side == "g" else []))
+    both = columns(gold, "g").join(columns(predicted, "p"), F.col("g_key") == F.col("p_key"))
+
+    def f1(p: Column, g: Column) -> Column:
+        hit = lambda a, b: F.size(F.filter(a, lambda x: F.exists(b, lambda y: facts_match(x, y)))) / F.size(a)
+        precision, recall = hit(p, g), hit(g, p)
+        some = F.when(precision + recall > 0, F.round(2 * precision * recall / (precision + recall), 3)).otherwise(0.0)
+        return F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).when((F.size(p) == 0) | (F.size(g) == 0), 0.0).otherwise(some)
+
+    return both.select(
+        F.col("g_key").alias(key), (F.coalesce("p_command", F.lit("")) != "").alias("has_command"), ((F.col("entry") != "") & F.contains(plain(F.col("p_command")), F.col("entry"))).alias("entry_point_hit"),
+        F.round(jaccard(words(F.col("p_command")), words(F.col("g_command"))), 3).alias("command_jaccard"), f1(F.col("p_data"), F.col("g_data")).alias("dataset_f1"), f1(F.col("p_metric"), F.col("g_metric")).alias("metric_f1"),
+    )
+
+
+def recipe_averages(scores: DataFrame) -> DataFrame:
+    """n_studies and the mean of each recipe metric."""
+    means = [F.round(F.avg(F.col(c).cast("double")), 3).alias(c) for c in ("has_command", "entry_point_hit", "command_jaccard", "dataset_f1", "metric_f1")]
+    return scores.agg(F.count("*").alias("n_studies"), *means)
+
+
 def step_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two command strings as token sets."""
     split = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda t: t != ""))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 SIZE, OVERLAP, LEAST = 200, 25, 30  # words of a window, shared with the next, at least
 LONGEST = 200  # lines of a section without an end
@@ -50,6 +52,38 @@ def section(text: Column, start: str = START, end: str = END) -> Column:
     return F.struct(F.when(good, first).otherwise(quarter).cast("int").alias("first"), F.when(good, last).otherwise(quarter * 3).cast("int").alias("last"), good.alias("found"))
 
 
+def embed(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], Any]], column: str = "embedding") -> DataFrame:
+    """The rows with an embedding (array of float) of their text. ``make`` builds the model once for each task; it takes a list of texts. Null texts count as empty."""
+    schema = StructType([*rows.schema.fields, StructField(column, ArrayType(FloatType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for frame in frames:
+            model = model or make()
+            if len(frame):
+                frame[column] = [np.asarray(v, dtype=np.float32) for v in model(frame[text].fillna("").tolist())]
+                yield frame
+
+    return rows.mapInPandas(run, schema)
+
+
+def hashed_words(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A model without weights: signed counts of hashed words, of unit length."""
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        def model(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for i, t in enumerate(texts):
+                for w in t.lower().split():
+                    h = zlib.crc32(w.encode())
+                    out[i, h % dim] += 1 if h >> 31 else -1
+            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+        return model
+
+    return make
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, block: int = 4096) -> DataFrame:
     """query, key, score, place: the k vectors with the greatest cosine for each query; ties by key.
 
@@ -197,6 +231,48 @@ def extract(passages: DataFrame, text: str, schema: str, make: Callable[[], Call
     return passages.mapInPandas(run, ", ".join([*(f"`{n}` {passages.schema[n].dataType.simpleString()}" for n in names), schema]))
 
 
+def complete(rows: DataFrame, prompt: Column, make: Callable[[], Callable[[str], str]], column: str = "answer") -> DataFrame:
+    """The rows with a model's answer to their prompt. ``make`` builds the client once for each task; an error of one row gives null."""
+    asked = rows.withColumn(column, prompt)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = None
+        for frame in frames:
+            client = client or make()
+
+            def answer(text: str) -> str | None:
+                try:
+                    return client(text)
+                except Exception:  # noqa: BLE001  whatever the client raises
+                    return None
+
+            frame[column] = [answer(t) if t is not None else None for t in frame[column]]
+            yield frame
+
+    return asked.mapInPandas(run, StructType([StructField(f.name, f.dataType) for f in asked.schema]))  # answers may be null
+
+
+RECIPE_PROMPT = "Give the steps that reproduce the main result of this repository as one JSON object with the keys run_command, setup_steps, requires_dataset, requires_checkpoint, produces_metric, entry_point, confidence.\n\n"
+METRIC_PROMPT = 'Give the metrics that this log reports as {"obtained": [{"metric": "", "value": "", "split": null}]}; leave out what is not in it. Wanted: '
+
+
+def recipes(rows: DataFrame, text: str, paper: str | None, make: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """The rows with a recipe (as ``normalise_recipe``) that a model reads from a repository's documents and the first 4,000 characters of its paper."""
+    prompt = F.concat(F.lit(RECIPE_PROMPT), F.coalesce(F.col(text), F.lit("")))
+    if paper:
+        prompt = F.concat(prompt, F.coalesce(F.concat(F.lit("\n\nFrom the paper:\n"), F.substring(paper, 1, 4000)), F.lit("")))
+    return complete(rows, prompt, make).withColumn("recipe", normalise_recipe(F.coalesce(repaired(F.col("answer")), F.lit("{}")))).drop("answer")
+
+
+def log_metrics(rows: DataFrame, log: str, claimed: Column, make: Callable[[], Callable[[str], str]], tail: int = 6000) -> DataFrame:
+    """The rows with obtained metrics (metric, value, split) that a model reads from the end of a log; those without a value are left out."""
+    wanted = F.coalesce(F.nullif(F.array_join(claimed, "; "), F.lit("")), F.lit("any"))
+    prompt = F.concat(F.lit(METRIC_PROMPT), wanted, F.lit("\n\n"), F.coalesce(F.substring(log, -tail, tail), F.lit("")))
+    found = F.from_json(F.coalesce(repaired(F.col("answer")), F.lit("{}")), "obtained array<struct<metric:string,value:string,split:string>>")["obtained"]
+    found = F.coalesce(F.filter(found, lambda m: F.coalesce(m["value"], F.lit("")) != ""), F.from_json(F.lit("[]"), "array<struct<metric:string,value:string,split:string>>"))
+    return complete(rows, prompt, make).withColumn("obtained", found).drop("answer")
+
+
 def normalise_recipe(text: Column) -> Column:
     """Seven fields of a recipe given as JSON: single values become lists, absent commands null, other confidences "low"."""
     raw = F.from_json(text, "map<string,string>")

@@ -11,19 +11,19 @@ from reprolens.functions.values import classify_pair
 
 # Commands that still hold a placeholder.
 PLACEHOLDER = r"(?i)(/path/to|/path_to|path_to_|\$\{?checkpoint|<checkpoint|/your/|checkpoint[ _]path|/tmp/outdir|/path\b)"
-# Labels of failed runs, the first whose phrases all occur in the lower-cased log; alternatives are separated by |.
+# Labels of failed runs, the first whose phrases all occur in the lower-cased log; of alternatives (a tuple) one must.
 FAILURES = (
     ("missing_system_dep:mujoco", ("mujoco",)),
-    ("missing_tool:unzip", ("unzip: not found|unzip: command not found",)),
-    ("dead_download:404", ("404 not found|error 404",)),
-    ("dead_download:500", ("500 internal server error|error 500",)),
-    ("gated_download:403", ("403", "download|drive.google|usercontent")),
+    ("missing_tool:unzip", (("unzip: not found", "unzip: command not found"),)),
+    ("dead_download:404", (("404 not found", "error 404"),)),
+    ("dead_download:500", (("500 internal server error", "error 500"),)),
+    ("gated_download:403", ("403", ("download", "drive.google", "usercontent"))),
     ("gpu_oom", ("out of memory",)),
-    ("auth_ssh", ("host key verification|git@github.com",)),
+    ("auth_ssh", (("host key verification", "git@github.com"),)),
     ("auth_ssh", ("permission denied", "publickey")),
     ("missing_dependency", ("no module named '",)),
     ("install_build_error", ("failed to build", "editable")),
-    ("install_build_error", ("configuration error: `project`|invalid pyproject.toml",)),
+    ("install_build_error", (("configuration error: `project`", "invalid pyproject.toml"),)),
     ("missing_file_or_data", ("no such file or directory",)),
 )
 OTHER_FAILURE = "run_error:other"
@@ -62,7 +62,7 @@ def classify_failure(log: Column) -> Column:
         test = F.lit(True)
         for phrase in phrases:
             either = F.lit(False)
-            for word in phrase.split("|"):
+            for word in (phrase,) if isinstance(phrase, str) else phrase:
                 either = either | low.contains(word)
             test = test & either
         value = F.lit(label)

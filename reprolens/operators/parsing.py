@@ -85,6 +85,96 @@ def conda_dependency(entry: Column) -> Column:
     return F.struct(channel.alias("channel"), name.alias("name"), F.when(version != "", version).otherwise("unspecified").alias("version"), F.when(build != "", build).alias("build"))
 
 
+def pip_dependency(entry: Column) -> Column:
+    """(name, version) of a pip entry in a conda file: the last part of a repository's address, or the name without extras and the first bound's version."""
+    bare = F.trim(entry)
+    url = bare.rlike("^(git[+]|https?://|-e)")
+    last = F.split_part(F.split_part(F.try_element_at(F.split(bare, "/"), F.lit(-1)), F.lit(".git"), F.lit(1)), F.lit("@"), F.lit(1))
+    clean = F.regexp_replace(bare, r"\[.*?\]", "")
+    bound = r"^([A-Za-z0-9_.-]+)\s*[=<>!]+\s*([0-9.]+\w*)?"
+    version = F.when(~url, F.nullif(F.regexp_extract(clean, bound, 2), F.lit("")))
+    name = F.when(url, last).when(clean.rlike(bound), F.regexp_extract(clean, bound, 1)).otherwise(F.trim(clean))
+    return F.struct(F.lower(name).alias("name"), F.coalesce(version, F.lit("unspecified")).alias("version"))
+
+
+def conda_environment(text: Column) -> Column:
+    """(name, channels, dependencies, pip) of an environment file: its lists as arrays of entries, the nested pip list apart.
+
+    Reads the block form of such files (one entry a line); comments and quotes are dropped.
+    """
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"(^|\s)#.*$", ""))
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.lit("").alias("section"), F.lit(-1).alias("pip"), empty.alias("channels"), empty.alias("dependencies"), empty.alias("pips"), F.lit(None).cast("string").alias("name"))
+
+    def step(s: Column, x: Column) -> Column:
+        key = F.regexp_extract(x, r"^([A-Za-z_]+):", 1)
+        item = F.regexp_replace(F.trim(F.regexp_extract(x, r"^\s*-\s*(.*)$", 1)), "^[\"']|[\"']$", "")
+        indent = F.length(F.regexp_extract(x, r"^(\s*)", 1))
+        section = F.when(key != "", key).otherwise(s["section"])
+        opens = (section == "dependencies") & item.rlike(r"^pip\s*:\s*$")
+        nested = (s["pip"] >= 0) & (indent > s["pip"])
+        pip = F.when(key != "", F.lit(-1)).when(opens, indent).when((item != "") & ~nested, F.lit(-1)).otherwise(s["pip"])
+        value = F.regexp_replace(F.trim(F.regexp_extract(x, r"^name:\s*(.*)$", 1)), "^[\"']|[\"']$", "")
+        add = lambda into, when: F.when(when & (item != ""), F.array_append(s[into], item)).otherwise(s[into])
+        plain = key == ""
+        return F.struct(
+            section.alias("section"), pip.alias("pip"), add("channels", plain & (section == "channels")).alias("channels"), add("dependencies", plain & (section == "dependencies") & ~opens & ~nested).alias("dependencies"),
+            add("pips", plain & (section == "dependencies") & nested).alias("pips"), F.coalesce(F.nullif(value, F.lit("")), s["name"]).alias("name"),
+        )
+
+    done = F.aggregate(lines, start, step)
+    return F.when(text.isNotNull(), F.struct(F.coalesce(done["name"], F.lit("unknown")).alias("name"), done["channels"].alias("channels"), done["dependencies"].alias("dependencies"), done["pips"].alias("pip")))
+
+
+def conda_dependencies(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, kind (conda or pip), pos, name, version, build of all entries of environment files."""
+    e = files.select(F.col(key), conda_environment(F.col(text)).alias("e"))
+    c = e.select(key, F.posexplode("e.dependencies").alias("pos", "x")).withColumn("d", conda_dependency(F.col("x")))
+    p = e.select(key, F.posexplode("e.pip").alias("pos", "x")).withColumn("d", pip_dependency(F.col("x")))
+    return c.select(key, F.lit("conda").alias("kind"), "pos", "d.name", "d.version", "d.build").unionByName(p.select(key, F.lit("pip").alias("kind"), "pos", "d.name", "d.version", F.lit(None).cast("string").alias("build")))
+
+
+def _last_wins(entries: Column) -> Column:
+    """A map of entries (k, v); later entries replace earlier ones of the same key."""
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+
+
+def _entry(k: Column, v: Column) -> Column:
+    return F.struct(k.alias("k"), v.alias("v"))
+
+
+def _unquoted(x: Column) -> Column:
+    return F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", "")
+
+
+def dockerfile_variables(text: Column) -> Column:
+    """(env, args, labels): maps of ENV (k=v ... or k v), ARG (a name without a default is empty) and LABEL entries; later ones win."""
+    every = F.split(F.regexp_replace(text, r"\\\r?\n", " "), r"\r?\n")
+    of = lambda word: F.transform(F.filter(every, lambda x: x.rlike(rf"(?i)^\s*{word}\s+\S")), lambda x: F.trim(F.regexp_replace(x, rf"(?i)^\s*{word}\s+", "")))
+    before = lambda x: F.regexp_extract(x, "^([^=]*)=", 1)
+    after = lambda x: F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)
+
+    def env(rest: Column) -> Column:
+        pairs = F.transform(F.filter(F.split(rest, r"\s+"), lambda p: p.contains("=")), lambda p: _entry(before(p), _unquoted(after(p))))
+        name, value = F.regexp_extract(rest, r"^(\S+)\s", 1), F.regexp_extract(rest, r"(?s)^\S+\s+(.*)$", 1)
+        return F.when(rest.contains("="), pairs).when(name != "", F.array(_entry(name, _unquoted(value)))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+
+    arg = lambda rest: F.when(rest.contains("="), _entry(F.trim(before(rest)), F.trim(after(rest)))).otherwise(_entry(rest, F.lit("")))
+    label = r"(\S+)=[\"']?([^\"']+)[\"']?"
+    pairs = lambda rest: F.zip_with(F.regexp_extract_all(rest, F.lit(label), F.lit(1)), F.regexp_extract_all(rest, F.lit(label), F.lit(2)), _entry)
+    return F.struct(_last_wins(F.flatten(F.transform(of("ENV"), env))).alias("env"), _last_wins(F.transform(of("ARG"), arg)).alias("args"), _last_wins(F.flatten(F.transform(of("LABEL"), pairs))).alias("labels"))
+
+
+def dockerfile_versions(variables: Column, image: Column) -> Column:
+    """(cuda, python, torch): from ENV, else ARG, by the names that are tried in order; cuda and python else from the image's tag."""
+    found = lambda name: F.coalesce(variables["env"][name], variables["args"][name])
+    first = lambda *names: F.coalesce(*[F.nullif(found(n), F.lit("")) for n in names])
+    tag = lambda pattern: F.nullif(F.regexp_extract(image, pattern, 1), F.lit(""))
+    return F.struct(
+        F.coalesce(first("CUDA_VERSION", "CUDA_VER"), tag(r"(?i)cuda([0-9]+\.[0-9]+)")).alias("cuda"), F.coalesce(first("PYTHON_VERSION", "PYTHON_VER"), tag(r"(?i)py(?:thon)?:?([0-9]\.[0-9]+)")).alias("python"), first("PYTORCH_VERSION", "TORCH_VERSION").alias("torch"),
+    )
+
+
 def dockerfile(text: Column) -> Column:
     """(image, digest, env, cuda, python): the last FROM wins, later ENV entries win, hints come from ENV and then from the image's tag."""
     every = F.split(F.regexp_replace(text, r"\\\r?\n", " "), r"\r?\n")

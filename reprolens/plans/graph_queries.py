@@ -197,18 +197,18 @@ def shape_conformance(spark, sf):
     return shapes.conformance(quads(spark, sf), shapes.constraints(spark))
 
 
-_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join("({})".format(", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in row)) for row in shapes.CONSTRAINTS) + ") t(target, path, severity, min_count, datatype, class, not_value))"
+_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join("({})".format(", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in row)) for row in shapes.CONSTRAINTS) + ") t(shape, target, path, severity, min_count, datatype, class, not_value))"
 _SHAPES = (
     "WITH " + QUADS + ", " + _RULES + """,
 k AS (SELECT q.graph, q.s AS focus, r.* FROM quads q JOIN r ON q.p = 'rdf:type' AND q.o = r.target),
 j AS (SELECT k.*, v.o, v.o_kind, v.o_type, EXISTS (SELECT 1 FROM quads t WHERE t.graph = k.graph AND t.s = v.o AND t.p = 'rdf:type' AND t.o = k.class) AS of_class
       FROM k LEFT JOIN quads v ON v.graph = k.graph AND v.s = k.focus AND v.p = k.path),
-t AS (SELECT graph, focus, target, path, severity, min_count, datatype, class, not_value, count(o) AS n,
+t AS (SELECT graph, focus, shape, target, path, severity, min_count, datatype, class, not_value, count(o) AS n,
              coalesce(bool_or(o IS NOT NULL AND datatype IS NOT NULL AND NOT (o_kind = 'literal' AND coalesce(o_type = datatype, false))), false) AS bad_type,
              coalesce(bool_or(o IS NOT NULL AND class IS NOT NULL AND NOT of_class), false) AS bad_class, coalesce(bool_or(o IS NOT NULL AND o = not_value), false) AS bad_value
       FROM j GROUP BY ALL),
-f AS (SELECT graph, focus, path, severity, 'min_count' AS problem FROM t WHERE n < min_count UNION ALL SELECT graph, focus, path, severity, 'datatype' FROM t WHERE bad_type
-      UNION ALL SELECT graph, focus, path, severity, 'class' FROM t WHERE bad_class UNION ALL SELECT graph, focus, path, severity, 'not_value' FROM t WHERE bad_value)
+f AS (SELECT graph, focus, shape, path, severity, 'min_count' AS problem FROM t WHERE n < min_count UNION ALL SELECT graph, focus, shape, path, severity, 'datatype' FROM t WHERE bad_type
+      UNION ALL SELECT graph, focus, shape, path, severity, 'class' FROM t WHERE bad_class UNION ALL SELECT graph, focus, shape, path, severity, 'not_value' FROM t WHERE bad_value)
 """
 )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def whole_text(spark: SparkSession, path: str, most: int) -> DataFrame:
     """Each file as one text, cut to ``most`` characters."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.substring("value", 1, most).alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.substring("value", 1, most).alias("text"))
 
 
 def _escape(x: Column) -> Column:
@@ -116,6 +117,7 @@ def flat(rows: DataFrame, separator: str = "; ") -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
+    """A report: one file, so for small results."""
     flat(rows).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
@@ -123,21 +125,90 @@ def write_json(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("overwrite").partitionBy(key).json(path)
 
 
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """One text file, written through the session's file system, so that any path works that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(conf).create(where, True)
+    try:
+        for line in lines:
+            out.write(bytearray(f"{line}\n".encode()))
+    finally:
+        out.close()
+
+
 def write_yaml(rows: DataFrame, path: str) -> None:
     """A list of maps, one row at a time; strings as JSON strings, which are YAML too."""
-    with open(path, "w", encoding="utf-8") as out:
+
+    def lines() -> Iterator[str]:
         for row in rows.toLocalIterator():
             for i, (name, value) in enumerate(row.asDict(recursive=True).items()):
-                out.write(f"{'- ' if i == 0 else '  '}{name}: {json.dumps(value, ensure_ascii=False, default=str)}\n")
+                yield f"{'- ' if i == 0 else '  '}{name}: {json.dumps(value, ensure_ascii=False, default=str)}"
+
+    write_lines(rows.sparkSession, path, lines())
+
+
+def yaml_lists(spark: SparkSession, path: str, schema: str, *sections: str) -> DataFrame:
+    """Rows of the lists in YAML files, with the section of the file that each list is from (null: the file is the list).
+
+    A missing field is null; other types than the schema's are written as text.
+    """
+    import yaml
+
+    texts = [r.value for r in spark.read.text(path, wholetext=True).select("value").collect()]  # manifests: a few small files
+    names = [f.split()[0] for f in schema.split(", ")]
+    rows = []
+    for text in texts:
+        loaded = yaml.safe_load(text) or []
+        for section in sections or (None,):
+            found = loaded if section is None else (loaded.get(section) or [])
+            rows += [(section, *(json.dumps(v, ensure_ascii=False) if isinstance(v := row.get(n), (list, dict)) else None if v is None else str(v) for n in names)) for row in found]
+    given = spark.createDataFrame(rows, "section string, " + ", ".join(f"`{n}` string" for n in names))
+    kinds = [f.split(" ", 1) for f in schema.split(", ")]
+    return given.select("section", *[(F.from_json(n, k) if k.startswith(("array", "map", "struct")) else F.col(n).try_cast(k)).alias(n) for n, k in kinds])
+
+
+def write_text(rows: DataFrame, path: str, title: str) -> None:
+    """A small result as aligned columns of text."""
+    table = [rows.columns, *(["" if v is None else str(v) for v in r] for r in rows.toLocalIterator())]
+    widths = [max(map(len, column)) for column in zip(*table, strict=True)]
+    write_lines(rows.sparkSession, path, [title, "=" * len(title), *("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in table)])
 
 
 def write_markdown(rows: DataFrame, path: str, title: str) -> None:
     """A table of a small result."""
     names = rows.columns
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(f"# {title}\n\n| {' | '.join(names)} |\n|{'---|' * len(names)}\n")
-        for row in rows.toLocalIterator():
-            out.write("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |\n")
+    body = ("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |" for row in rows.toLocalIterator())
+    write_lines(rows.sparkSession, path, [f"# {title}", "", f"| {' | '.join(names)} |", f"|{'---|' * len(names)}", *body])
+
+
+def write_latex(rows: DataFrame, path: str, caption: str) -> None:
+    """A small result as a table of LaTeX; its special characters are escaped."""
+    marks = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", **{c: "\\" + c for c in "&%$#_{}"}}
+    safe = lambda v: "" if v is None else "".join(marks.get(c, c) for c in str(v))
+    line = lambda r: " & ".join(map(safe, r)) + r" \\"
+    head = [r"\begin{table}", rf"\caption{{{safe(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(rows.columns)}}}", r"\hline", line(rows.columns), r"\hline"]
+    write_lines(rows.sparkSession, path, [*head, *map(line, rows.toLocalIterator()), r"\hline", r"\end{tabular}", r"\end{table}"])
+
+
+def disk_usage(listed: DataFrame) -> DataFrame:
+    """n_files and bytes of files as ``files`` lists them."""
+    return listed.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def csv_head(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """The first fields of a headed CSV, as text, by the names given; further fields aren't read."""
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=False)])
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """A stored index: chunks (key, pos, chunk, embedding) by key."""
+    chunks.repartition(F.col(chunks.columns[0])).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def newer(content: bytes, known_checksum: str | None, version: str | None, known_version: str | None) -> bool:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reprolens.sources.staging import shared_dir
+
 
 def read(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
     """A stream over the files of a folder whose names match."""
@@ -15,11 +17,8 @@ def read(spark: SparkSession, folder: str, schema, name: str = "*.parquet", file
 
 
 def place(spark: SparkSession, kind: str) -> str:
-    """A new folder in the shared one that the session names, or a local one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="reprolens-stream-")
-    import uuid
-
-    return f"{root}/{kind}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def drain(frame: DataFrame, spark: SparkSession, checkpoint: str | None = None, mode: str = "append") -> str:
@@ -47,9 +46,11 @@ def each_batch(frame: DataFrame, spark: SparkSession, handle: Callable[[DataFram
     query.awaitTermination()
 
 
-def unseen(frame: DataFrame, *key: str) -> DataFrame:
-    """Each key once, however often it comes."""
-    return frame.dropDuplicates(list(key))
+def unseen(frame: DataFrame, *key: str, time: str | None = None, late: str = "7 days") -> DataFrame:
+    """Each key once, however often it comes. With a ``time`` column, a key is forgotten once it is ``late`` behind, which bounds the state."""
+    if time is None:
+        return frame.dropDuplicates(list(key))
+    return frame.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def windowed(frame: DataFrame, time: str, length: str, late: str, *key: str) -> DataFrame:
