@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reprolens.sources.staging import Stage as Stage  # used by the operators from here
+
 #: ASCII white space between words: \x20 and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -26,58 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reprolens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Stage:
-    """Tables that cut a long lineage, in the shared folder.
-
-    A lost executor only loses running tasks: whatever was staged is read again from the shared
-    folder. ``drop`` frees what later steps don't read; the rest goes when the session ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.tables: list[str] = []
-        atexit.register(self.drop)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def bucketed(self, df: DataFrame, name: str, n: int, key: str) -> DataFrame:
-        """Rows dealt once into n files by key: joins by that key read them as they lie."""
-        table = f"{name}_{uuid.uuid4().hex}"
-        df.repartition(n, key).write.bucketBy(n, key).option("path", f"{self.root}/{name}").format("parquet").saveAsTable(table)
-        self.tables.append(table)
-        return self.spark.table(table)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def free(self) -> None:
-        """Lets Spark remove the shuffle files of finished steps."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner runs beside
-
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            while self.tables and not name:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
-        except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans it
-            return
-
-
 def width(spark: SparkSession, least: int = 1) -> int:
     """Number of tasks for a Python stage that is dealt by hash."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,42 +1,10 @@
-"""Connected components of links, by alternating star contractions; nothing is gathered on the driver but counts."""
+"""Connected components of links: over tables, and within one task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from reprolens.llm.common import Stage
-
-
-def connected(stage: Stage, links: DataFrame, name: str = "links", *by: str) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in ``links`` (a, b) that isn't the smallest itself.
-
-    Links that differ in the columns ``by`` belong to graphs of their own; these columns are returned, too.
-
-    Each round points neighbours at the smallest id around (large star, then small star), which keeps
-    components and shortens paths; the number of rows never grows beyond that of the links. Rounds end
-    when nothing changes. A null end links nothing; loops and repeated links don't matter.
-    """
-    u = [*by, "u"]
-    now = links.select(*by, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    now, seen, turn = stage.write(now, f"{name}-0"), None, 0
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*u, "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen or mark["n"] == 0:
-            break
-        seen = mark
-        both = now.unionByName(now.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*u).agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, u).filter("v > u").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage.write(large, f"{name}-large")
-        least = large.groupBy(*u).agg(F.min("v").alias("m"))
-        small = large.join(least, u).filter("v != m").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(*u, F.col("m").alias("v")))
-        turn += 1
-        now = stage.write(small.filter("u != v").distinct(), f"{name}-{turn}")
-        stage.drop(f"{name}-large")
-        stage.drop(f"{name}-{turn - 1}")
-    return now.select(*by, F.col("u").alias("id"), F.col("v").alias("component"))
+from reprolens.operators.components import connected as connected  # used by the operators from here
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
