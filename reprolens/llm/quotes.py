@@ -150,21 +150,24 @@ q AS (
          trim(regexp_replace(raw, '^[\x20\t]*(?:>[\x20\t]*)+', ''), ' ') AS body FROM l),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT *, CASE WHEN coalesce(lag(level) OVER (PARTITION BY conv_id, turn ORDER BY line), -1) <> level THEN 1 ELSE 0 END AS fresh FROM q) x),
-n AS (SELECT conv_id, turn, run, level, min(line) AS line, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY line)), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS norm FROM c GROUP BY conv_id, turn, run, level),
+b AS (SELECT *, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS clean FROM c),
+n AS (SELECT conv_id, turn, run, level, min(line) AS line, coalesce(list(clean ORDER BY line) FILTER (clean <> ''), []) AS parts FROM b GROUP BY conv_id, turn, run, level),
+p AS (SELECT conv_id, turn, level, line, parts, array_to_string(parts, ' ') AS norm FROM n WHERE level > 0 AND len(parts) > 0),
+begins AS (SELECT DISTINCT parts[1] AS start, len(parts) AS size FROM p WHERE len(parts) > 1),
 s AS (
   SELECT DISTINCT conv_id, turn, norm FROM (
-    SELECT conv_id, turn, norm FROM n WHERE level = 0
-    UNION ALL SELECT conv_id, turn, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') FROM q WHERE level = 0) y WHERE norm <> ''),
+    SELECT conv_id, turn, array_to_string(parts, ' ') AS norm FROM n WHERE level = 0
+    UNION ALL SELECT conv_id, turn, clean FROM b WHERE level = 0
+    UNION ALL SELECT conv_id, turn, array_to_string(list_slice(parts, i, i + size - 1), ' ')
+      FROM (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i FROM n WHERE level = 0 AND len(parts) > 1) x JOIN begins ON begins.start = x.parts[x.i] AND x.i + size - 1 <= len(x.parts)) y
+  WHERE norm <> '' AND norm IN (SELECT norm FROM p)),
 k AS (
-  SELECT n.conv_id, n.turn, n.level, n.line,
-         (SELECT min(s.turn) FROM s WHERE s.norm = n.norm AND s.conv_id = n.conv_id) AS near_turn,
-         (SELECT min(struct_pack(conv_id := s.conv_id, turn := s.turn)) FROM s WHERE s.norm = n.norm) AS anywhere
-  FROM n WHERE n.level > 0 AND n.norm <> ''),
+  SELECT p.conv_id, p.turn, p.level, p.line,
+         (SELECT min(s.turn) FROM s WHERE s.norm = p.norm AND s.conv_id = p.conv_id) AS near_turn,
+         (SELECT min(struct_pack(conv_id := s.conv_id, turn := s.turn)) FROM s WHERE s.norm = p.norm AND s.conv_id <> p.conv_id) AS far
+  FROM p),
 t AS (
-  SELECT conv_id, turn, level, line,
-         CASE WHEN near_turn < turn THEN conv_id WHEN anywhere IS NOT NULL AND NOT (anywhere.conv_id = conv_id AND anywhere.turn >= turn) THEN anywhere.conv_id END AS to_conv,
-         CASE WHEN near_turn < turn THEN near_turn WHEN anywhere IS NOT NULL AND NOT (anywhere.conv_id = conv_id AND anywhere.turn >= turn) THEN anywhere.turn END AS to_turn
-  FROM k),
+  SELECT conv_id, turn, level, line, CASE WHEN near_turn < turn THEN conv_id ELSE far.conv_id END AS to_conv, CASE WHEN near_turn < turn THEN near_turn ELSE far.turn END AS to_turn FROM k),
 u AS (
   SELECT conv_id, turn, count(*) AS n_quotes, count(to_conv) AS n_linked, max(level) AS quote_depth,
          min(CASE WHEN to_conv IS NOT NULL THEN struct_pack(level := level, line := line, to_conv := to_conv, to_turn := to_turn) END) AS f
