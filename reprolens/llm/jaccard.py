@@ -6,8 +6,11 @@ HEAVY heaviest tokens, a fixed length) and differ in the hash that orders the re
 the same result, and these give short lists. Pairs must pass the prefix filter, with a bound on the overlap from the
 number of shared prefix tokens, under each order; only then are whole sets compared.
 
-Lists of a token with few sets give pairs. Longer lists never do: they tie their sets into groups,
-and groups are compared in blocks of bounded size, by matrix products. Both ways are exact.
+Lists of a token with few sets give pairs. Longer lists never do: they tie their sets into groups.
+Chains of shared passages can make a group large whose sets are not alike; a group beyond a block is
+therefore filtered once more, under the exact frequency order of its own tokens, rarest first: sets
+that are mostly their own share no prefix token then, and what still shares long lists are groups of
+near copies. Groups are compared in blocks of bounded size, by matrix products. All ways are exact.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, rolling, signed, width, word_hashes
@@ -253,9 +257,55 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 512
     return out
 
 
+GROUP = ["g0", "g1", "part"]  # of a group: its components under both orders, and under the order of its own tokens (null: not filtered again)
+
+
+def _exploded(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g0, g1, doc, tokens to a row for each token."""
+    for b in batches(frames, "tokens"):
+        sets = [np.frombuffer(t, np.int64) for t in b.column(3).to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        at = np.repeat(np.arange(len(sets)), sizes)
+        if len(at):
+            rows = b.select([0, 1, 2]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(sets)), pa.array(sizes[at])], names=["g0", "g1", "doc", "token", "size"])
+
+
+def regroup(stage: Stage, grouped: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of large groups (doc, g0, g1): pairs (x, y) from short lists, and smaller groups (doc, GROUP) from long ones.
+
+    Tokens are ordered by the number of the group's sets that have them. Linked sets share a token among
+    the first few of each under this order too.
+    """
+    group = ["g0", "g1"]
+    tokens = stage.write(grouped.join(sets, "doc").select(*group, "doc", "tokens").mapInArrow(_exploded, "g0 long, g1 long, doc long, token long, size long"), "tokens")
+    often = tokens.groupBy(*group, "token").agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy(*group, "doc").orderBy("often", F.xxhash64("token"), "token"))
+    front = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
+    front = stage.write(tokens.join(often, [*group, "token"]).withColumn("place", place).filter(F.col("place") <= front).select(*group, "token", "doc", "size"), "front")
+    stage.drop("tokens")
+    lists = front.groupBy(*group, "token").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1")
+    listed = stage.write(front.join(lists, [*group, "token"]), "listed")
+    stage.drop("front")
+    a = listed.filter(F.col("n") <= SHORT).select(*group, "token", F.col("doc").alias("x"), F.col("size").alias("m"))
+    b = a.select(*group, "token", F.col("x").alias("y"), F.col("m").alias("o"))
+    near = (F.col("x") < F.col("y")) & (100 * F.least("m", "o") >= percent * F.greatest("m", "o"))
+    pairs = stage.write(a.join(b, [*group, "token"]).filter(near).select("x", "y").distinct(), "near")
+    ties = listed.filter(F.col("n") > SHORT).select(*group, F.col("doc").alias("a"), F.col("first").alias("b"))
+    found = connected(stage, ties, "again", *group)
+    found = found.unionByName(found.select(*group, F.col("component").alias("id"), "component").distinct())
+    return pairs, stage.write(found.select(F.col("id").alias("doc"), *group, F.col("component").alias("part")), "regrouped")
+
+
+def _sized(groups: DataFrame) -> DataFrame:
+    """Groups of two or more, with the number of blocks of each."""
+    sizes = groups.groupBy(*GROUP).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    return groups.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]).select("doc", *GROUP, "blocks")
+
+
 def _blocks(percent: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(key[2]), int(key[3])
+        i, j = int(key[-2]), int(key[-1])
         part = [frame[frame["own"] == x] for x in ((i, j) if i != j else (i,))]
         sets = [[np.frombuffer(t, U64) for t in p["tokens"]] for p in part]
         if not all(sets):
@@ -302,21 +352,24 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     half = counted.filter("not (e0 and e1)").join(gx, "x").join(gy, "y").filter(" and ".join(f"(e{i} or x{i} = y{i})" for i in (0, 1)))
     pairs = stage.write(counted.filter("e0 and e1").select("x", "y").unionByName(half.select("x", "y")), "pairs")
 
-    grouped = group.filter("g0 is not null and g1 is not null")
-    sizes = grouped.groupBy("g0", "g1").count().filter("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    grouped = stage.write(grouped.join(sizes, ["g0", "g1"]), "grouped")
+    grouped = stage.write(_sized(group.filter("g0 is not null and g1 is not null").withColumn("part", F.lit(None).cast("long"))), "grouped")
     wanted = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).union(grouped.select("doc")).distinct()
     wanted = stage.write(wanted, "wanted")
     if wanted.count() <= SENT:  # else texts and ids meet by a shuffle
         wanted = F.broadcast(wanted)
     sets = stage.write(_sets(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), k), "sets")
 
+    large = grouped.filter("blocks > 1")
+    if not large.isEmpty():
+        more, again = regroup(stage, large.select("doc", "g0", "g1"), sets, percent)
+        pairs, grouped = pairs.unionByName(more), grouped.filter("blocks = 1").unionByName(_sized(again))
+
     sx, sy = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("x", "y"))
     links = pairs.join(sx, "x").join(sy, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(percent), "a long, b long")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     spread = grouped.join(sets, "doc").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    blocks = spread.select("g0", "g1", "i", "j", "own", "doc", "tokens").groupBy("g0", "g1", "i", "j").applyInPandas(_blocks(percent), "a long, b long")
+    blocks = spread.select(*GROUP, "i", "j", "own", "doc", "tokens").groupBy(*GROUP, "i", "j").applyInPandas(_blocks(percent), "a long, b long")
     same = rows.filter("kind = -1 and token != doc").select(F.col("doc").alias("a"), F.col("token").alias("b"))
     component = connected(stage, links.unionByName(blocks).unionByName(same))
     base = rows.filter("kind = -1").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"))

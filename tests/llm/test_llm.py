@@ -546,6 +546,23 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short, heavy, block, shi
     assert [x.component_id for x in rows if x.doc_id is None] == [None, None]
 
 
+def test_chains_of_shared_passages_fall_apart(spark):
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    compared = []
+    for n in (200, 400):
+        passages = [words(40) for _ in range(n // 20 + 2)]
+        texts = [" ".join(passages[i // 20] + passages[i // 20 + 1] + words(60)) for i in range(n)]
+        copies = [" ".join(texts[0].split()[:-1] + [f"end{i}"]) for i in range(70)]  # near copies: more than a list turns into pairs
+        sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(jaccard.shingles([t.encode() for t in texts + copies]))], "doc long, tokens binary")
+        groups = spark.createDataFrame([(i, 0, 0) for i in range(len(texts) + 70)], "doc long, g0 long, g1 long")
+        pairs, again = jaccard.regroup(common.Stage(spark, "regroup"), groups, sets, 85)
+        sizes = [x["count"] for x in again.groupBy("part").count().collect()]
+        assert sizes == [71]
+        compared.append(pairs.count() + sum(s * s for s in sizes))
+    assert compared[1] <= 1.5 * compared[0]
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.components(spark, empty(spark)).count() == 0
 
