@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.errors import IllegalArgumentException, UnsupportedOperationException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SEPARATED = 1e-6  # deviance below which a fit explains every label
+DEPENDENT = 1e10  # condition of the features' correlations beyond which some depend on others
 
 def summary(rows: DataFrame, key: str, value: str, digits: int = 4) -> DataFrame:
     v = F.col(value)
@@ -99,22 +103,28 @@ def varying(rows: DataFrame, columns: list[str]) -> list[str]:
 
 
 def logit(rows: DataFrame, label: str, features: list[str], ridge: float = 1e-4) -> DataFrame:
-    """term, coefficient, odds_ratio, p_value of a maximum-likelihood fit; a regularised fit without p-values under separation."""
+    """term, coefficient, odds_ratio, p_value of a maximum-likelihood fit.
+
+    A regularised fit without p-values where the features separate the labels (nothing is left to explain) or depend on each other.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
+    from pyspark.ml.stat import Correlation
 
     spark, used = rows.sparkSession, varying(rows, features)
     data = VectorAssembler(inputCols=used, outputCol="_x").transform(rows.dropna(subset=[label, *used]).select(F.col(label).cast("double").alias("_y"), *used))
     try:
-        model = GeneralizedLinearRegression(featuresCol="_x", labelCol="_y", family="binomial", link="logit").fit(data)
-        terms = [("intercept", model.intercept), *zip(used, map(float, model.coefficients), strict=True)]
-        p = list(model.summary.pValues)
+        model = GeneralizedLinearRegression(featuresCol="_x", labelCol="_y", family="binomial", link="logit", tol=1e-12, maxIter=50).fit(data)
+        alike = Correlation.corr(data, "_x").first()[0].toArray() if len(used) > 1 else np.eye(1)
+        unsure = model.summary.deviance < SEPARATED or np.linalg.cond(alike) > DEPENDENT
+        p = None if unsure else list(model.summary.pValues)  # there are none where columns depend on each other
+    except (IllegalArgumentException, UnsupportedOperationException):
+        p = None
+    if p is None:
+        model, p = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=ridge).fit(data), [None] * (len(used) + 1)
+    else:
         p = [p[-1], *p[:-1]]  # the intercept comes last there
-    except Exception as error:  # noqa: BLE001  singular or separated data only
-        if "singular" not in str(error).lower() and "converge" not in str(error).lower():
-            raise
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=ridge).fit(data)
-        terms, p = [("intercept", model.intercept), *zip(used, map(float, model.coefficients), strict=True)], [None] * (len(used) + 1)
+    terms = [("intercept", model.intercept), *zip(used, map(float, model.coefficients), strict=True)]
     out = spark.createDataFrame([(t, float(c), x) for (t, c), x in zip(terms, p, strict=True)], "term string, coefficient double, p_value double")
     return out.select("term", F.round("coefficient", 6).alias("coefficient"), F.round(F.exp("coefficient"), 6).alias("odds_ratio"), F.round("p_value", 6).alias("p_value"))

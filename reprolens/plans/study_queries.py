@@ -638,6 +638,19 @@ ORACLES = {
     "mannwhitney_u": """WITH r AS (SELECT o_orderstatus = 'F' AS a, (rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0)::DOUBLE AS k, count(*) OVER (PARTITION BY o_totalprice) AS t FROM orders),
       s AS (SELECT count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, sum(k) FILTER (a) AS r1, sum(t::DOUBLE * t - 1) AS ties, count(*)::DOUBLE AS n FROM r)
       SELECT n1, n2, r1 - n1::DOUBLE * (n1 + 1) / 2 AS u, round((r1 - n1::DOUBLE * (n1 + 1) / 2 - n1::DOUBLE * n2 / 2) / sqrt(n1::DOUBLE * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM s""",
+    # Newton's method on the likelihood, thirty rounds; the normal tail from the series of the error function.
+    "logit_fit": """WITH RECURSIVE d AS (SELECT toxic::DOUBLE AS y, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE AS a, ln(1 + n_chars)::DOUBLE AS b FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL),
+      w AS (SELECT 0 AS i, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2
+        UNION ALL
+        SELECT i + 1, w0 + (g0 * (h11 * h22 - h12 * h12) + g1 * (h02 * h12 - h01 * h22) + g2 * (h01 * h12 - h02 * h11)) / det, w1 + (g0 * (h02 * h12 - h01 * h22) + g1 * (h00 * h22 - h02 * h02) + g2 * (h01 * h02 - h00 * h12)) / det,
+               w2 + (g0 * (h01 * h12 - h02 * h11) + g1 * (h01 * h02 - h00 * h12) + g2 * (h00 * h11 - h01 * h01)) / det, (h11 * h22 - h12 * h12) / det, (h00 * h22 - h02 * h02) / det, (h00 * h11 - h01 * h01) / det
+        FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+          SELECT i, w0, w1, w2, sum(y - p) AS g0, sum(a * (y - p)) AS g1, sum(b * (y - p)) AS g2, sum(q) AS h00, sum(q * a) AS h01, sum(q * b) AS h02, sum(q * a * a) AS h11, sum(q * a * b) AS h12, sum(q * b * b) AS h22
+          FROM (SELECT *, p * (1 - p) AS q FROM (SELECT w.*, d.*, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p FROM w CROSS JOIN d WHERE i < 30) x) y GROUP BY i, w0, w1, w2) z) u),
+      t AS (SELECT unnest(['intercept', 'english', 'length']) AS term, unnest([w0, w1, w2]) AS c, unnest([v0, v1, v2]) AS v FROM w WHERE i = 30),
+      s AS (SELECT term, c, abs(c) / sqrt(v) / sqrt(2.0::DOUBLE) AS x FROM t)
+      SELECT term, round(c, 6) AS coefficient, round(exp(c), 6) AS odds_ratio,
+             round(greatest(0, 1 - CASE WHEN x > 8 THEN 1 ELSE 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(generate_series(0, 400), lambda n: exp(2 * n * ln(2.0::DOUBLE) + (2 * n + 1) * ln(x) + lgamma(n + 1) - lgamma(2 * n + 2)))) END), 6) AS p_value FROM s""",
     "dedup_exact": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(text))",
     "drop_reasons": """SELECT CASE WHEN n_chars < 300 THEN 'too_short' WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN regexp_matches(text, '[|%]') THEN 'symbols' WHEN source IN ('src3', 'src7') THEN 'source' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1""",
     "additive_score": f"WITH {_SCORED} SELECT *, CASE WHEN b_score >= 5 THEN 'full' ELSE 'build_only' END AS tier FROM sc",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,11 +125,15 @@ def write_json(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("overwrite").partitionBy(key).json(path)
 
 
-def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
-    """One text file, written through the session's file system, so that any path works that Spark reads."""
+def _create(spark: SparkSession, path: str):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(conf).create(where, True)
+    return where.getFileSystem(conf).create(where, True)
+
+
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """One text file, written through the session's file system, so that any path works that Spark reads."""
+    out = _create(spark, path)
     try:
         for line in lines:
             out.write(bytearray(f"{line}\n".encode()))
@@ -137,6 +141,14 @@ def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
         out.close()
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    out = _create(spark, path)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def write_yaml(rows: DataFrame, path: str) -> None:
     """A list of maps, one row at a time; strings as JSON strings, which are YAML too."""
 
@@ -217,6 +229,28 @@ def newer(content: bytes, known_checksum: str | None, version: str | None, known
     return known_checksum is None or parts(version) > parts(known_version) or hashlib.sha256(content).hexdigest() != known_checksum
 
 
+def refresh(spark: SparkSession, path: str, fetch: Callable[[], tuple[bytes, str | None]]) -> bool:
+    """Keeps a cached copy of a remote file at ``path``, with its checksum and version beside; whether the copy was replaced.
+
+    ``fetch`` returns content and version; if it fails, the copy stays as it is (and there must be one).
+    """
+    mark = f"{path}.json"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(mark)
+    known = spark.read.schema("sha256 string, version string").json(mark).first() if where.getFileSystem(conf).exists(where) else None
+    try:
+        content, version = fetch()
+    except OSError:
+        if known is None:
+            raise
+        return False
+    if not newer(content, known and known.sha256, version, known and known.version):
+        return False
+    write_bytes(spark, path, content)
+    write_lines(spark, mark, [json.dumps({"sha256": hashlib.sha256(content).hexdigest(), "version": version})])
+    return True
+
+
 def flatten_results(rows: DataFrame) -> DataFrame:
     """Result documents (RESULT) as flat rows; a missing section reads as its default."""
     has = lambda kind: F.coalesce(F.map_contains_key("artifacts.by_type", F.lit(kind)), F.lit(False))

@@ -84,3 +84,15 @@ def test_labels(spark):
 def test_long_chains_of_ties(spark):
     rows = spark.createDataFrame([(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(300)], "i long, a string, b string")
     assert corpus.ties(rows, "a", "b", "i").select("_group").distinct().count() == 1
+
+
+def test_cached_copies(spark, tmp_path):
+    path = str(tmp_path / "ontology.ttl")
+
+    def fails():
+        raise OSError("no network")
+
+    with pytest.raises(OSError):
+        records.refresh(spark, path, fails)
+    assert records.refresh(spark, path, lambda: (b"one", "1.2")) and not records.refresh(spark, path, lambda: (b"one", "1.2")) and not records.refresh(spark, path, fails)
+    assert records.refresh(spark, path, lambda: (b"one", "1.10")) and records.refresh(spark, path, lambda: (b"two", "1.10")) and (tmp_path / "ontology.ttl").read_bytes() == b"two"

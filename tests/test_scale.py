@@ -47,3 +47,20 @@ def test_top_k_equals_brute_force(spark, block):
         score = np.round(unit @ unit[q], 6)
         want += [(q, int(i), p + 1) for p, i in enumerate(sorted(range(300), key=lambda i: (-score[i], i))[:5])]
     assert [(g.query, g.vec_id, g.place) for g in got] == want
+
+
+@pytest.mark.parametrize("kind", ["separated", "dependent"])
+def test_logit_without_p_values(spark, kind):
+    r = np.random.default_rng(3)
+    rows = [(int(i > 50) if kind == "separated" else int(r.random() > 0.5), float(i), 2.0 * i if kind == "dependent" else float(r.random())) for i in range(100)]
+    got = stats.logit(spark.createDataFrame(rows, "y int, a double, b double"), "y", ["a", "b"]).collect()
+    assert [g.term for g in got] == ["intercept", "a", "b"] and all(g.p_value is None and g.coefficient is not None for g in got)
+
+
+def test_seen_keys_expire(spark, tmp_path):
+    from reprolens.streaming import incremental as inc
+
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (2, "2024-01-03 00:00:00")], "k int, t string").select("k", F.to_timestamp("t").alias("t"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = inc.unseen(inc.read(spark, str(tmp_path / "in"), rows.schema), "k", time="t", late="1 day")
+    assert sorted(r.k for r in spark.read.parquet(inc.drain(stream, spark)).collect()) == [1, 2]
