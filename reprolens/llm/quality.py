@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from reprolens.llm.common import Stage, as_bytes, batches, plain
 
@@ -184,7 +185,26 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that aren't predicted to be of quality 0, with all their columns."""
-    features = Stage(spark, "quality").write(featurize(docs), "features")
-    bad = score(features, train(features, labels)).filter(F.col("score") < CUT).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that aren't predicted to be of quality 0, with all their columns.
+
+    Each row is judged by its own text, whatever its id; rows travel with their statistics and are never joined.
+    """
+    row = StructField("row", docs.schema)
+    held = StructType([row, StructField("x", ArrayType(DoubleType()))])
+
+    def featurized(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches((pa.RecordBatch.from_arrays([f.column(0), f.column(0).field("text")], names=["row", "text"]) for f in frames if f.num_rows)):
+            x = [statistics(raw) for raw in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
+
+    stage = Stage(spark, "quality")
+    rows = stage.write(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(featurized, held), "rows")
+    model = train(rows.select(F.col("row.doc_id").alias("doc_id"), "x"), labels)
+
+    def good(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield b.select([0]).filter(pa.array(np.round(model.score(x), 9) >= CUT))
+
+    return rows.mapInArrow(good, StructType([row])).select("row.*")
