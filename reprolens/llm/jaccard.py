@@ -30,7 +30,8 @@ from reprolens.llm.components import connected, roots
 
 WORDS, PERCENT = 4, 85  # of a shingle; similarity in hundredths
 HEAVY, LEAST = 1 << 19, 16  # most heavy tokens (16 bytes each, on the driver and in every task); documents in which a heavy token was seen, at least
-CHUNK = 1 << 22  # tokens that a task counts at once when it looks for heavy ones
+CHUNK = 1 << 21  # tokens that a task counts at once when it looks for heavy ones
+BATCH = 1 << 22  # bytes of text that a task turns into postings at once
 SHORT = 32  # sets in a list that is turned into pairs
 BLOCK = 1024  # sets in a block
 SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task; more meet the texts in a shuffle, with the same result
@@ -68,7 +69,7 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
             keep = n > 1
             return pa.RecordBatch.from_arrays([pa.array(signed(token[keep])), pa.array(n[keep])], names=["token", "n"])
 
-        for b in batches(frames):
+        for b in batches(frames, limit=BATCH):
             sets = shingles(as_bytes(b.column(0)), k)
             held += sets
             size += sum(map(len, sets))
@@ -95,7 +96,7 @@ def _postings(heavy: np.ndarray, k: int, percent: int):
     known, often = known[by_hash], heavy[1][by_hash]
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(frames):
+        for b in batches(frames, limit=BATCH):
             ids = b.column(0).to_pylist()
             sets = shingles(as_bytes(b.column(1)), k)
             first: dict[bytes, int] = {}
