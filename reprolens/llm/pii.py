@@ -548,11 +548,12 @@ def own_field(spark: SparkSession) -> Field:
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: base spans by kind, their checksum, all spans, and how many the field added and there are in all."""
     found = find(spark, docs)
     count = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     order = F.array_sort(F.concat("base", "added"), lambda x, y: F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).when(_rank(x) != _rank(y), F.when(_rank(x) < _rank(y), -1).otherwise(1)).otherwise(0))
-    return found.select("doc_id", *count, F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(order).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *count, F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(order).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(order).cast("long").alias("n_spans"))
 
 
 def _of_kind(kind: str):
