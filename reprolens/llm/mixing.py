@@ -45,6 +45,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source_key", "source_size", target.alias("target"))
 
 
+def rates(levels: DataFrame, goals: DataFrame) -> DataFrame:
+    """rate_key, rate: chance of a document over its weight, such that the chances, at most 1 each, add up to the goal in words.
+
+    Weights whose chance would pass 1 are certain, and the others share what is left: the rate is that of
+    the greatest weight that stays within 1 once all greater ones are certain. None for sources without words.
+    """
+    before = W.partitionBy("source_key").orderBy(F.desc("w")).rowsBetween(W.unboundedPreceding, -1)
+    certain, rest = F.coalesce(F.sum("words").over(before), F.lit(0)), F.col("ws") - F.coalesce(F.sum("weighed").over(before), F.lit(0))
+    known = levels.join(goals.select("k", "ws", "goal"), F.expr("source_key <=> k")).withColumns({"certain": certain, "rest": rest}).filter("rest > 0")
+    known = known.withColumn("rate", (F.col("goal") - F.col("certain")) / F.col("rest")).filter(F.col("rate") * F.col("w") <= 1)
+    return known.groupBy(F.col("source_key").alias("rate_key")).agg(F.max_by("rate", "w").alias("rate"))
+
+
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (0 to 2), taken for each row.
 
@@ -57,16 +70,18 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     raw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|mix"))), 1, 13), 16, 10).cast("long")
     sized = plain(docs, "doc_id", "source", "text").select("doc_id", F.col("source").alias("source_key"), words(F.col("text")).alias("size"), ((raw + F.lit(0.5)) / F.lit(float(16**13))).alias("u"))
     sized = stage.write(sized.withColumn("w", F.floor(F.sqrt(F.col("size").cast("double")) * 1000).cast("long")), "sized")
-    sums = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.sum(F.col("w") * F.col("size")).alias("ws"))
+    levels = stage.write(sized.groupBy("source_key", "w").agg(F.sum("size").alias("words"), F.sum(F.col("w") * F.col("size")).alias("weighed")), "levels")  # a row for each length of text in a source
+    sums = levels.groupBy("source_key").agg(F.sum("words").alias("source_size"), F.sum("weighed").alias("ws"))
     goals = targets(sums.drop("ws")).join(sums.select(F.col("source_key").alias("k"), "ws"), F.expr("source_key <=> k")).drop("k")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goals = goals.withColumn("base", F.floor(ratio).cast("int")).withColumn("part", ratio - F.floor(ratio))
     goals = goals.withColumn("goal", F.col("target") - F.col("base") * F.col("source_size"))
-    goals = stage.write(goals.withColumnRenamed("source_key", "k"), "goals")
-    ranked = sized.join(goals, F.expr("source_key <=> k")).drop("k").withColumn("chance", F.when(F.col("ws") > 0, F.least(F.lit(1.0), F.col("part") * F.col("w") * F.col("source_size") / F.col("ws"))).otherwise(0.0))
+    goals = goals.withColumnRenamed("source_key", "k")
+    goals = stage.write(goals.join(rates(levels, goals), F.expr("k <=> rate_key"), "left").drop("rate_key"), "goals")
+    ranked = sized.join(goals, F.expr("source_key <=> k")).drop("k").withColumn("chance", F.when(F.col("rate").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.col("rate") * F.col("w"))))
     odds = F.when(F.col("chance") >= 1.0, F.lit(0.0)).when(F.col("chance") <= 0.0, F.lit(float("inf"))).otherwise(F.col("u") / (1.0 - F.col("u")) * (1.0 - F.col("chance")) / F.col("chance"))
     ranked = ranked.withColumn("q", odds).withColumn("bucket", F.when(F.col("q") == float("inf"), F.lit(BUCKETS)).otherwise(F.floor(F.col("q") / (1.0 + F.col("q")) * BUCKETS)).cast("int"))
-    ranked = stage.write(ranked.drop("ws", "w", "u"), "ranked")
+    ranked = stage.write(ranked.drop("ws", "w", "u", "rate"), "ranked")
     # A row for each source and bucket: the bucket in which the words reach the goal is the only one that needs an order.
     filled = ranked.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -107,7 +122,8 @@ WITH d AS (
          (('0x' || substr(md5(doc_id::VARCHAR || '|mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 e AS (SELECT *, floor(sqrt(size::DOUBLE) * 1000::DOUBLE)::BIGINT AS w FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(w * size)::BIGINT AS ws FROM e GROUP BY source),
+l AS (SELECT source, w, sum(size)::BIGINT AS words, sum(w * size)::BIGINT AS weighed FROM e GROUP BY source, w),
+s AS (SELECT source, sum(words)::BIGINT AS source_size, sum(weighed)::BIGINT AS ws FROM l GROUP BY source),
 o AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS full_size FROM s),
 p AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(full_size) OVER before_this, 0)::DOUBLE)
@@ -119,10 +135,15 @@ t AS (SELECT source, source_size, ws, least(full_size::DOUBLE, coalesce(final_le
 g AS (
   SELECT *, floor(ratio)::BIGINT AS base, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS goal
   FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0::DOUBLE END AS ratio FROM t) r),
+f AS (
+  SELECT l.source, l.w, g.goal, coalesce(sum(l.words) OVER greater, 0) AS certain, g.ws - coalesce(sum(l.weighed) OVER greater, 0) AS rest
+  FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source WINDOW greater AS (PARTITION BY l.source ORDER BY l.w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (
+  SELECT source, arg_max(rate, w) AS rate FROM (SELECT source, w, (goal - certain::DOUBLE) / rest::DOUBLE AS rate FROM f WHERE rest > 0) x
+  WHERE rate * w::DOUBLE <= 1 GROUP BY source),
 c AS (
-  SELECT e.doc_id, e.source, e.size, e.u, g.source_size, g.target, g.base, g.part, g.goal,
-         CASE WHEN g.ws > 0 THEN least(1::DOUBLE, g.part * e.w::DOUBLE * g.source_size::DOUBLE / g.ws::DOUBLE) ELSE 0::DOUBLE END AS chance
-  FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source),
+  SELECT e.doc_id, e.source, e.size, e.u, g.source_size, g.target, g.base, g.part, g.goal, CASE WHEN h.rate IS NULL THEN 0::DOUBLE ELSE least(1::DOUBLE, h.rate * e.w::DOUBLE) END AS chance
+  FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source LEFT JOIN h ON h.source IS NOT DISTINCT FROM g.source),
 r AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN chance >= 1 THEN 0::DOUBLE WHEN chance <= 0 THEN 'inf'::DOUBLE ELSE u / (1 - u) * (1 - chance) / chance END, doc_id, size
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle

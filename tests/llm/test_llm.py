@@ -436,6 +436,22 @@ def test_mix_meets_targets(spark):
     assert (got.taken <= 2 * got["size"]).all() and mixing.mix(spark, empty(spark)).count() == 0
 
 
+def test_chances_add_up_to_the_goal(spark):
+    r = random.Random(3)
+    sizes = [r.choice([1, 2, 5, 40, 4000, 90_000]) for _ in range(200)] + [0, 0]
+    levels = {}
+    for s in sizes:
+        w = int(s**0.5 * 1000)
+        n, m = levels.get(w, (0, 0))
+        levels[w] = n + s, m + w * s
+    total, ws = sum(sizes), sum(m for _, m in levels.values())
+    for part in (0.1, 0.5, 0.97):
+        goals = spark.createDataFrame([("a", ws, part * total), (None, 0, 0.0)], "k string, ws long, goal double")
+        rows = spark.createDataFrame([("a", w, n, m) for w, (n, m) in levels.items()] + [(None, 0, 0, 0)], "source_key string, w long, words long, weighed long")
+        got = {x.rate_key: x.rate for x in mixing.rates(rows, goals).collect()}
+        assert set(got) == {"a"} and sum(s * min(1.0, got["a"] * int(s**0.5 * 1000)) for s in sizes) == pytest.approx(part * total)
+
+
 def test_taken_rows_of_repeated_ids_and_odd_columns(spark):
     rows = [(i // 3 if i % 7 else None, " ".join(["w"] * (1 + i % 4)), "en", "ab"[i % 2], 1, i, f"x{i}") for i in range(240)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _copies long, row string")
