@@ -7,8 +7,8 @@ the same result, and these give short lists. Pairs must pass the prefix filter,
 number of shared prefix tokens, under each order; only then are whole sets compared.
 
 Lists of a token with few sets give pairs. Longer lists never do: they tie their sets into groups.
-Chains of shared passages can make a group large whose sets are not alike; a group beyond a block is
-therefore filtered once more, under the exact frequency order of its own tokens, rarest first: sets
+Equal sets are compared once. Chains of shared passages can make a group large whose sets are not
+alike; a group of more than a few lists' length is therefore filtered once more, under the exact frequency order of its own tokens, rarest first: sets
 that are mostly their own share no prefix token then, and what still shares long lists are groups of
 near copies. Groups are compared in blocks of bounded size, by matrix products. All ways are exact.
 """
@@ -33,6 +33,7 @@ HEAVY, LEAST = 1 << 19, 16  # most heavy tokens (16 bytes each, on the driver an
 CHUNK = 1 << 21  # tokens that a task counts at once when it looks for heavy ones
 BATCH = 1 << 22  # bytes of text that a task turns into postings at once
 SHORT = 32  # sets in a list that is turned into pairs
+FILTER = 64  # sets of a group that is compared as it is, at most; larger ones are filtered by an order of their own
 BLOCK = 1024  # sets in a block
 SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task; more meet the texts in a shuffle, with the same result
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -299,9 +300,16 @@ def regroup(stage: Stage, grouped: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def _sized(groups: DataFrame) -> DataFrame:
-    """Groups of two or more, with the number of blocks of each."""
-    sizes = groups.groupBy(*GROUP).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    return groups.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]).select("doc", *GROUP, "blocks")
+    """Groups of two or more, with the number of sets and of blocks of each."""
+    sizes = groups.groupBy(*GROUP).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.col("count").alias("n"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    return groups.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]).select("doc", *GROUP, "n", "blocks")
+
+
+def _twins(sets: DataFrame) -> DataFrame:
+    """a, b: each set that equals one of a document with a smaller id, and the smallest such id."""
+    marked = sets.select("doc", F.sha2("tokens", 256).alias("sum"))
+    first = marked.groupBy("sum").agg(F.min("doc").alias("b"), F.count("*").alias("n")).filter("n > 1").select("sum", "b")
+    return marked.join(first, "sum").filter("doc != b").select(F.col("doc").alias("a"), "b")
 
 
 def _blocks(percent: int):
@@ -360,10 +368,11 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
         wanted = F.broadcast(wanted)
     sets = stage.write(_sets(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), k), "sets")
 
-    large = grouped.filter("blocks > 1")
-    if not large.isEmpty():
-        more, again = regroup(stage, large.select("doc", "g0", "g1"), sets, percent)
-        pairs, grouped = pairs.unionByName(more), grouped.filter("blocks = 1").unionByName(_sized(again))
+    twins = stage.write(_twins(sets), "twins")
+    grouped = _sized(grouped.join(twins, grouped["doc"] == twins["a"], "left_anti").select("doc", *GROUP))
+    large = stage.write(grouped.filter(F.col("n") > FILTER).select("doc", "g0", "g1"), "large")
+    more, again = regroup(stage, large, sets, percent)
+    pairs, grouped = pairs.unionByName(more), grouped.filter(F.col("n") <= FILTER).unionByName(_sized(again))
 
     sx, sy = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("x", "y"))
     links = pairs.join(sx, "x").join(sy, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(percent), "a long, b long")
@@ -372,7 +381,7 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     blocks = spread.select(*GROUP, "i", "j", "own", "doc", "tokens").groupBy(*GROUP, "i", "j").applyInPandas(_blocks(percent), "a long, b long")
     same = rows.filter("kind = -1 and token != doc").select(F.col("doc").alias("a"), F.col("token").alias("b"))
-    component = connected(stage, links.unionByName(blocks).unionByName(same))
+    component = connected(stage, links.unionByName(blocks).unionByName(same).unionByName(twins))
     base = rows.filter("kind = -1").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"))
     return base.join(component, base["doc_id"] == component["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
