@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST = 1 << 23  # bytes of a batch of rows that goes to Python, about, at most
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets no batch of long texts fill a task's memory; a session that asks for smaller ones keeps them."""
+    given = int("".join(c for c in spark.conf.get(ARROW, "-1") if c in "-0123456789") or -1)
+    if given <= 0 or given > MOST:
+        spark.conf.set(ARROW, str(MOST))
+
+
 class Stage:
     """Tables that cut a long lineage, in the shared folder.
 
@@ -34,6 +45,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[str] = []
+        small_batches(spark)
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
