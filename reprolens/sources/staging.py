@@ -30,8 +30,8 @@ MOST = 1 << 23  # bytes of a batch of rows that goes to Python, about, at most
 
 def small_batches(spark: SparkSession) -> None:
     """Lets no batch of long texts fill a task's memory; a session that asks for smaller ones keeps them."""
-    given = int("".join(c for c in spark.conf.get(ARROW, "-1") if c in "-0123456789") or -1)
-    if given <= 0 or given > MOST:
+    given = spark.conf.get(ARROW, None) or ""
+    if not given.rstrip("b").isdigit() or int(given.rstrip("b")) > MOST:
         spark.conf.set(ARROW, str(MOST))
 
 
