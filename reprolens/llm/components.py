@@ -1,22 +1,3 @@
 """Connected components of links: over tables, and within one task."""
 
-from __future__ import annotations
-
-import numpy as np
-
-from reprolens.operators.components import connected as connected  # used by the operators from here
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes of a graph that one task holds."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
+from reprolens.operators.components import connected as connected, roots as roots  # used by the operators from here

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reprolens.llm.common import as_bytes, batches, plain
+from reprolens.sources.staging import small_batches
 
 BLOCK = 64  # payloads are padded to a positive multiple of this
 RATE = 8000  # samples a second
@@ -268,6 +269,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             raw = as_bytes(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ENCODED)
 
 

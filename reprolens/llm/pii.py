@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprolens.llm.common import as_bytes, batches, plain, word_spans
+from reprolens.sources.staging import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", "name", "address", "number", "secret")
-MEMO = 100_000
+MEMO = 20_000  # words whose scores a process keeps
 MOST_LABELLED = 50_000  # rows of a labelled table, at most
 _DOMAIN = re.compile(rb"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = np.zeros(256, dtype=bool)
@@ -520,9 +521,10 @@ def spans_of(texts: list[bytes], field: Field) -> list[tuple[list[tuple[int, int
 def find(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, base and added spans for each row. Null and empty texts have none; repeated rows are alike; an empty table gives no rows."""
     field = trained(labelled) if labelled is not None else own_field(spark)
+    small_batches(spark)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(frames, limit=1 << 22):
+        for b in batches(frames, limit=1 << 21):
             found = spans_of(as_bytes(b.column(1)), field)
             to = lambda x: [{"start": a, "end": e, "kind": k} for a, e, k in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to(x) for x, _ in found], _SPAN), pa.array([to(x) for _, x in found], _SPAN)], names=["doc_id", "base", "added"])
@@ -569,9 +571,10 @@ def redact(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = No
     field = trained(labelled) if labelled is not None else own_field(spark)
     names = docs.columns
     at = names.index("text")
+    small_batches(spark)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(frames, limit=1 << 22):
+        for b in batches(frames, limit=1 << 21):
             texts = b.column(at).to_pylist()
             out = []
             for text, (base, extra) in zip(texts, spans_of([(t or "").encode() for t in texts], field), strict=True):
