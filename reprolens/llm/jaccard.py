@@ -8,7 +8,7 @@ number of shared prefix tokens, under each order; only then are whole sets compa
 
 Lists of a token with few sets give pairs. Longer lists never do: they tie their sets into groups.
 Equal sets are compared once. Chains of shared passages can make a group large whose sets are not
-alike; a group of more than a few lists' length is therefore filtered once more, under the exact frequency order of its own tokens, rarest first: sets
+alike; groups are therefore filtered once more, under the exact frequency order of its own tokens, rarest first: sets
 that are mostly their own share no prefix token then, and what still shares long lists are groups of
 near copies. Groups are compared in blocks of bounded size, by matrix products. All ways are exact.
 """
@@ -33,7 +33,6 @@ HEAVY, LEAST = 1 << 19, 16  # most heavy tokens (16 bytes each, on the driver an
 CHUNK = 1 << 21  # tokens that a task counts at once when it looks for heavy ones
 BATCH = 1 << 22  # bytes of text that a task turns into postings at once
 SHORT = 32  # sets in a list that is turned into pairs
-FILTER = 64  # sets of a group that is compared as it is, at most; larger ones are filtered by an order of their own
 BLOCK = 1024  # sets in a block
 SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task; more meet the texts in a shuffle, with the same result
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -259,7 +258,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 512
     return out
 
 
-GROUP = ["g0", "g1", "part"]  # of a group: its components under both orders, and under the order of its own tokens (null: not filtered again)
+GROUP = ["g0", "g1", "part"]  # of a group: its components under both orders, and under the order of its own tokens
 
 
 def _exploded(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +273,7 @@ def _exploded(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def regroup(stage: Stage, grouped: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of large groups (doc, g0, g1): pairs (x, y) from short lists, and smaller groups (doc, GROUP) from long ones.
+    """Of groups (doc, g0, g1): pairs (x, y) from short lists, and smaller groups (doc, GROUP) from long ones.
 
     Tokens are ordered by the number of the group's sets that have them. Linked sets share a token among
     the first few of each under this order too.
@@ -300,9 +299,8 @@ def regroup(stage: Stage, grouped: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def _sized(groups: DataFrame) -> DataFrame:
-    """Groups of two or more, with the number of sets and of blocks of each."""
-    sizes = groups.groupBy(*GROUP).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.col("count").alias("n"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    return groups.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]).select("doc", *GROUP, "n", "blocks")
+    """Groups with the number of blocks of each."""
+    return groups.join(groups.groupBy(*GROUP).count().select(*GROUP, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), GROUP)
 
 
 def _twins(sets: DataFrame) -> DataFrame:
@@ -361,7 +359,8 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     half = counted.filter("not (e0 and e1)").join(gx, "x").join(gy, "y").filter(" and ".join(f"(e{i} or x{i} = y{i})" for i in (0, 1)))
     pairs = stage.write(counted.filter("e0 and e1").select("x", "y").unionByName(half.select("x", "y")), "pairs")
 
-    grouped = stage.write(_sized(group.filter("g0 is not null and g1 is not null").withColumn("part", F.lit(None).cast("long"))), "grouped")
+    both = group.filter("g0 is not null and g1 is not null")
+    grouped = stage.write(both.join(both.groupBy("g0", "g1").count().filter("count > 1").drop("count"), ["g0", "g1"]), "grouped")
     wanted = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).union(grouped.select("doc")).distinct()
     wanted = stage.write(wanted, "wanted")
     if wanted.count() <= SENT:  # else texts and ids meet by a shuffle
@@ -369,10 +368,8 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     sets = stage.write(_sets(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), k), "sets")
 
     twins = stage.write(_twins(sets), "twins")
-    grouped = _sized(grouped.join(twins, grouped["doc"] == twins["a"], "left_anti").select("doc", *GROUP))
-    large = stage.write(grouped.filter(F.col("n") > FILTER).select("doc", "g0", "g1"), "large")
-    more, again = regroup(stage, large, sets, percent)
-    pairs, grouped = pairs.unionByName(more), grouped.filter(F.col("n") <= FILTER).unionByName(_sized(again))
+    more, again = regroup(stage, grouped.join(twins, grouped["doc"] == twins["a"], "left_anti"), sets, percent)
+    pairs, grouped = pairs.unionByName(more), _sized(again)
 
     sx, sy = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("x", "y"))
     links = pairs.join(sx, "x").join(sy, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(percent), "a long, b long")

@@ -530,7 +530,6 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short, heavy, block, shi
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "FILTER", block)
     r = random.Random(10)
     v = [f"w{i}" for i in range(500)]
     copy = [r.choice(v) for _ in range(90)]
