@@ -31,7 +31,7 @@ from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, powe
 WINDOW = 2048
 QUANTUM = 128  # least credit with which a source sends
 END = 1  # id after each document
-HELD = 1 << 24  # most tokens that a task holds before it packs them, about; bounds memory, targets don't depend on it
+HELD = 1 << 23  # most tokens that a task holds before it packs them, about; bounds memory, targets don't depend on it
 TAILS = 64  # tasks whose tails are packed together
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -52,7 +52,9 @@ def added_tokens(name: str) -> dict[str, int]:
     if not os.path.exists(path):
         return {}
     with open(path, encoding="utf-8") as f:
-        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        text = f.read()
+    at = text.find("[", text.find('"added_tokens"'))  # only this list is parsed: the vocabulary would take much memory
+    return {t["content"]: t["id"] for t in json.JSONDecoder().raw_decode(text, at)[0]}
 
 
 class Encoder:
