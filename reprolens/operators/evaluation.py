@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reprolens.functions.text import NULLISH_EVALUATION, acronyms, clean, facts, facts_match, jaccard, norm, plain, tokens
 from reprolens.functions.values import canonical
@@ -51,30 +51,110 @@ def greedy_match(gold: DataFrame, predicted: DataFrame, fuzzy: bool = True, stri
     Names match fuzzily or as trimmed lower case; ``extra``, where there is one, must be equal (it tells the
     slots of an environment apart); so must the canonical ``value`` if strict or of a field in VALUED.
 
-    A fold over the two name lists of a study and field (tens of names each), by higher-order functions; names
-    are normalised once each, before they are listed.
+    Equal names are counted: each form matches as often as the side with fewer rows has it, whatever the order.
+    Fuzzy ones are a fold over a study and field, which a task holds: its distinct names with their positions.
+    There a position of a name is one item; rows that repeat both, or have no position, count in fp or fn only.
     """
     form = facts(F.col("name")) if fuzzy else plain(F.col("name"))
 
-    def names(t: DataFrame, n: str) -> DataFrame:
+    def items(t: DataFrame, side: int) -> DataFrame:
         extra = plain(F.col("extra")) if "extra" in t.columns else F.lit("")
         value = F.when(F.lit(strict) | F.col("field").isin(*VALUED), F.coalesce(canonical(F.col("value")), F.lit(""))).otherwise("") if "value" in t.columns else F.lit("")
-        entry = F.struct("pos", F.concat_ws("|", extra, value).alias("same"), form.alias("name"))
-        return t.filter(plain(F.col("name")) != "").groupBy("study", "field").agg(F.array_sort(F.collect_list(entry)).alias(n))
-
-    sides = [names(gold, "g"), names(predicted, "p")]
-    none = lambda n: F.coalesce(n, F.array().cast(sides[0].schema["g"].dataType))
-    both = sides[0].join(sides[1], ["study", "field"], "full").withColumns({"g": none("g"), "p": none("p")})
-    same = facts_match if fuzzy else (lambda a, b: a == b)
-
-    def take(used: Column, g: Column) -> Column:
-        free = F.filter("p", lambda x: ~F.array_contains(used, x["pos"]) & (g["same"] == x["same"]) & same(g["name"], x["name"]))
-        hit = F.try_element_at(free, F.lit(1))["pos"]
-        return F.when(hit.isNotNull(), F.array_append(used, hit)).otherwise(used)
-
-    used = F.aggregate("g", F.expr("cast(array() as array<int>)"), take)
-    out = both.withColumn("tp", F.size(used))
-    return out.select("study", "field", *[x.cast("long").alias(n) for n, x in (("tp", F.col("tp")), ("fp", F.size("p") - F.col("tp")), ("fn", F.size("g") - F.col("tp")))])
+        return t.filter(plain(F.col("name")) != "").select("study", "field", F.lit(side).alias("side"), F.concat_ws("|", extra, value).alias("same"), form.alias("form"), F.col("pos").cast("long").alias("pos"))
+
+    rows, key = items(gold, 0).unionByName(items(predicted, 1)), ["study", "field"]
+    if not fuzzy:
+        g, p = (F.count(F.when(F.col("side") == i, 1)) for i in (0, 1))
+        counts = rows.groupBy(*key, "same", "form").agg(g.alias("g"), p.alias("p")).withColumn("tp", F.least("g", "p"))
+        return counts.groupBy(*key).agg(F.sum("tp").alias("tp"), F.sum(F.col("p") - F.col("tp")).alias("fp"), F.sum(F.col("g") - F.col("tp")).alias("fn"))
+    names = ["form.squeezed", "form.tokens", "form.acronyms"]
+    forms = rows.select(*key, "side", "same", *names, "pos").groupBy(*key, "side", "same", "squeezed", "tokens", "acronyms").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("pos")).alias("at"))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = StructType([*(rows.schema[k] for k in key), *(StructField(c, LongType()) for c in ("tp", "fp", "fn"))])
+    return forms.repartition(width, *key).groupBy(*key).applyInArrow(_folded(to_arrow_schema(out)), out)
+
+
+HELD = 1 << 25  # numbers of matching predictions (4 bytes each) that a task keeps; what exceeds them is found again when it is needed
+
+
+class Forms:
+    """Distinct names of a side: which of them match another name, as ``facts_match`` says, by lists of their tokens, acronyms and four-letter runs."""
+
+    def __init__(self, forms: list[dict]):
+        self.same, self.squeezed = [f["same"] for f in forms], [f["squeezed"] for f in forms]
+        self.sizes = np.array([len(f["tokens"]) for f in forms])
+        lists: list[dict] = [{}, {}, {}, {}]
+        for i, f in enumerate(forms):
+            name = f["squeezed"]
+            parts = ([name], f["tokens"], set(f["acronyms"]), {name[j : j + 4] for j in range(len(name) - 3)})
+            for held, words in zip(lists, parts, strict=True) if name else ():  # an empty normal form matches nothing
+                for word in words:
+                    held.setdefault(word, []).append(i)
+        self.named, self.tokens, self.acronyms, self.runs = ({w: np.array(at, np.int32) for w, at in held.items()} for held in lists)
+        groups: dict[str, list[int]] = {}
+        for i, same in enumerate(self.same):
+            groups.setdefault(same, []).append(i)
+        self.alike = {same: np.array(at, np.int32) for same, at in groups.items()}
+
+    def matching(self, f: dict) -> np.ndarray:
+        """Numbers of the forms that match, in order."""
+        name, none = f["squeezed"], np.zeros(0, np.int32)
+        if not name or f["same"] not in self.alike:
+            return none
+        ok = np.zeros(len(self.same), bool)
+        for word in f["acronyms"]:
+            ok[self.acronyms.get(word, none)] = True
+            ok[self.named.get(word, none)] = True
+        ok[self.acronyms.get(name, none)] = True
+        ok[self.named.get(name, none)] = True
+        if f["tokens"]:
+            both = np.bincount(np.concatenate([none, *(self.tokens[t] for t in f["tokens"] if t in self.tokens)]), minlength=len(ok))
+            ok |= (self.sizes > 0) & (3 * both >= self.sizes + len(f["tokens"]))
+        runs = [self.runs.get(name[j : j + 4], none) for j in range(len(name) - 3)]
+        if runs:
+            for i in min(runs, key=len).tolist():  # names that hold this one have all of its runs
+                ok[i] |= name in self.squeezed[i]
+            near = np.bincount(np.concatenate(runs), minlength=len(ok))  # names within this one have all of theirs here
+            for i in np.flatnonzero(near).tolist():
+                if not ok[i]:
+                    ok[i] = self.squeezed[i] in name
+        at = self.alike[f["same"]]
+        return at[ok[at]]
+
+
+def _folded(schema: pa.Schema):
+    none = np.iinfo(np.int64).max
+
+    def run(table: pa.Table) -> pa.Table:
+        forms = table.select(["side", "same", "squeezed", "tokens", "acronyms", "n", "at"]).to_pylist()
+        gold, said = ([f for f in forms if f["side"] == i] for i in (0, 1))
+        for side in (gold, said):
+            side.sort(key=lambda f: (f["same"], f["squeezed"], f["tokens"], f["acronyms"]))
+        index = Forms(said)
+        head = np.array([f["at"][0] if f["at"] else none for f in said], np.int64)
+        used, held, kept, tp = [0] * len(said), {}, 0, 0
+        order = np.concatenate([np.zeros(0, np.int64), *(np.full(len(f["at"]), i) for i, f in enumerate(gold))])
+        at = np.concatenate([np.zeros(0, np.int64), *(np.array(f["at"], np.int64) for f in gold)])
+        for i in order[np.lexsort((order, at))].tolist():
+            fits = held.get(i)
+            if fits is None:
+                fits = index.matching(gold[i])
+                kept += len(fits)
+                if kept <= HELD:
+                    held[i] = fits
+            if not len(fits):
+                continue
+            k = int(fits[head[fits].argmin()])
+            if head[k] == none:
+                held[i] = fits[:0]  # all are used
+                continue
+            tp += 1
+            used[k] += 1
+            head[k] = said[k]["at"][used[k]] if used[k] < len(said[k]["at"]) else none
+        n = [sum(f["n"] for f in side) for side in (gold, said)]
+        return pa.Table.from_arrays([*(table.column(c).slice(0, 1).cast(schema.field(c).type) for c in schema.names[:2]), *(pa.array([v], pa.int64()) for v in (tp, n[1] - tp, n[0] - tp))], schema=schema)
+
+    return run
 
 
 def name_grounded(name: Column, text: Column) -> Column:

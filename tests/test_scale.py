@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reprolens.operators import corpus, extraction, stats
+from reprolens.functions import text
+from reprolens.operators import corpus, evaluation, extraction, stats
 
 
 def test_rank_sum_of_many_equal_numbers(spark):
@@ -64,3 +65,31 @@ def test_seen_keys_expire(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = inc.unseen(inc.read(spark, str(tmp_path / "in"), rows.schema), "k", time="t", late="1 day")
     assert sorted(r.k for r in spark.read.parquet(inc.drain(stream, spark)).collect()) == [1, 2]
+
+
+def test_greedy_match_equals_plain_fold(spark):
+    r = np.random.default_rng(5)
+    words = ["alpha", "beta", "alp", "net", "the", "net (AB)", "x", "(--)", "ab", "é"]
+    rows = [(int(r.integers(2)), int(r.integers(3)), "m", i, " ".join(r.choice(words, r.integers(1, 4))), str(r.choice(["", "a"]))) for i in r.permutation(240).tolist()]
+    items = spark.createDataFrame(rows, "side int, study int, field string, pos int, name string, extra string")
+    named = spark.createDataFrame([(n,) for n in sorted({t[4] for t in rows})], "a string")
+    like = {tuple(t) for t in named.crossJoin(named.withColumnRenamed("a", "b")).filter(text.names_match(F.col("a"), F.col("b"))).collect()}
+    want = {}
+    for study in range(3):
+        gold, said = (sorted((t[3], t[4], t[5]) for t in rows if t[:2] == (side, study)) for side in (0, 1))
+        left = list(said)
+        for g in gold:
+            left.remove(next((p for p in left if p[2] == g[2] and (g[1], p[1]) in like), None)) if any(p[2] == g[2] and (g[1], p[1]) in like for p in left) else None
+        tp = len(said) - len(left)
+        want[study] = (tp, len(left), len(gold) - tp)
+    got = evaluation.greedy_match(items.filter("side = 0"), items.filter("side = 1")).collect()
+    assert {t.study: (t.tp, t.fp, t.fn) for t in got} == want
+
+
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_greedy_match_of_long_lists(spark, fuzzy):
+    """60,000 names on each side of one study and field; a comparison of all pairs never ends."""
+    items = spark.range(120_000).select(F.lit(1).alias("study"), F.lit("m").alias("field"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("name "), (F.col("id") % 600).cast("string")).alias("name"))
+    got = evaluation.greedy_match(items.filter("pos % 2 = 0"), items.filter("pos % 2 = 1 or pos < 600"), fuzzy).first()
+    assert got.tp == 60_000 if fuzzy else got.tp == 300
+    assert got.tp + got.fp == 60_300 and got.tp + got.fn == 60_000
