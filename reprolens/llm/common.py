@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -72,7 +74,7 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return buffer, starts, ends, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]))
 
 
-def word_hashes(texts: list[bytes], lower: bool = False, limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, in order, and the offsets of each text's words.
 
     Words are maximal runs without ASCII white space. With ``lower``, A-Z count as a-z. Texts are
@@ -150,6 +152,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: its process lives on for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only there with glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -8,8 +8,10 @@ number of shared prefix tokens, under each order; only then are whole sets compa
 
 Lists of a token with few sets give pairs. Longer lists never do: they tie their sets into groups.
 Equal sets are compared once. Chains of shared passages can make a group large whose sets are not
-alike; groups are therefore filtered once more, under the exact frequency order of its own tokens, rarest first: sets
-that are mostly their own share no prefix token then, and what still shares long lists are groups of
+alike; groups are therefore filtered twice more: first by prefixes under an order that puts the tokens of long lists
+last, too (the lists tell their lengths exactly; the list of heavy tokens misses more of them as tables grow), then, what
+still shares long lists, under the exact frequency order of its own tokens, rarest first: sets
+that are mostly their own share no prefix token then, and what is left are groups of
 near copies. Groups are compared in blocks of bounded size, by matrix products. All ways are exact.
 """
 
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, rolling, signed, width, word_hashes
+from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, rolling, signed, trim, width, word_hashes
 from reprolens.llm.components import connected, roots
 
 WORDS, PERCENT = 4, 85  # of a shingle; similarity in hundredths
-HEAVY, LEAST = 1 << 19, 16  # most heavy tokens (16 bytes each, on the driver and in every task); documents in which a heavy token was seen, at least
+HEAVY, LEAST = 1 << 19, 6  # most heavy tokens (16 bytes each, on the driver and in every task); documents in which a heavy token was seen, at least
 CHUNK = 1 << 21  # tokens that a task counts at once when it looks for heavy ones
-BATCH = 1 << 22  # bytes of text that a task turns into postings at once
+BATCH = 1 << 21  # bytes of text that a task turns into postings at once
 SHORT = 32  # sets in a list that is turned into pairs
 BLOCK = 1024  # sets in a block
 SENT = 2_000_000  # most document ids (8 bytes each) that are sent to every task; more meet the texts in a shuffle, with the same result
@@ -65,9 +67,12 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(signed(token[keep])), pa.array(n[keep])], names=["token", "n"])
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place
+            at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            n = np.diff(at, append=len(tokens))
+            return pa.RecordBatch.from_arrays([pa.array(signed(tokens[at[n > 1]])), pa.array(n[n > 1])], names=["token", "n"])
 
         for b in batches(frames, limit=BATCH):
             sets = shingles(as_bytes(b.column(0)), k)
@@ -75,9 +80,10 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
             size += sum(map(len, sets))
             if size > CHUNK:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield flush()
+        trim()
 
     found = plain(docs, "text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
     rows = found.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas().sort_values("token")  # HEAVY rows at most
@@ -87,13 +93,24 @@ def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
 POSTING = "kind int, token long, doc long, size long, heavy long"
 
 
+def _weights(heavy: np.ndarray):
+    """Weights of tokens: their frequency, 0 for those that aren't in the table."""
+    known = heavy[0].view(U64)
+    by_hash = np.argsort(known)
+    known, often = known[by_hash], heavy[1][by_hash]
+
+    def weigh(tokens: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
+        return np.where(known[place] == tokens, often[place], 0) if len(known) else np.zeros(len(tokens), np.int64)
+
+    return weigh
+
+
 def _postings(heavy: np.ndarray, k: int, percent: int):
     """kind -1: a document (token: the first of the batch with the same set); 0, 1: light token of an order; 2, 3: a set tied to the
     first of the batch that shares a heavy token (token: that first one); 4, 5: heavy token of an order, with the batch's first set."""
 
-    known = heavy[0].view(U64)
-    by_hash = np.argsort(known)
-    known, often = known[by_hash], heavy[1][by_hash]
+    weigh = _weights(heavy)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, limit=BATCH):
@@ -112,8 +129,7 @@ def _postings(heavy: np.ndarray, k: int, percent: int):
             sizes = np.array([len(sets[i]) for i in own])
             tokens = np.concatenate([sets[i] for i in own])
             owner = np.repeat(np.arange(len(own)), sizes)
-            place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-            weight = np.where(known[place] == tokens, often[place], 0) if len(known) else np.zeros(len(tokens), np.int64)
+            weight = weigh(tokens)
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             for order, seed in enumerate(SEEDS):
                 rank = np.lexsort((mix(tokens ^ U64(seed)), weight, owner))
@@ -130,6 +146,7 @@ def _postings(heavy: np.ndarray, k: int, percent: int):
                     tie = tie[tie[:, 0] != tie[:, 1]]
                     yield _rows(np.full(len(tie), 2 + order), tie[:, 1], tie[:, 0], np.zeros(len(tie), np.int64), np.zeros(len(tie), np.int64))
                     yield _rows(np.full(len(at), 4 + order), signed(t[at]), doc_of[o[at]], sizes[o[at]], np.zeros(len(at), np.int64))
+        trim()
 
     return run
 
@@ -144,6 +161,7 @@ LISTED = "kind int, x long, y long, need long"
 
 def _lists(percent: int):
     """Rows sorted by kind and token: short lists give pairs (kind 0, 1), long and heavy ones tie each set to the first (kind 2, 3).
+    Long ones report their token (x) and length (y), in parts if they are read in parts (kind 4).
 
     need: how many tokens a pair must share in the light part of its prefixes. What two sets share beyond both prefixes
     lies in the rest of the one whose prefix ends first; heavy tokens come last in a prefix and may all be shared.
@@ -153,7 +171,7 @@ def _lists(percent: int):
         need = np.zeros(len(x), np.int64) if need is None else need
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), *map(pa.array, (x, y, need))], names=[c.split()[0] for c in LISTED.split(", ")])
 
-    def close(kind: int, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def close(kind: int, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = ends - starts
         for n in np.unique(sizes[sizes <= SHORT]) if kind < 2 else ():
             if n < 2:
@@ -167,6 +185,8 @@ def _lists(percent: int):
                 rest = np.maximum(a[:, 1] - prefix(a[:, 1], percent), b[:, 1] - prefix(b[:, 1], percent))
                 need = -(-percent * (a[:, 1] + b[:, 1]) // (100 + percent)) - rest - np.minimum(a[:, 2], b[:, 2])
                 yield emit(kind, np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0]), need)
+        if kind < 2 and (sizes > SHORT).any():
+            yield emit(4, tokens[sizes > SHORT], sizes[sizes > SHORT])
         for s, e in zip(starts[(sizes > SHORT) | (kind >= 2)].tolist(), ends[(sizes > SHORT) | (kind >= 2)].tolist(), strict=True):
             yield emit(2 + kind % 2, part[s:e, 0], np.full(e - s, part[s, 0]))
 
@@ -185,14 +205,18 @@ def _lists(percent: int):
                 k, t, part = int(kind[edge[at]]), int(token[edge[at]]), data[edge[at] : edge[at + 1]]
                 if (k, t) != (kind_open, token_open):
                     if held:
-                        yield from _finish(held, kind_open, close)
+                        yield from _finish(held, kind_open, token_open, close)
                     kind_open, token_open, held, leader = k, t, [], None
                 if leader is None and sum(map(len, held)) + len(part) > 4 * SHORT:
                     joined = np.concatenate([*held, part])
                     leader, held = joined[0, 0], []
                     yield emit(2 + k % 2, joined[:, 0], np.full(len(joined), leader))
+                    if k < 2:
+                        yield emit(4, np.array([t]), np.array([len(joined)]))
                 elif leader is not None:
                     yield emit(2 + k % 2, part[:, 0], np.full(len(part), leader))
+                    if k < 2:
+                        yield emit(4, np.array([t]), np.array([len(part)]))
                 else:
                     held.append(part)
             if len(edge) > 3:
@@ -200,16 +224,16 @@ def _lists(percent: int):
                 for k in (0, 1):
                     mine = kind[s] == k
                     if mine.any():
-                        yield from close(k, data, s[mine], e[mine])
+                        yield from close(k, data, s[mine], e[mine], token[s[mine]])
         if held:
-            yield from _finish(held, kind_open, close)
+            yield from _finish(held, kind_open, token_open, close)
 
     return run
 
 
-def _finish(held: list[np.ndarray], kind: int, close) -> Iterator[pa.RecordBatch]:
+def _finish(held: list[np.ndarray], kind: int, token: int, close) -> Iterator[pa.RecordBatch]:
     part = np.concatenate(held)
-    yield from close(kind, part, np.array([0]), np.array([len(part)]))
+    yield from close(kind, part, np.array([0]), np.array([len(part)]), np.array([token]))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -272,6 +296,44 @@ def _exploded(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(sets)), pa.array(sizes[at])], names=["g0", "g1", "doc", "token", "size"])
 
 
+def _parted(stage: Stage, front: DataFrame, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of prefix tokens (g0, g1, token, doc, size): pairs (x, y) from short lists, and smaller groups (doc, GROUP) from long ones."""
+    group = ["g0", "g1"]
+    lists = front.groupBy(*group, "token").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1")
+    listed = stage.write(front.join(lists, [*group, "token"]), f"{name}-listed")
+    a = listed.filter(F.col("n") <= SHORT).select(*group, "token", F.col("doc").alias("x"), F.col("size").alias("m"))
+    b = a.select(*group, "token", F.col("x").alias("y"), F.col("m").alias("o"))
+    near = (F.col("x") < F.col("y")) & (100 * F.least("m", "o") >= percent * F.greatest("m", "o"))
+    pairs = stage.write(a.join(b, [*group, "token"]).filter(near).select("x", "y").distinct(), f"{name}-near")
+    ties = listed.filter(F.col("n") > SHORT).select(*group, F.col("doc").alias("a"), F.col("first").alias("b"))
+    found = connected(stage, ties, f"{name}-again", *group)
+    found = found.unionByName(found.select(*group, F.col("component").alias("id"), "component").distinct())
+    return pairs, stage.write(found.select(F.col("id").alias("doc"), *group, F.col("component").alias("part")), f"{name}-regrouped")
+
+
+def _fronts(known: np.ndarray, percent: int):
+    weigh = _weights(known)
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, "tokens", BATCH):
+            sets = [np.frombuffer(t, U64) for t in b.column(3).to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            rank = np.lexsort((mix(tokens ^ U64(SEEDS[0])), weigh(tokens), owner))
+            front = rank[np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[owner] < prefix(sizes, percent)[owner]]
+            if len(front):
+                rows = b.select([0, 1, 2]).take(pa.array(owner[front]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(signed(tokens[front])), pa.array(sizes[owner[front]])], names=["g0", "g1", "doc", "token", "size"])
+
+    return run
+
+
+def untie(stage: Stage, grouped: DataFrame, sets: DataFrame, known: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+    """As ``regroup``, under an order with the known tokens last, heaviest at the end: only prefixes become rows, and nothing is counted."""
+    front = grouped.join(sets, "doc").select("g0", "g1", "doc", "tokens").mapInArrow(_fronts(known, percent), "g0 long, g1 long, doc long, token long, size long")
+    return _parted(stage, stage.write(front, "prefixes"), percent, "long")
+
+
 def regroup(stage: Stage, grouped: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of groups (doc, g0, g1): pairs (x, y) from short lists, and smaller groups (doc, GROUP) from long ones.
 
@@ -285,17 +347,7 @@ def regroup(stage: Stage, grouped: DataFrame, sets: DataFrame, percent: int) ->
     front = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
     front = stage.write(tokens.join(often, [*group, "token"]).withColumn("place", place).filter(F.col("place") <= front).select(*group, "token", "doc", "size"), "front")
     stage.drop("tokens")
-    lists = front.groupBy(*group, "token").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1")
-    listed = stage.write(front.join(lists, [*group, "token"]), "listed")
-    stage.drop("front")
-    a = listed.filter(F.col("n") <= SHORT).select(*group, "token", F.col("doc").alias("x"), F.col("size").alias("m"))
-    b = a.select(*group, "token", F.col("x").alias("y"), F.col("m").alias("o"))
-    near = (F.col("x") < F.col("y")) & (100 * F.least("m", "o") >= percent * F.greatest("m", "o"))
-    pairs = stage.write(a.join(b, [*group, "token"]).filter(near).select("x", "y").distinct(), "near")
-    ties = listed.filter(F.col("n") > SHORT).select(*group, F.col("doc").alias("a"), F.col("first").alias("b"))
-    found = connected(stage, ties, "again", *group)
-    found = found.unionByName(found.select(*group, F.col("component").alias("id"), "component").distinct())
-    return pairs, stage.write(found.select(F.col("id").alias("doc"), *group, F.col("component").alias("part")), "regrouped")
+    return _parted(stage, front, percent, "exact")
 
 
 def _sized(groups: DataFrame) -> DataFrame:
@@ -368,8 +420,11 @@ def components(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: in
     sets = stage.write(_sets(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), k), "sets")
 
     twins = stage.write(_twins(sets), "twins")
-    more, again = regroup(stage, grouped.join(twins, grouped["doc"] == twins["a"], "left_anti"), sets, percent)
-    pairs, grouped = pairs.unionByName(more), _sized(again)
+    long = lists.filter("kind = 4").groupBy(F.col("x").alias("token")).agg(F.sum("y").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()  # HEAVY rows at most
+    known = np.concatenate([heavy, np.stack([long["token"].to_numpy(np.int64), long["n"].to_numpy(np.int64)])], axis=1)
+    few, untied = untie(stage, grouped.join(twins, grouped["doc"] == twins["a"], "left_anti"), sets, known, percent)
+    more, again = regroup(stage, untied.select("doc", F.col("part").alias("g0"), F.col("part").alias("g1")), sets, percent)
+    pairs, grouped = pairs.unionByName(few).unionByName(more), _sized(again)
 
     sx, sy = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("x", "y"))
     links = pairs.join(sx, "x").join(sy, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(percent), "a long, b long")
