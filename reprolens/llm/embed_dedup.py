@@ -7,7 +7,7 @@ around the other's is a matter of chance that is known beforehand.
 1. Tables. A table sorts its vectors by one projection after the other and cuts them at the median; what
    lies within half a window of the cut goes to both sides. Two vectors collide in a table if no cut
    parts them, which takes a difference greater than the window. The number of tables is calibrated from
-   the chance of a cut (its density is measured on a bounded sample) so that a pair at the threshold
+   the chance of a cut (medians and densities come from counts over all vectors) so that a pair at the threshold
    collides in one at least with the wanted recall. Labels are cut as often as their size asks for, as
    long as this saves comparisons; each cell of a table is compared on its own.
 2. Counting. In a cell vectors are sorted by further projections; a pair must lie in each other's
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import ceil, comb, erf, exp, log, pi, sqrt
+from math import ceil, comb, erf, exp, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,8 @@ MARGIN = 0.75  # whole width at a cut, over the distance at the threshold
 RECALL = 0.9999  # of pairs at the threshold; closer ones have more
 CELL = 2048  # vectors of a cell, about
 BLOCK = 2048  # vectors in a block
-SAMPLE = 4096  # vectors from which cuts are placed
+SAMPLE = 4096  # vectors with which tests place cuts; the operator counts all
+BIN, BINS = 1 / 64, 1024  # width and number of the bins in which projections are counted
 DEEPEST = 40  # cuts of a table, at most
 SPREAD = 64  # cells in which a vector lies on average, at most
 SEED = 11
@@ -116,27 +117,86 @@ class Cuts:
         return m[table] if m is not None and table < len(m) else np.zeros(DEEPEST)
 
 
-def place_cuts(sample: list[np.ndarray], cosine: float, recall: float = RECALL) -> Cuts:
-    """Cuts from a bounded sample of unit vectors: medians of their projections, and the greatest density there."""
+def projected(x: np.ndarray, deep: int) -> np.ndarray:
+    """Counts of the projections of unit vectors by table, cut and bin."""
+    a = np.concatenate([directions(x.shape[1], DEEPEST, SEED + 1 + t)[:, :deep] for t in range(SPREAD)], axis=1)
+    counts, base = np.zeros(a.shape[1] * BINS, dtype=np.int64), np.arange(a.shape[1]) * BINS
+    for at in range(0, len(x), 512):
+        bins = np.clip(np.floor(x[at : at + 512] @ a / BIN) + BINS // 2, 0, BINS - 1).astype(np.int64)
+        counts += np.bincount((bins + base).ravel(), minlength=len(counts))
+    return counts.reshape(SPREAD, deep, BINS)
+
+
+def _placed(counts: dict[int, np.ndarray], cosine: float, recall: float) -> Cuts:
+    """Medians, and the greatest density there, from the counts of each dimension (the densities from the first four tables)."""
     distance = sqrt(2 - 2 * cosine)
     window = MARGIN * distance
     tail = 2 * (exp(-(MARGIN**2) / 2) / sqrt(2 * pi) - MARGIN * (1 - erf(MARGIN / sqrt(2))) / 2) * distance  # mean excess of a difference over the window
+    medians, dense, near = {}, [0.4], []
+    for dim, n in counts.items():
+        total = n.sum(axis=2)
+        upto = n.cumsum(axis=2)
+        middle = (2 * upto >= total[:, :, None]).argmax(axis=2)
+        medians[dim] = np.zeros((SPREAD, DEEPEST))
+        medians[dim][:, : n.shape[1]] = (middle + 0.5 - BINS // 2) * BIN
+        if total.max() <= 100:
+            continue
+
+        def density(half: float, n=n, total=total, middle=middle) -> np.ndarray:
+            reach = ceil(half / BIN - 0.5)
+            inside = np.abs(np.arange(BINS) - middle[:4, :, None]) <= reach
+            return (n[:4] * inside).sum(axis=2) / total[:4] / ((2 * reach + 1) * BIN)
+
+        dense += density(distance / 2).mean(axis=1).tolist()
+        near += (density(window / 2).mean(axis=1) * window).tolist()
+    side = 0.5 + (sum(near) / len(near) if near else 0.4 * window) / 2
+    return Cuts(window, medians, side, min(0.9, max(dense) * tail), recall)
+
+
+def place_cuts(vectors: list[np.ndarray], cosine: float, recall: float = RECALL) -> Cuts:
+    """Cuts from unit vectors."""
     by: dict[int, list[np.ndarray]] = {}
-    for v in sample:
+    for v in vectors:
         by.setdefault(len(v), []).append(v)
-    medians, dense, near = {}, [0.4], [0.0]
-    for dim, vectors in by.items():
-        x, rows = np.stack(vectors), []
-        for table in range(SPREAD):
-            p = x @ directions(dim, DEEPEST, SEED + 1 + table)
-            rows.append(np.median(p, axis=0))
-            if len(x) > 100 and table < 4:
-                off = np.abs(p - rows[-1])
-                dense.append(float((off < distance / 2).mean() / distance))
-                near.append(float((off <= window / 2).mean()))
-        medians[dim] = np.stack(rows)
-    side = 0.5 + (sum(near[1:]) / (len(near) - 1) if len(near) > 1 else 0.4 * window) / 2
-    return Cuts(window, medians, side, min(0.9, max(dense) * tail), recall)
+    return _placed({dim: projected(np.stack(v), DEEPEST) for dim, v in by.items()}, cosine, recall)
+
+
+def measured_cuts(stage: Stage, unit: DataFrame, counts: DataFrame, cosine: float, kind: str, recall: float = RECALL) -> Cuts:
+    """Cuts from all vectors of the lengths that have a label of more than CELL; counts don't depend on the order of tasks.
+
+    A label is worth cutting while a cut leaves less than half of the comparisons (side squared), so twice the
+    binary logarithm of its cells is the deepest.
+    """
+    large = counts.filter(F.col("count") > CELL).groupBy("dim").agg(F.max("count").alias("most")).collect()  # a row for each length that is cut
+    deep = {r.dim: min(DEEPEST, ceil(2 * log2(r.most / CELL)) + 1) for r in large}
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for dim, n in held.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim), pa.int32()), pa.array(at), pa.array(n.ravel()[at])], names=["dim", "at", "n"])
+            held.clear()
+
+        for b in frames:
+            dims, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for dim in sorted(set(dims.tolist()) & set(deep)):
+                pick = np.flatnonzero(dims == dim)
+                n = projected(_unit(b"".join(raw[i] for i in pick), len(pick), kind), deep[dim])
+                held[dim] = held[dim] + n if dim in held else n
+                if len(held) > 4:
+                    yield from flush()
+        yield from flush()
+
+    found = {dim: np.zeros(SPREAD * n * BINS, dtype=np.int64) for dim, n in deep.items()}
+    if deep:
+        rows = unit.select("dim", "x").mapInArrow(run, "dim int, at long, n long").groupBy("dim", "at").agg(F.sum("n").alias("n"))
+        rows = stage.write(rows, "projected")
+        for dim in found:  # a length at a time: SPREAD tables x cuts x bins
+            part = rows.filter(F.col("dim") == dim).select("at", "n").toPandas()
+            found[dim][part["at"].to_numpy()] = part["n"].to_numpy()
+    return _placed({dim: n.reshape(SPREAD, deep[dim], BINS) for dim, n in found.items()}, cosine, recall)
 
 
 def cells(low: np.ndarray, high: np.ndarray, cuts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,10 +322,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     once = stage.write(once.select(*same, "v.vec_id", "v.embedding", "weight"), "once")
     unit = stage.write(once.select("vec_id", "label", "embedding", "weight").mapInArrow(_known(kind), f"vec_id long, label {label}, dim int, x binary, weight long"), "unit")
 
-    sample = unit.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("x").collect()  # SAMPLE rows
-    cuts = place_cuts([_unit(r.x, 1, kind)[0] for r in sample], cosine)
+    counts = stage.write(unit.groupBy("label", "dim").count(), "counts")
+    cuts = measured_cuts(stage, unit, counts, cosine, kind)
     wanted = F.greatest(F.lit(0), F.ceil(F.log(F.col("count") / CELL) / -log(cuts.side))).cast("int") if cuts.side < 1 else F.lit(0)
-    sizes = stage.write(unit.groupBy("label", "dim").count().select("label", "dim", wanted.alias("wanted")), "sizes")
+    sizes = counts.select("label", "dim", wanted.alias("wanted"))
     sized = unit.join(sizes, ["label", "dim"]).select("vec_id", "label", "dim", "x", "weight", "wanted")
     cell = ["label", "dim", "cell"]
     big = sized.mapInArrow(_spread(cuts, kind, False), f"label {label}, dim int, cell long").groupBy(*cell).count().filter(F.col("count") > BLOCK)
@@ -277,8 +337,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     found = stage.write(found, "found")
 
     component = connected(stage, found.select("a", "b"))
-    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
-    first = unit.select("vec_id", "weight").join(counts, F.col("vec_id") == F.col("a"), "left").join(component, F.col("vec_id") == F.col("id"), "left")
+    links = found.groupBy("a").agg(F.sum("n").alias("n"))
+    first = unit.select("vec_id", "weight").join(links, F.col("vec_id") == F.col("a"), "left").join(component, F.col("vec_id") == F.col("id"), "left")
     first = first.select(F.col("vec_id").alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     member = named.select("vec_id", *same).join(once.select(*same, F.col("vec_id").alias("rep")), same).select(F.col("vec_id").alias("member"), "rep").join(first, "rep")
     out = rows.select("vec_id").join(member, F.col("vec_id") == F.col("member"), "left")

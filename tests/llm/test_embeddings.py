@@ -79,3 +79,19 @@ def test_equal_vectors_are_one_with_a_weight(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(500)] + [(900, [1.0, 2.0, 3.1], 1), (901, [-1.0, 0.0, 0.0], 1), (902, [1.0, None, 2.0, 3.0], 1), (903, [1.0, 2.0, 3.0], None), (904, [0.0, 0.0], 1), (905, [0.0, 0.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {**{i: (500, 0) for i in range(500)}, 900: (500, 0), 901: (0, 901), 902: (0, 902), 903: (0, 903), 904: (0, 904), 905: (0, 905)}
+
+
+def test_cuts_come_from_all_vectors(spark):
+    """Rows in two places far apart: the counts of each half differ, those of the table are their sum."""
+    from reprolens.llm.common import Stage
+
+    r = np.random.default_rng(9)
+    u = np.concatenate([r.normal(size=(2500, 8)) + 2, r.normal(size=(2500, 8)) - 1])
+    u = (u / np.linalg.norm(u, axis=1)[:, None]).astype(np.float64)
+    unit = spark.createDataFrame([(0, 8, bytearray(v.tobytes())) for v in u], "label int, dim int, x binary").repartition(5)
+    cuts = embed_dedup.measured_cuts(Stage(spark, "cuts"), unit, unit.groupBy("label", "dim").count(), 0.93, "<f8")
+    want = embed_dedup.place_cuts(list(u), 0.93)
+    deep = np.flatnonzero(cuts.medians[8].any(axis=0)).max() + 1
+    assert deep >= 3 and np.array_equal(cuts.medians[8][:, :deep], want.medians[8][:, :deep])
+    p = u @ embed_dedup.directions(8, embed_dedup.DEEPEST, embed_dedup.SEED + 1)[:, :deep]
+    assert np.abs(np.median(p, axis=0) - cuts.at(8, 0)[:deep]).max() <= embed_dedup.BIN
