@@ -46,10 +46,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT = 1 << 20  # most powers of a seed that a process keeps, 16 bytes each: workers live on for other tasks and stages
 
 
 def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
+    """At least n powers of an odd multiplier and of its inverse modulo 2**64, grown on demand; more than KEPT are made for the caller only."""
     if seed not in _POWERS or len(_POWERS[seed][0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         made = []
@@ -61,6 +62,8 @@ def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
                 step = step * step & _MASK
                 done *= 2
             made.append(p)
+        if size > KEPT:
+            return made[0], made[1]
         _POWERS[seed] = made[0], made[1]
     return _POWERS[seed]
 

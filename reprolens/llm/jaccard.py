@@ -227,6 +227,7 @@ def _lists(percent: int):
                         yield from close(k, data, s[mine], e[mine], token[s[mine]])
         if held:
             yield from _finish(held, kind_open, token_open, close)
+        trim()
 
     return run
 
@@ -240,6 +241,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, limit=BATCH):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(as_bytes(b.column(1)), k)], pa.binary())], names=["doc", "tokens"])
+        trim()
 
     return docs.mapInArrow(run, "doc long, tokens binary")
 
@@ -253,6 +255,7 @@ def _verify(percent: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        trim()
 
     return run
 
@@ -294,6 +297,7 @@ def _exploded(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(at):
             rows = b.select([0, 1, 2]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(sets)), pa.array(sizes[at])], names=["g0", "g1", "doc", "token", "size"])
+    trim()
 
 
 def _parted(stage: Stage, front: DataFrame, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -324,6 +328,7 @@ def _fronts(known: np.ndarray, percent: int):
             if len(front):
                 rows = b.select([0, 1, 2]).take(pa.array(owner[front]))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(signed(tokens[front])), pa.array(sizes[owner[front]])], names=["g0", "g1", "doc", "token", "size"])
+        trim()
 
     return run
 

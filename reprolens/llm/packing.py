@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, powers, width
+from reprolens.llm.common import U64, Stage, as_bytes, batches, mix, plain, powers, trim, width
 
 WINDOW = 2048
 QUANTUM = 128  # least credit with which a source sends
 END = 1  # id after each document
+BATCH = 1 << 20  # bytes of text that a task encodes at once
 HELD = 1 << 23  # most tokens that a task holds before it packs them, about; bounds memory, targets don't depend on it
 TAILS = 64  # tasks whose tails are packed together
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -158,7 +159,7 @@ _LEAD = np.zeros(256, dtype=bool)  # first bytes of the UTF-8 forms of other whi
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def spans(raw: list[bytes], limit: int = 1 << 21) -> tuple[np.ndarray, ...]:
+def spans(raw: list[bytes], limit: int = 1 << 18) -> tuple[np.ndarray, ...]:
     """Begin, length and two hashes of the strings between spaces, in the texts joined by spaces."""
     parts, base, group, held = [], 0, [], 0
 
@@ -298,7 +299,7 @@ def _pack_task(name: str):
                 sequence += 1
                 yield w
 
-        for b in batches(frames, limit=1 << 22):
+        for b in batches(frames, limit=BATCH):
             for doc_id, source, share, ids in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), enc.encode(as_bytes(b.column(2))), strict=True):
                 queues.setdefault(source, Queue(share=share or 0.0)).put(doc_id, 0, ids, len(ids) // 4)
                 held += len(ids) // 4
@@ -314,6 +315,8 @@ def _pack_task(name: str):
                 credit = 0.0
         if rows:
             yield _batch(rows)
+        queues.clear()
+        trim()
 
     return run
 

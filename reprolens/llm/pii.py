@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprolens.llm.common import as_bytes, batches, plain, word_spans
+from reprolens.llm.common import as_bytes, batches, plain, trim, word_spans
 from reprolens.sources.staging import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -574,7 +574,7 @@ def redact(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = No
     small_batches(spark)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(frames, limit=1 << 21):
+        for b in batches(frames, limit=1 << 20):
             texts = b.column(at).to_pylist()
             out = []
             for text, (base, extra) in zip(texts, spans_of([(t or "").encode() for t in texts], field), strict=True):
@@ -592,6 +592,7 @@ def redact(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = No
             columns = list(b.columns)
             columns[at] = pa.array(out, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        trim()
 
     done = docs.mapInArrow(run, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else done
